@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from capframe.operators.lookup import BROADCAST_ROWS
 from capframe.session import materialize
 
 PHOTO_FIELDS = [
@@ -61,7 +62,9 @@ def with_source_order(df: DataFrame, out: str = "ord") -> DataFrame:
     block = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block")
     table = materialize(df.select(df["*"], block, F.monotonically_increasing_id().alias("_seq")), "ingest")
     blocks = table.groupBy("_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    offsets = _block_offsets(blocks)
+    offsets = materialize(_block_offsets(blocks), "blocks")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return (
         table.join(offsets, "_block")
         .withColumn(out, F.col("_before") + F.col("_seq") - F.col("_first"))
