@@ -32,19 +32,6 @@ def perturb(vector: Column, noise: Column, eps: float = NOISE_EPS) -> Column:
     return F.zip_with(vector, noise, lambda x, n: x.cast("double") + F.lit(eps) * n)
 
 
-def gaussian_noise(key: Column, dim: int, seed: int) -> Column:
-    """Standard normal vector drawn from the row's key, so a task run again draws the same numbers."""
-
-    def uniform(i: Column, salt: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed), F.lit(salt)), 11)
-        return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
-
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(2 * F.pi() * uniform(i, 2)),
-    )
-
-
 def mean_tokens(tokens: Column, dim: int) -> Column:
     """Mean over the first axis of a ``[tokens, dim]`` array."""
     return F.transform(

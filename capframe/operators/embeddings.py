@@ -53,11 +53,6 @@ def negative_position(position: Column, size: Column, draw: Column) -> Column:
     return ((position + 1 + step) % size).cast("int")
 
 
-def draw(key: Sequence[str], seed: int) -> Column:
-    """Uniform whole number >= 0 from the row's key."""
-    return F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 1)
-
-
 def with_batch_size(df: DataFrame, batch: str, size: str = "batch_size") -> DataFrame:
     """Rows with the number of rows in their batch."""
     counts = df.groupBy(batch).agg(F.count("*").alias(size))

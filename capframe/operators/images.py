@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from capframe.fixed_values import CROP_TO, RESIZE_TO, SEED, TRAIN_PADDING
 from capframe.functions import pixels as P
+from capframe.functions.draws import whole
 
 _CHUNK = 16  # images per output batch: some 10 MB of floats at 224 x 224
 
@@ -61,7 +62,7 @@ def plan_train(
     height, width = resized_size(F.col("height"), F.col("width"), resize_to)
 
     def draw(what: str, choices: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(epoch), F.lit(what)), choices).cast("int")
+        return (whole(seed, epoch, what, F.col(key)) % choices).cast("int")
 
     return (
         df.withColumn("resized_height", height)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from capframe.fixed_values import BATCH_SIZE, SEED
+from capframe.functions.draws import digest
 from capframe.session import materialize
 
 _PART = 1 << 33  # monotonically_increasing_id counts rows in the low 33 bits
@@ -49,9 +50,9 @@ def global_row_number(df: DataFrame, *order: str, out: str = "rn") -> DataFrame:
     )
 
 
-def seeded_hash(key: Sequence[str], seed: int = SEED) -> Column:
-    """Hex digest of seed and key: uniform, and independent of where the row lies."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+def seeded_hash(key: Sequence[str], seed: int | str = SEED) -> Column:
+    """Hex digest of seed and key, the sort key of every seeded order."""
+    return digest(seed, *[F.col(k) for k in key])
 
 
 def _bucket_digits(df: DataFrame) -> int:
@@ -63,7 +64,7 @@ def _bucket_digits(df: DataFrame) -> int:
     return digits
 
 
-def seeded_row_number(df: DataFrame, key: Sequence[str], seed: int = SEED, out: str = "rn") -> DataFrame:
+def seeded_row_number(df: DataFrame, key: Sequence[str], seed: int | str = SEED, out: str = "rn") -> DataFrame:
     """Position from 1 in the shuffled order of ``seed``; ``key`` must be unique.
 
     The first digits of the hash are evenly filled buckets in hash order, so rows are
@@ -90,11 +91,6 @@ def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFra
     return df.orderBy(seeded_hash(key, seed), *key)
 
 
-def epoch_order(key: Sequence[str], seed: int, epoch: int) -> Column:
-    """Sort key of one training epoch: another order for every epoch."""
-    return F.xxhash64(*key, F.lit(seed), F.lit(epoch))
-
-
 def with_batches(df: DataFrame, *order: str, size: int = BATCH_SIZE, rank: str | None = None) -> DataFrame:
     """``batch_id`` of consecutive groups of ``size`` rows, the last one short; ``batch_pos`` from 0.
 
@@ -108,6 +104,14 @@ def with_batches(df: DataFrame, *order: str, size: int = BATCH_SIZE, rank: str |
     return batched if rank else batched.drop("_rn")
 
 
+def epoch_batches(
+    df: DataFrame, key: Sequence[str], epoch: int, seed: int = SEED, size: int = BATCH_SIZE
+) -> DataFrame:
+    """Batches of one training epoch: another row order for every epoch."""
+    shuffled = seeded_row_number(df, key, f"{seed}|{epoch}", out="_rn")
+    return with_batches(shuffled, size=size, rank="_rn").drop("_rn")
+
+
 def split_sizes(n: int) -> tuple[int, int, int]:
     """Rows in train, valid and test: 0.3 held out, two thirds of that for test, both rounded up."""
     held = (3 * n + 9) // 10

@@ -43,7 +43,12 @@ def build_vocabulary(
     return Vocabulary(table, words + 2, occurrences)
 
 
-def _encode_by_place(df: DataFrame, tokens: str, table: DataFrame, max_len: int, out: str) -> DataFrame:
+def fits_by_place(vocab: Vocabulary, max_len: int, broadcast_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the vocabulary may be broadcast and the sequence is short enough for a join per place."""
+    return vocab.size - 2 <= broadcast_rows and max_len <= _JOINS
+
+
+def encode_by_place(df: DataFrame, tokens: str, table: DataFrame, max_len: int, out: str) -> DataFrame:
     """One broadcast join per place, all on the same broadcast: rows are neither exploded nor shuffled."""
     columns, wide = df.columns, df
     ids = []
@@ -83,7 +88,7 @@ def encode(
 
     The vocabulary is broadcast while it has at most ``broadcast_rows`` words.
     """
-    if vocab.size - 2 <= broadcast_rows and max_len <= _JOINS:
-        return _encode_by_place(df, tokens, vocab.table, max_len, out)
+    if fits_by_place(vocab, max_len, broadcast_rows):
+        return encode_by_place(df, tokens, vocab.table, max_len, out)
     return _encode_by_word(df, tokens, vocab, key, max_len, out, broadcast_rows)
 
