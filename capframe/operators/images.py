@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capframe.fixed_values import CROP_TO, RESIZE_TO, SEED, TRAIN_PADDING
 from capframe.functions import pixels as P
@@ -88,14 +89,14 @@ def _images(series: tuple[pd.Series, ...]) -> Iterator[list[np.ndarray]]:
         yield [_transform(*row) for row in rows[start : start + _CHUNK]]
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _tensor(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     for series in batches:
         for images in _images(series):
             yield pd.Series([P.to_tensor(image).ravel() for image in images], dtype=object)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _colour(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     bins = 8
     for series in batches:
