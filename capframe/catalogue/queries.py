@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,17 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capframe.catalogue import views as D
-from capframe.fixed_values import BATCH_SIZE, CAPTION_PROMPT, EMB_DIM, MAX_LEN, NOISE_EPS, SEED
+from capframe.fixed_values import EMB_DIM, MAX_LEN, NOISE_EPS, SEED
 from capframe.functions import prompts as P
 from capframe.functions import sequences as S
 from capframe.functions import text as T
 from capframe.functions import vectors as V
-from capframe.functions.draws import whole
+from capframe.functions.draws import gaussian, whole
 from capframe.operators import captions as C
 from capframe.operators import compare, embeddings, images, labels, metrics, ranking, trainlog, vocabulary
 from capframe.plans import baselines, examples, inference
 from capframe.plans.prepare import prepare
-from capframe.session import scratch_dir
+from capframe.session import materialize, scratch_dir
 from capframe.sources import images as image_files
 from capframe.sources import photos, reports
 
@@ -208,8 +209,6 @@ def drop_broken(spark, sf_dir):
 
 
 def _new_path(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -410,7 +409,8 @@ IMAGE_ID = 5
 
 @query
 def padded_batch(spark, sf_dir):
-    rows = examples.padded_batches(_id_lists(spark, sf_dir), "ids", "ord", image_id=IMAGE_ID)
+    stored = materialize(_id_lists(spark, sf_dir), "ids")
+    rows = examples.padded_batches(stored, "ids", "ord", image_id=IMAGE_ID)
     return rows.select("photo_id", "batch_id", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"))
 
 
@@ -523,8 +523,6 @@ def infonce(spark, sf_dir):
 @query
 def gaussian_perturbation(spark, sf_dir):
     """Mean and spread of seeded noise over all embedding values."""
-    from capframe.functions.draws import gaussian
-
     rows = D.embeddings(spark, sf_dir)
     near = V.perturb(F.col("vector"), gaussian(F.col("photo_id"), EMB_DIM, SEED))
     moved = rows.select(F.explode(F.zip_with(near, F.col("vector"), lambda a, b: a - b)).alias("d"))

@@ -42,12 +42,18 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def guess(text: Column, langs: list[str], otherwise: str) -> Column:
-    """Language whose function words occur in the text, first of the list."""
+def _hits(text: Column) -> Column:
+    """The function words that occur in the text, found in one scan."""
+    words = "|".join(WORDS.values())
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0)))
+
+
+def guess(hits: Column, langs: list[str], otherwise: str) -> Column:
+    """Language whose function words occur, first of the list."""
     found = F.when(F.lit(False), F.lit(otherwise))
-    lowered = F.lower(text)
     for lang in langs:
-        found = found.when(lowered.rlike(rf"(^|[^a-z])({WORDS[lang]})([^a-z]|$)"), F.lit(lang))
+        words = F.array(*[F.lit(w) for w in WORDS[lang].split("|")])
+        found = found.when(F.arrays_overlap(hits, words), F.lit(lang))
     return found.otherwise(F.lit(otherwise))
 
 
@@ -58,25 +64,24 @@ VARIANTS = {
 }
 
 
-def predictions(spark: SparkSession, sf_dir: str, variant: str = "all_words") -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("photo_id"),
         F.when(F.col("n_chars") >= LABELLED_FROM, F.col("lang")).alias("label"),
-        guess(F.col("text"), *VARIANTS[variant]).alias("pred"),
+        _hits(F.col("text")).alias("hits"),
     )
 
 
+def predictions(spark: SparkSession, sf_dir: str, variant: str = "all_words") -> DataFrame:
+    return _judged(spark, sf_dir).select("photo_id", "label", guess(F.col("hits"), *VARIANTS[variant]).alias("pred"))
+
+
 def all_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row once per configuration, in one scan."""
     answers = F.array(
-        *[F.struct(F.lit(v).alias("config"), guess(F.col("text"), *VARIANTS[v]).alias("pred")) for v in VARIANTS]
-    )
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("photo_id"),
-        F.when(F.col("n_chars") >= LABELLED_FROM, F.col("lang")).alias("label"),
-        F.explode(answers).alias("a"),
+        *[F.struct(F.lit(v).alias("config"), guess(F.col("hits"), *VARIANTS[v]).alias("pred")) for v in VARIANTS]
     )
-    return rows.select("photo_id", "label", "a.*")
+    return _judged(spark, sf_dir).select("photo_id", "label", F.explode(answers).alias("a")).select("photo_id", "label", "a.*")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

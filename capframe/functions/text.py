@@ -40,13 +40,15 @@ def strip(text: Column) -> Column:
 
 
 def parse_label(output: Column, labels: Sequence[str] = CLASSES) -> Column:
-    """First label of the list that occurs as a whole word in a model output, else the stripped output."""
-    cleaned = strip(output)
-    lowered = F.lower(cleaned)
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label in labels:
-        found = found.when(lowered.rlike(rf"(?<!{WORD_CHAR}){label}(?!{WORD_CHAR})"), F.lit(label))
-    return found.otherwise(cleaned)
+    """First label of the list that occurs as a whole word in a model output, else the stripped output.
+
+    One scan of the output finds the labels in it; the order of the list then decides.
+    """
+    starts = "".join(sorted({label[0] for label in labels}))
+    pattern = rf"(?=[{starts}])(?<!{WORD_CHAR})(?:{'|'.join(labels)})(?!{WORD_CHAR})"
+    found = F.regexp_extract_all(F.lower(output), F.lit(pattern), F.lit(0))
+    listed = F.array(*[F.lit(label) for label in labels])
+    return F.coalesce(F.get(F.array_intersect(listed, found), F.lit(0)), strip(output))
 
 
 def is_missing(caption: Column) -> Column:

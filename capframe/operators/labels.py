@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,10 @@ def label_ids(df: DataFrame, label: str = "label") -> DataFrame:
     if len(head) > MOST_LABELS:
         numbered = global_row_number(distinct, "label")
         return numbered.select("label", (F.col("rn") - 1).cast("int").alias("label_id"))
-    rows = [(name, i) for i, name in enumerate(sorted((r.label for r in head), key=_sort_key))]
+    names = sorted((r.label for r in head), key=_sort_key)
     kind = distinct.schema["label"].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"label {kind}, label_id int")
+    table = pa.table({"label": names, "label_id": pa.array(range(len(names)), pa.int32())})
+    return df.sparkSession.createDataFrame(table, f"label {kind}, label_id int")
 
 
 def _sort_key(name):

@@ -11,6 +11,7 @@ from capframe.fixed_values import MAX_LEN, MIN_FREQ, PAD_ID, UNK_ID
 from capframe.functions.sequences import pad_right
 from capframe.operators.lookup import BROADCAST_ROWS, HOT_KEYS, lookup
 from capframe.operators.ranking import global_row_number
+from capframe.session import materialize
 
 _JOINS = 16  # longest sequence encoded by one broadcast join per place
 
@@ -36,9 +37,8 @@ def build_vocabulary(
 ) -> Vocabulary:
     """Words that occur often enough, numbered from 2 by first appearance in the order of ``ord``."""
     kept = word_counts(df, tokens, ord, max_len).where(F.col("freq") >= min_freq)
-    table = global_row_number(kept, "first").select(
-        "word", "freq", (F.col("rn") + UNK_ID).cast("int").alias("id")
-    )
+    numbered = global_row_number(kept, "first")
+    table = materialize(numbered.select("word", "freq", (F.col("rn") + UNK_ID).cast("int").alias("id")), "vocabulary")
     words, occurrences = table.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
     return Vocabulary(table, words + 2, occurrences)
 

@@ -16,6 +16,7 @@ from capframe.functions.prompts import check_modalities
 from capframe.operators.compare import compare_configs
 from capframe.operators.metrics import class_metrics, macro_f1, micro_precision
 from capframe.operators.trainlog import best_epoch
+from capframe.session import materialize
 
 TEXT_DIM = 1 << 12  # hashed words: a fixed size whatever the vocabulary
 
@@ -87,7 +88,10 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("photo_i
 
 def run_config(table: DataFrame, image: bool, text: bool, grid: Sequence[float] = (0.1, 0.01, 0.001)) -> DataFrame:
     """Test predictions of the model chosen for one modality; ``table`` has ``split`` and ``label_id``."""
-    known = table.where(F.col("label_id").isNotNull())
+    inputs = ["tokens"] * text + ["image_vector"] * image
+    known = table.where(F.col("label_id").isNotNull()).select("photo_id", "label_id", "split", *inputs)
+    # Fitting reads the features many times: written once, in the columns it needs.
+    known = materialize(known, "features")
     train, valid = known.where(F.col("split") == "train"), known.where(F.col("split") == "valid")
     fitted = fit_best(train, valid, image, text, grid)
     return predict(fitted.model, known.where(F.col("split") == "test"))

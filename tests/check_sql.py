@@ -19,6 +19,8 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -48,6 +50,10 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     columns = [d[0] for d in result.description]
     if sorted(columns) != sorted(df.columns):
         return f"DIFFERENT columns {sorted(df.columns)} / {sorted(columns)}"
+    kinds = dict(zip(columns, [str(d[1]) for d in result.description]))
+    odd = {c: (t, kinds[c]) for c, t in df.dtypes if TYPES.get(t, t) != kinds[c]}
+    if odd:
+        return f"DIFFERENT types {odd}"
     other = rows_of(columns, result.fetchall())
     if spark_rows == other:
         return f"equal: {len(other)}"
