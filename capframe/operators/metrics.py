@@ -57,25 +57,20 @@ def class_counts(
     """
     scored = df.where(F.col(label).isNotNull())
     zero = F.lit(0).cast("long")
-    if classes == OBSERVED:
-        pairs = confusion(scored, label, pred, by)
-        listed = F.array()
-    else:
+    listed = []
+    if classes != OBSERVED:
         # Free text outside the list becomes null first, so the counted table stays classes x classes.
-        known = scored.withColumn("_p", F.when(F.col(pred).isin(*classes), F.col(pred)))
-        known = known.withColumn("_l", F.when(F.col(label).isin(*classes), F.col(label)))
-        pairs = confusion(known, "_l", "_p", by)
-        listed = F.array(*[_entry(F.lit(c), zero, zero, zero) for c in classes])
+        for c in (label, pred):
+            scored = scored.withColumn(c, F.when(F.col(c).isin(*classes), F.col(c)))
+        listed = [_entry(F.lit(c), zero, zero, zero) for c in classes]
+    pairs = confusion(scored, label, pred, by)
     n = F.col("n")
     hit = F.when(F.col("label") == F.col("pred"), n).otherwise(zero)
-    sides = F.array(
-        _entry(F.col("label"), hit, zero, n),
-        _entry(F.col("pred"), zero, n, zero),
-    )
-    entries = pairs.select(*by, F.explode(sides).alias("e"))
-    if classes != OBSERVED:
-        groups = pairs.select(*by).distinct() if by else df.sparkSession.range(1).select()
-        entries = entries.unionByName(groups.select(*by, F.explode(listed).alias("e")))
+    sides = [_entry(F.col("label"), hit, zero, n), _entry(F.col("pred"), zero, n, zero)]
+    entries = pairs.select(*by, F.explode(F.array(*sides, *listed)).alias("e"))
+    if listed and not by:
+        # Listed classes stay even when nothing was scored.
+        entries = entries.unionByName(df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias("e")))
     return (
         entries.select(*by, "e.*")
         .where(F.col("class").isNotNull())
