@@ -40,7 +40,8 @@ def infer(factory: Factory, inputs: dict[str, Column], returns: str = "string",
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = factory()
         for series in batches:
-            frame = pd.concat(series, axis=1, keys=names)
+            columns = series if isinstance(series, tuple) else (series,)
+            frame = pd.concat(columns, axis=1, keys=names)
             parts = [frame.iloc[i : i + batch_size] for i in range(0, len(frame), batch_size)]
             outputs = [value for part in parts for value in model(part.reset_index(drop=True))]
             if len(outputs) != len(frame):

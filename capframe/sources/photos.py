@@ -16,7 +16,13 @@ PHOTO_FIELDS = [
     T.StructField("label", T.StringType()),
 ]
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def photo_schema(extra: str | None = None) -> T.StructType:
