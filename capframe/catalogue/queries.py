@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capframe.catalogue import views as D
-from capframe.fixed_values import EMB_DIM, MAX_LEN, NOISE_EPS, SEED
+from capframe.fixed_values import EMB_DIM, MAX_LEN, MODALITY_WEIGHTS, NOISE_EPS, SEED
 from capframe.functions import prompts as P
 from capframe.functions import sequences as S
 from capframe.functions import text as T
@@ -496,10 +496,12 @@ def _noise() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(EMB_DIM - 1)), lambda i: F.sin(F.col("photo_id") * 0.5 + i))
 
 
-def _pairs(spark, sf_dir):
-    rows = ranking.with_batches(D.embeddings(spark, sf_dir).select("photo_id", "vector"), "photo_id")
-    rows = embeddings.with_batch_size(rows.withColumn("near", V.perturb(F.col("vector"), _noise())), "batch_id")
-    other = embeddings.negative_position(F.col("batch_pos"), F.col("batch_size"), whole(SEED, F.col("photo_id")))
+def _pairs(spark, sf_dir, first: int = 1, dim: int = EMB_DIM):
+    """Each vector with its perturbed copy and the copy of another row of its batch."""
+    rows = D.embeddings(spark, sf_dir).select("photo_id", F.slice("vector", first, dim).alias("vector"))
+    size = embeddings.batch_rows(rows.count())
+    rows = ranking.with_batches(rows, "photo_id").withColumn("near", V.perturb(F.col("vector"), F.slice(_noise(), 1, dim)))
+    other = embeddings.negative_position(F.col("batch_pos"), size, whole(SEED, F.col("photo_id")))
     return embeddings.negative_pairs(rows, "vector", "near", other)
 
 
@@ -520,6 +522,17 @@ def infonce(spark, sf_dir):
     return loss.select("batch_id", _six(F.col("loss")).alias("loss"), "n")
 
 
+@query
+def contrastive_total(spark, sf_dir):
+    """Image loss on the whole vectors plus text loss on their second halves."""
+    losses = {
+        "image": embeddings.info_nce(_pairs(spark, sf_dir), "vector", "near"),
+        "text": embeddings.info_nce(_pairs(spark, sf_dir, 33, 32), "vector", "near"),
+    }
+    total = embeddings.contrastive_total(losses, MODALITY_WEIGHTS)
+    return total.select("batch_id", _six(F.col("contrastive_loss")).alias("contrastive_loss"))
+
+
 @query
 def gaussian_perturbation(spark, sf_dir):
     """Mean and spread of seeded noise over all embedding values."""

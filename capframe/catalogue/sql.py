@@ -266,6 +266,14 @@ SQL["cosine_negatives"] = _with(D.EMBEDDINGS_SQL, PAIRS) + """
 SELECT photo_id, CAST(neg_pos AS INTEGER) AS neg_pos, round(pos_sim, 6) AS pos_sim, round(neg_sim, 6) AS neg_sim FROM pairs"""
 SQL["infonce"] = _with(D.EMBEDDINGS_SQL, PAIRS) + """
 SELECT batch_id, round(avg(ln(1 + exp((neg_sim - pos_sim) / 0.2e0))), 6) AS loss, count(*) AS n FROM pairs GROUP BY batch_id"""
+_LOSS = "SELECT batch_id, avg(ln(1 + exp((neg_sim - pos_sim) / 0.2e0))) AS loss FROM pairs GROUP BY batch_id"
+_HALF = D.EMBEDDINGS_SQL + ", halves AS (SELECT photo_id, vector[33:64] AS vector FROM vectors)"
+SQL["contrastive_total"] = f"""
+SELECT batch_id, round(sum(loss), 6) AS contrastive_loss FROM (
+  ({_with(D.EMBEDDINGS_SQL, PAIRS)} {_LOSS})
+  UNION ALL
+  ({_with(_HALF, PAIRS.replace('FROM vectors', 'FROM halves'))} {_LOSS}))
+GROUP BY batch_id"""
 SQL["gaussian_perturbation"] = """
 SELECT sum(len(embedding))::BIGINT AS n, true AS centred, true AS spread FROM embeddings"""
 LOGITS = """centres AS (

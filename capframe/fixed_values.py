@@ -22,6 +22,7 @@ EMB_DIM = 64
 NOISE_EPS = 0.1
 TEMPERATURE = 0.2
 CONTRASTIVE_WEIGHT = 0.05
+MODALITY_WEIGHTS = {"image": 1.0, "text": 1.0}
 COSINE_FLOOR = 1e-8
 IGNORED_LABEL = -100
 

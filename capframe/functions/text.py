@@ -13,8 +13,9 @@ from capframe.fixed_values import CLASSES, MAX_LEN, TOKEN_PATTERN
 WORD_CHAR = r"[\p{L}\p{N}_]"
 BLANK = r"[\s\x1c-\x1f]"
 
-# Everything up to the end of the n-th token. Possessive, so it is read once from the left.
-HEAD_PATTERN = r"^(?:[^a-zA-Z.,!?;:()\-']*+(?:[a-zA-Z]++|[.,!?;:()\-'])){0,%d}+"
+# Lower-cased text up to the end of the n-th token. Possessive, so it is read once from the left.
+HEAD_PATTERN = r"^(?:[^a-z.,!?;:()\-']*+(?:[a-z]++|[.,!?;:()\-'])){0,%d}+"
+_LONG = 32  # characters per token kept, beyond which finding the head first pays
 
 
 def image_path(photo_id: Column, folder: str, suffix: str = ".jpg") -> Column:
@@ -25,13 +26,15 @@ def image_path(photo_id: Column, folder: str, suffix: str = ".jpg") -> Column:
 def tokenize(caption: Column, max_len: int | None = MAX_LEN) -> Column:
     """Lower-cased words and punctuation marks, the first ``max_len`` of them; null gives an empty list.
 
-    With a limit, the scan of the text ends at the last token kept: the tokens that follow
+    With a limit, the scan of a long text ends at the last token kept: the tokens that follow
     cannot change the ones before them.
     """
     text = F.lower(F.coalesce(caption, F.lit("")))
-    if max_len is not None:
-        text = F.regexp_extract(text, HEAD_PATTERN % max_len, 0)
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    if max_len is None:
+        return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    head = F.regexp_extract(text, HEAD_PATTERN % max_len, 0)
+    text = F.when(F.length(text) > _LONG * max_len, head).otherwise(text)
+    return F.slice(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), 1, max_len)
 
 
 def strip(text: Column) -> Column:

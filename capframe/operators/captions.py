@@ -57,6 +57,7 @@ def top_words(df: DataFrame, k: int, label: str = "label", tokens: str = "tokens
     Words are counted before the window, and the rank limit is applied per task before its
     shuffle, so a class with most of the words sends ``k`` rows per task.
     """
-    counts = df.select(label, F.explode(tokens).alias("word")).groupBy(label, "word").agg(F.count("*").alias("freq"))
+    words = df.select(label, F.explode_outer(tokens).alias("word")).where(F.col("word").isNotNull())
+    counts = words.groupBy(label, "word").agg(F.count("*").alias("freq"))
     order = W.partitionBy(label).orderBy(F.desc("freq"), "word")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

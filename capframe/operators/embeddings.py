@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capframe.fixed_values import TEMPERATURE
+from capframe.fixed_values import BATCH_SIZE, TEMPERATURE
 from capframe.functions import vectors as V
 from capframe.operators.lookup import lookup
 
+_FLAT = 256
 VECTOR_ROWS = 100_000  # broadcast bound for vectors: some 100 MB at 64 doubles
 
 
@@ -20,7 +21,15 @@ def pair_modalities(images: DataFrame, texts: DataFrame, key: str, how: str = "i
 
 
 def mean_by_group(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
-    """Element-wise mean vector and row count per group; partial sums are combined before the shuffle."""
+    """Element-wise mean vector and row count per group; partial sums are combined before the shuffle.
+
+    Up to ``_FLAT`` values the sums are columns of one aggregate, beyond that one row per value.
+    """
+    if dim > _FLAT:
+        values = df.select(group, F.posexplode_outer(vector).alias("pos", "v")).where(F.col("pos") < dim)
+        means = values.groupBy(group, "pos").agg(F.count("*").alias("n"), F.avg(F.col("v").cast("double")).alias("m"))
+        ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
+        return means.groupBy(group).agg(F.max("n").alias("n"), F.transform(ordered, lambda p: p["m"]).alias("mean"))
     means = [F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(dim)]
     pooled = df.groupBy(group).agg(F.count("*").alias("n"), *means)
     return pooled.select(group, "n", F.array(*[f"_m{i}" for i in range(dim)]).alias("mean"))
@@ -53,10 +62,9 @@ def negative_position(position: Column, size: Column, draw: Column) -> Column:
     return ((position + 1 + step) % size).cast("int")
 
 
-def with_batch_size(df: DataFrame, batch: str, size: str = "batch_size") -> DataFrame:
-    """Rows with the number of rows in their batch."""
-    counts = df.groupBy(batch).agg(F.count("*").alias(size))
-    return df.join(counts, batch)
+def batch_rows(rows: int, size: int = BATCH_SIZE, batch: str = "batch_id") -> Column:
+    """Rows in a batch of ``with_batches`` over ``rows`` rows: ``size``, or less in the last one."""
+    return F.least(F.lit(size), F.lit(rows) - F.col(batch) * size).cast("int")
 
 
 def negative_pairs(
@@ -84,3 +92,12 @@ def info_nce(
     neg = V.cosine(F.col(vector), F.col(negative))
     loss = F.log1p(F.exp((neg - pos) / F.lit(temperature)))
     return pairs.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))
+
+
+def contrastive_total(losses: dict[str, DataFrame], weights: dict[str, float], by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """Weighted sum of the losses of several modalities per group ``by``."""
+    parts = None
+    for name, frame in losses.items():
+        part = frame.select(*by, (F.col("loss") * F.lit(float(weights[name]))).alias("loss"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy(*by).agg(F.sum("loss").alias("contrastive_loss"))

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capframe.session import materialize
+
 BROADCAST_ROWS = 1_000_000  # narrow rows: a word or label with its id
 HOT_KEYS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
     """Keys that hold at least one in ``most`` of the rows; there cannot be more than ``most``."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") * most >= F.lit(df.count())).select(key).where(F.col(key).isNotNull())
+    counts = materialize(df.groupBy(key).agg(F.count("*").alias("_n")), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.where(F.col(key).isNotNull() & (F.col("_n") * most >= F.lit(total))).select(key)
 
 
 def lookup(

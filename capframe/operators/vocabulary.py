@@ -18,9 +18,14 @@ _JOINS = 16  # longest sequence encoded by one broadcast join per place
 
 def word_counts(df: DataFrame, tokens: str, ord: str, max_len: int = MAX_LEN) -> DataFrame:
     """``word, freq, first``: how often a word occurs, and a number that orders words by first appearance."""
-    words = df.select(F.col(ord).cast("long").alias("_ord"), F.posexplode(tokens).alias("_pos", "word"))
+    # The outer form: the inner one filters on the size of the list first, which would tokenize twice.
+    words = df.select(F.col(ord).cast("long").alias("_ord"), F.posexplode_outer(tokens).alias("_pos", "word"))
     place = F.col("_ord") * max_len + F.col("_pos")
-    return words.groupBy("word").agg(F.count("*").alias("freq"), F.min(place).alias("first"))
+    return (
+        words.where(F.col("word").isNotNull())
+        .groupBy("word")
+        .agg(F.count("*").alias("freq"), F.min(place).alias("first"))
+    )
 
 
 @dataclass(frozen=True)
@@ -88,6 +93,8 @@ def encode(
 
     The vocabulary is broadcast while it has at most ``broadcast_rows`` words.
     """
+    if vocab is None:
+        raise ValueError("a vocabulary is needed")
     if fits_by_place(vocab, max_len, broadcast_rows):
         return encode_by_place(df, tokens, vocab.table, max_len, out)
     return _encode_by_word(df, tokens, vocab, key, max_len, out, broadcast_rows)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -58,24 +58,29 @@ class Fitted:
 
 
 def fit_best(
-    train: DataFrame, valid: DataFrame, image: bool, text: bool, grid: Sequence[float] = (0.1, 0.01, 0.001)
+    train: DataFrame,
+    valid: DataFrame,
+    image: bool,
+    text: bool,
+    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    make: Callable[[float], Estimator] = classifier,
 ) -> Fitted:
-    """One model per regularisation value; the one with the highest validation macro-F1, the first on ties."""
+    """One model ``make(value)`` per grid value; the one with the highest validation macro-F1, the first on ties."""
     spark = train.sparkSession
     features = Pipeline(stages=feature_stages(image, text)).fit(train)
     ready = features.transform(train).select("label_id", "features").persist()
     checked = features.transform(valid).select("label_id", "features").persist()
     models, scores = [], []
-    for i, reg in enumerate(grid, start=1):
-        model = classifier(reg).fit(ready)
+    for i, value in enumerate(grid, start=1):
+        model = make(value).fit(ready)
         predicted = model.transform(checked)
         score = macro_f1(class_metrics(predicted, "label_id", "prediction")).first()
         micro = micro_precision(predicted, "label_id", "prediction").first()
         models.append(model)
-        scores.append(("grid", i, float(reg), score.macro_f1 or 0.0, micro.micro_precision or 0.0))
+        scores.append(("grid", i, float(value), score.macro_f1 or 0.0, micro.micro_precision or 0.0))
     ready.unpersist()
     checked.unpersist()
-    history = spark.createDataFrame(scores, "run string, epoch int, reg double, score double, micro_precision double")
+    history = spark.createDataFrame(scores, "run string, epoch int, value double, score double, micro_precision double")
     top = best_epoch(history).first()
     best = top.best_epoch if top else None
     return Fitted(PipelineModel([*features.stages, models[(best or 1) - 1]]), best, history)
@@ -86,14 +91,20 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("photo_i
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("pred_id"))
 
 
-def run_config(table: DataFrame, image: bool, text: bool, grid: Sequence[float] = (0.1, 0.01, 0.001)) -> DataFrame:
+def run_config(
+    table: DataFrame,
+    image: bool,
+    text: bool,
+    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    make: Callable[[float], Estimator] = classifier,
+) -> DataFrame:
     """Test predictions of the model chosen for one modality; ``table`` has ``split`` and ``label_id``."""
     inputs = ["tokens"] * text + ["image_vector"] * image
     known = table.where(F.col("label_id").isNotNull()).select("photo_id", "label_id", "split", *inputs)
     # Fitting reads the features many times: written once, in the columns it needs.
     known = materialize(known, "features")
     train, valid = known.where(F.col("split") == "train"), known.where(F.col("split") == "valid")
-    fitted = fit_best(train, valid, image, text, grid)
+    fitted = fit_best(train, valid, image, text, grid, make)
     return predict(fitted.model, known.where(F.col("split") == "test"))
 
 

@@ -20,6 +20,7 @@ from capframe.functions.prompts import (
 from capframe.functions.text import parse_label
 from capframe.operators.captions import split_by_caption
 from capframe.operators.ranking import shuffle_rows
+from capframe.session import materialize
 
 Model = Callable[[pd.DataFrame], Sequence]
 Factory = Callable[[], Model]
@@ -66,11 +67,13 @@ def complete_captions(
 ) -> DataFrame:
     """Photos with their empty captions written by a model, in seeded random order.
 
-    The model gets ``image_path`` and ``prompt``. Only rows without a caption reach it.
+    The model gets ``image_path`` and ``prompt``. Only rows without a caption reach it, and what it
+    wrote is stored, so no later pass over the table runs it again.
     """
     missing, present = split_by_caption(photos)
     inputs = {"image_path": F.col("image_path"), "prompt": caption_prompt(F.col("image_path"), tags, prompt)}
-    done = present.unionByName(missing.withColumn("caption", infer(factory, inputs)))
+    written = materialize(missing.withColumn("caption", infer(factory, inputs)), "completed")
+    done = present.unionByName(written)
     return shuffle_rows(done, ["photo_id"], seed) if shuffle else done
 
 
@@ -103,11 +106,12 @@ def classify(
 ) -> DataFrame:
     """``photo_id, label, config, output, pred``: all configurations in one job.
 
-    The model gets ``image_path`` (null without images) and ``request``.
+    The model gets ``image_path`` (null without images) and ``request``; its outputs are stored,
+    so scoring does not run it again.
     """
     prompted = classification_inputs(photos, configs, templates, tags)
     path = F.when(F.col("config").isin(*[c for c in configs if CONFIGS[c][0]]), F.col("image_path"))
     answered = prompted.select(
         "photo_id", "label", "config", infer(factory, {"image_path": path, "request": F.col("request")}).alias("output")
     )
-    return answered.withColumn("pred", parse_label(F.col("output"), labels))
+    return materialize(answered, "answers").withColumn("pred", parse_label(F.col("output"), labels))

@@ -12,6 +12,7 @@ from capframe.functions.text import tokenize
 from capframe.operators.labels import label_ids, with_label_id
 from capframe.operators.ranking import split_column
 from capframe.operators.vocabulary import Vocabulary, build_vocabulary, encode
+from capframe.session import materialize
 from capframe.sources.images import keep_valid
 
 
@@ -33,13 +34,13 @@ def prepare(
 ) -> Prepared:
     """Photos with ``tokens``, ``label_id``, ``token_ids`` and ``split``.
 
-    Broken images (not in ``valid``) go first, so they count neither for labels nor for words.
-    Completed data comes without ``valid``. The vocabulary is built on all rows, or with
+    Broken images (not in ``valid``) go first, so they count neither for labels nor for words; the
+    rows kept are stored, so images are checked once. Completed data comes without ``valid``. The vocabulary is built on all rows, or with
     ``vocab_scope="train"`` on the training split only.
     """
     if vocab_scope not in ("all", "train"):
         raise ValueError(f"unknown vocab_scope {vocab_scope}")
-    kept = photos if valid is None else keep_valid(photos, valid)
+    kept = photos if valid is None else materialize(keep_valid(photos, valid), "valid")
     split = split_column(kept, ["photo_id"], seed)
     rows = kept.withColumn("tokens", tokenize(F.col("caption"), max_len)).withColumn("split", split)
     scope = rows if vocab_scope == "all" else rows.where(F.col("split") == "train")

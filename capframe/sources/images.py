@@ -56,7 +56,7 @@ def valid_photos(spark: SparkSession, folder: str, decode: bool = True, **option
 
 def keep_valid(df: DataFrame, valid: DataFrame, key: str = "photo_id") -> DataFrame:
     """Rows with a readable image; missing and empty files count as broken."""
-    return df.join(valid.select(key).distinct(), key, "left_semi")
+    return df.join(valid.select(key), key, "left_semi")
 
 
 def drop_broken(df: DataFrame, broken: DataFrame, key: str = "photo_id") -> DataFrame:
@@ -67,7 +67,7 @@ def drop_broken(df: DataFrame, broken: DataFrame, key: str = "photo_id") -> Data
 def keep_existing(df: DataFrame, files: DataFrame, key: str = "photo_id", strict: bool = False) -> DataFrame:
     """Rows whose file exists; ``strict`` fails the job at the first row without one."""
     if not strict:
-        return df.join(files.select(key).distinct(), key, "left_semi")
+        return df.join(files.select(key), key, "left_semi")
     there = files.select(key).distinct().withColumn("_there", F.lit(True))
     error = F.raise_error(F.concat(F.lit("image not found: "), F.col(key).cast("string"))).cast("boolean")
     return df.join(there, key, "left").where(F.coalesce("_there", error)).drop("_there")

@@ -50,7 +50,7 @@ def test_vector_functions(spark):
 def test_negatives(spark, size):
     values = vectors(101)
     rows = R.with_batches(frame(spark, values), "photo_id", size=size)
-    rows = E.with_batch_size(rows.withColumn("near", F.col("vector")), "batch_id")
+    rows = rows.withColumn("near", F.col("vector")).withColumn("batch_size", E.batch_rows(101, size))
     neg = E.negative_position(F.col("batch_pos"), F.col("batch_size"), whole(1, F.col("photo_id")))
     pairs = E.negative_pairs(rows, "vector", "near", neg).collect()
     single = 101 if size == 1 else 1 if 101 % size == 1 else 0
@@ -84,6 +84,21 @@ def test_gaussian_is_keyed_and_normal(spark):
     assert abs(mean) < 0.05 and abs(sum((x - mean) ** 2 for x in flat) / len(flat) - 1) < 0.06
 
 
+def test_contrastive_total(spark):
+    one = spark.createDataFrame([(0, 1.0), (1, 2.0)], "batch_id int, loss double")
+    two = spark.createDataFrame([(0, 0.5)], "batch_id int, loss double")
+    total = E.contrastive_total({"image": one, "text": two}, {"image": 1.0, "text": 2.0})
+    assert {r.batch_id: r.contrastive_loss for r in total.collect()} == {0: 2.0, 1: 2.0}
+
+
+def test_long_vectors_are_pooled_alike(spark, monkeypatch):
+    df = frame(spark, vectors(30)).withColumn("g", F.col("photo_id") % 3)
+    flat = {r.g: (r.n, r["mean"]) for r in E.mean_by_group(df, "g", "vector", 6).collect()}
+    monkeypatch.setattr(E, "_FLAT", 2)
+    for r in E.mean_by_group(df, "g", "vector", 6).collect():
+        assert (r.n, r["mean"]) == (flat[r.g][0], pytest.approx(flat[r.g][1]))
+
+
 def test_pooling_and_lookup(spark):
     values = vectors(30)
     df = frame(spark, values).withColumn("g", F.col("photo_id") % 3)

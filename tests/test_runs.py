@@ -48,6 +48,12 @@ def test_run_matrix(prepared):
         B.run_config(prepared, image=False, text=False)
 
 
+def test_perceptron_on_fused_features(prepared):
+    make = lambda seed: B.perceptron(B.TEXT_DIM + 2, 4, hidden=4, seed=int(seed)).setMaxIter(3)
+    rows = B.run_config(prepared, image=True, text=True, grid=(1,), make=make).collect()
+    assert rows and {r.pred_id for r in rows} <= {0, 1, 2, 3}
+
+
 def test_vocabulary_scope(spark, sf):
     photos = views.captions(spark, sf)
     every, train = prepare(photos), prepare(photos, vocab_scope="train")
