@@ -116,11 +116,11 @@ def encoded_captions(spark, sf_dir):
 
 
 @query
-def encoded_captions_shuffled(spark, sf_dir):
-    """The form for vocabularies too large to broadcast."""
+def encoded_captions_large_vocabulary(spark, sf_dir):
+    """The form for vocabularies too large to broadcast, here above 100 words."""
     rows = _tokens(spark, sf_dir)
     words = vocabulary.build_vocabulary(rows, "tokens", "ord")
-    coded = vocabulary.encode(rows, "tokens", words, "photo_id", broadcast_rows=0)
+    coded = vocabulary.encode(rows, "tokens", words, "photo_id", broadcast_rows=100)
     return coded.select("photo_id", _joined("token_ids").alias("ids"))
 
 

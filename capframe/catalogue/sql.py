@@ -73,7 +73,7 @@ SQL["word_freq"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS) + "SELECT word, count(*)
 SQL["vocab"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS, VOCAB) + "SELECT word, freq, id FROM vocab"
 SQL["vocab_size"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS, VOCAB) + "SELECT count(*) + 2 AS vocab_size FROM vocab"
 SQL["encoded_captions"] = _with(*ENCODED) + "SELECT photo_id, array_to_string(token_ids, ' ') AS ids FROM ids"
-SQL["encoded_captions_shuffled"] = SQL["encoded_captions"]
+SQL["encoded_captions_large_vocabulary"] = SQL["encoded_captions"]
 
 # Labels.
 LABELS = """labels_by_id AS (

@@ -32,8 +32,8 @@ def lookup(
 
     A table of at most ``broadcast_rows`` rows, counted here, is broadcast. Beyond that the hot
     keys (at most ``HOT_KEYS``, by their share of the rows) are answered from a broadcast, and
-    the rest meet the table in a shuffle join. Rows already answered join on nothing and are
-    spread by ``spread``, so no partition receives a hot key.
+    the rest meet the table in a shuffle join on the key and its hash. Rows already answered have
+    no key there and the hash of ``spread`` instead, so no partition receives a hot key.
     """
     if table.count() <= broadcast_rows:
         return df.join(F.broadcast(table), key, "left")
@@ -42,12 +42,12 @@ def lookup(
     head = hot.join(table, key, "left").select(
         F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values]
     )
-    tail = table.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_spread"), *values)
+    tail = table.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_spread"), *values)
     answered = F.col("_hot").isNotNull() | F.col(key).isNull()
     sides = (
         df.join(F.broadcast(head), F.col(key) == F.col("_hot"), "left")
         .withColumn("_key", F.when(~answered, F.col(key)))
-        .withColumn("_spread", F.when(answered, F.xxhash64(*spread)).otherwise(F.lit(0)))
+        .withColumn("_spread", F.when(answered, F.xxhash64(*spread)).otherwise(F.xxhash64(key)))
     )
     joined = sides.join(tail.hint("merge"), ["_key", "_spread"], "left")
     return joined.select(*df.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in values])

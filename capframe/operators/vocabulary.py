@@ -53,7 +53,9 @@ def fits_by_place(vocab: Vocabulary, max_len: int, broadcast_rows: int = BROADCA
     return vocab.size - 2 <= broadcast_rows and max_len <= _JOINS
 
 
-def encode_by_place(df: DataFrame, tokens: str, table: DataFrame, max_len: int, out: str) -> DataFrame:
+def encode_by_place(
+    df: DataFrame, tokens: str, table: DataFrame, max_len: int, out: str, unknown: int | None = UNK_ID
+) -> DataFrame:
     """One broadcast join per place, all on the same broadcast: rows are neither exploded nor shuffled."""
     columns, wide = df.columns, df
     ids = []
@@ -61,10 +63,33 @@ def encode_by_place(df: DataFrame, tokens: str, table: DataFrame, max_len: int,
         words = table.select(F.col("word").alias(f"_w{i}"), F.col("id").alias(f"_i{i}"))
         wide = wide.join(F.broadcast(words), F.get(tokens, F.lit(i)) == F.col(f"_w{i}"), "left")
         here = F.size(F.coalesce(tokens, F.array().cast("array<string>"))) > i
-        ids.append(F.when(here, F.coalesce(f"_i{i}", F.lit(UNK_ID))).otherwise(F.lit(PAD_ID)))
+        ids.append(F.when(here, F.coalesce(f"_i{i}", F.lit(unknown).cast("int"))).otherwise(F.lit(PAD_ID)))
     return wide.select(*columns, F.array(*ids).alias(out))
 
 
+def _encode_head_and_tail(
+    df: DataFrame, tokens: str, vocab: Vocabulary, key: str, max_len: int, out: str, broadcast_rows: int
+) -> DataFrame:
+    """The frequent words by place; only the tokens left over meet the rest of the vocabulary in a shuffle.
+
+    Words with at least one in ``broadcast_rows`` of all kept occurrences are frequent: there are
+    at most ``broadcast_rows`` of them, and they are most of any text. No other word is hot.
+    """
+    frequent = F.col("freq") * broadcast_rows >= F.lit(vocab.occurrences)
+    probed = encode_by_place(df, tokens, vocab.table.where(frequent), max_len, "_ids", unknown=None)
+    left_over = F.exists("_ids", lambda x: x.isNull())
+    partial = probed.where(left_over)
+    placed = F.transform(tokens, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    open_places = F.filter(placed, lambda p: F.get("_ids", p["pos"]).isNull())
+    missing = partial.select(key, F.explode_outer(open_places).alias("p")).select(key, "p.*")
+    found = missing.join(vocab.table.where(~frequent).select("word", "id"), "word", "left")
+    entry = F.struct("pos", F.coalesce("id", F.lit(UNK_ID)))
+    fills = found.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("_fill"))
+    filled = F.transform("_ids", lambda x, i: F.coalesce(x, F.try_element_at("_fill", i)))
+    done = probed.where(~left_over).select(*df.columns, F.col("_ids").alias(out))
+    return done.unionByName(partial.join(fills, key).select(*df.columns, filled.alias(out)))
+
+
 def _encode_by_word(
     df: DataFrame, tokens: str, vocab: Vocabulary, key: str, max_len: int, out: str, broadcast_rows: int
 ) -> DataFrame:
@@ -91,11 +116,13 @@ def encode(
 ) -> DataFrame:
     """Ids of the tokens, 1 for words not kept, padded with 0 to ``max_len``; ``key`` must be unique.
 
-    The vocabulary is broadcast while it has at most ``broadcast_rows`` words.
+    The vocabulary is broadcast while it has at most ``broadcast_rows`` words; of a larger one, the
+    most frequent words are.
     """
     if vocab is None:
         raise ValueError("a vocabulary is needed")
     if fits_by_place(vocab, max_len, broadcast_rows):
         return encode_by_place(df, tokens, vocab.table, max_len, out)
+    if max_len <= _JOINS:
+        return _encode_head_and_tail(df, tokens, vocab, key, max_len, out, broadcast_rows)
     return _encode_by_word(df, tokens, vocab, key, max_len, out, broadcast_rows)
-

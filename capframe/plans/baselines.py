@@ -18,7 +18,7 @@ from capframe.operators.metrics import class_metrics, macro_f1, micro_precision
 from capframe.operators.trainlog import best_epoch
 from capframe.session import materialize
 
-TEXT_DIM = 1 << 12  # hashed words: a fixed size whatever the vocabulary
+TEXT_DIM = 1 << 11  # hashed words: a fixed size whatever the vocabulary
 
 
 def feature_stages(image: bool, text: bool, text_dim: int = TEXT_DIM) -> list:
@@ -34,8 +34,8 @@ def feature_stages(image: bool, text: bool, text_dim: int = TEXT_DIM) -> list:
     return stages + [VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def classifier(reg: float = 0.01, max_iter: int = 50) -> LogisticRegression:
-    return LogisticRegression(labelCol="label_id", regParam=reg, maxIter=max_iter, family="multinomial")
+def classifier(reg: float = 0.01, max_iter: int = 50, tol: float = 1e-4) -> LogisticRegression:
+    return LogisticRegression(labelCol="label_id", regParam=reg, maxIter=max_iter, tol=tol, family="multinomial")
 
 
 def perceptron(inputs: int, classes: int, hidden: int = 64, seed: int = 42) -> MultilayerPerceptronClassifier:

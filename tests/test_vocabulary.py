@@ -49,15 +49,18 @@ def test_order_column_decides(spark):
     assert word_ids(V.build_vocabulary(frame(spark, texts).withColumn("ord", -F.col("ord")), "tokens", "ord")) == {"x": 2, "y": 3}
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
-def test_encode_both_forms(spark, broadcast_rows, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [10**6, 10, 0])
+@pytest.mark.parametrize("joins", [16, 1])
+def test_encode_all_forms(spark, broadcast_rows, joins, monkeypatch):
     monkeypatch.setattr(V, "HOT_KEYS", 4)
+    monkeypatch.setattr(V, "_JOINS", joins)
     rng = random.Random(3)
     words = ["the"] * 30 + ["dog", "cat", "food", "menu"] * 5 + [f"w{chr(97 + i)}" for i in range(20)]
     texts = [None, ""] + [" ".join(rng.choices(words, k=rng.randrange(14))) for _ in range(200)]
     rows = frame(spark, texts)
     vocab = V.build_vocabulary(rows, "tokens", "ord")
-    got = V.encode(rows, "tokens", vocab, "photo_id", broadcast_rows=broadcast_rows).select("photo_id", "token_ids", "caption")
+    got = V.encode(rows, "tokens", vocab, "photo_id", broadcast_rows=broadcast_rows)
+    assert got.columns == [*rows.columns, "token_ids"]
     expected = oracles.vocabulary([oracles.tokens(t) for t in texts])
     assert got.count() == len(texts)
     for row in got.collect():
