@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +22,7 @@ from capframe.operators import captions as C
 from capframe.operators import compare, embeddings, images, labels, metrics, ranking, trainlog, vocabulary
 from capframe.plans import baselines, examples, inference
 from capframe.plans.prepare import prepare
-from capframe.session import materialize, scratch_dir
+from capframe.session import materialize, scratch_dir, ship_package
 from capframe.sources import images as image_files
 from capframe.sources import photos, reports
 
@@ -29,8 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _six(c: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +28,45 @@ def get_spark(app: str = "capframe", master: str | None = None, **conf) -> Spark
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, by way of the shared scratch folder.
+
+    Image and model jobs import it there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as package:
+        for source in sorted(root.rglob("*.py")):
+            package.write(source, source.relative_to(root.parent))
+    target = f"{scratch_dir(spark)}/capframe.zip"
+    path, system = _hadoop(spark, target)
+    stream = system.create(path, True)
+    stream.write(archive.getvalue())
+    stream.close()
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
+def _hadoop(spark: SparkSession, name: str):
+    """Path and file system of a name, whatever storage it lies on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path, system = _hadoop(spark, name)
+    return system.exists(path)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -53,6 +94,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's scratch tables; frames built on them stop working."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _hadoop(spark, scratch_dir(spark))
+    return system.delete(path, True)

@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capframe.session import path_exists
+
 # The first bytes of JPEG, PNG, GIF and BMP files.
 MAGIC = ["FFD8FF", "89504E470D0A1A0A", "474946383761", "474946383961", "424D"]
 
@@ -99,7 +101,6 @@ def latest_verdicts(verdicts: DataFrame) -> DataFrame:
 
 def _known_verdicts(spark: SparkSession, table: str) -> DataFrame:
     schema = "photo_id string, path string, modified timestamp, valid boolean"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if path_exists(spark, table):
         return spark.read.schema(schema).parquet(table)
     return spark.createDataFrame([], schema)
