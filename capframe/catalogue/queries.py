@@ -552,10 +552,15 @@ def gaussian_perturbation(spark, sf_dir):
     )
 
 
+MOST_CENTRES = 1000
+
+
 def _logits(spark, sf_dir) -> DataFrame:
     """Scores against class centres: one small weight row per class, held as literals."""
     rows = D.embeddings(spark, sf_dir)
-    centres = embeddings.mean_by_group(rows, "label", "vector", EMB_DIM).limit(labels.MOST_LABELS).collect()
+    centres = embeddings.mean_by_group(rows, "label", "vector", EMB_DIM).limit(MOST_CENTRES + 1).collect()
+    if len(centres) > MOST_CENTRES:
+        raise ValueError("too many classes to hold their weights as literals")
     centres.sort(key=lambda r: r.label)
     weights = [r["mean"] for r in centres]
     bias = [-0.5 * sum(x * x for x in w) for w in weights]

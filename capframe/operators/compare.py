@@ -20,6 +20,10 @@ def compare_configs(scores: DataFrame, configs: Sequence[str], baseline: str, va
 def predictions_wide(
     predictions: DataFrame, key: str, configs: Sequence[str], pred: str = "pred", prefix: str = "pred_"
 ) -> DataFrame:
-    """One row per ``key`` with a prediction column named by each configuration."""
+    """One row per ``key`` with a prediction column named by each configuration.
+
+    Partitioned by key first: a row per key and configuration leaves nothing to combine before
+    the shuffle, and so the rows are sorted once.
+    """
     chosen = [F.first(F.when(F.col("config") == c, F.col(pred)), ignorenulls=True).alias(prefix + c) for c in configs]
-    return predictions.groupBy(key).agg(*chosen)
+    return predictions.repartition(key).groupBy(key).agg(*chosen)

@@ -39,7 +39,8 @@ def lookup(
         return df.join(F.broadcast(table), key, "left")
     values = [c for c in table.columns if c != key]
     hot = hot_keys(df, key) if hot is None else hot
-    head = hot.join(table, key, "left").select(
+    matched = table.join(F.broadcast(hot), key, "left_semi")
+    head = hot.join(F.broadcast(matched), key, "left").select(
         F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values]
     )
     tail = table.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_spread"), *values)

@@ -12,7 +12,7 @@ from capframe.fixed_values import BATCH_SIZE, SEED
 from capframe.functions.draws import digest
 from capframe.session import materialize
 
-_PART = 1 << 33  # monotonically_increasing_id counts rows in the low 33 bits
+_PART_BITS = 33  # monotonically_increasing_id counts a partition's rows in the low 33 bits
 _HEX = 4  # digits looked at per pass when a cut is searched: 65,536 counts at most
 _SMALL = 20_000  # rows sorted to find a cut
 
@@ -35,7 +35,7 @@ def global_row_number(df: DataFrame, *order: str, out: str = "rn") -> DataFrame:
         .withColumn("_seq", F.monotonically_increasing_id())
     )
     table = materialize(ranged, "ordered")
-    part = F.floor(F.col("_seq") / F.lit(_PART))
+    part = F.shiftright("_seq", _PART_BITS)
     offsets = (
         table.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_n"))
@@ -45,7 +45,7 @@ def global_row_number(df: DataFrame, *order: str, out: str = "rn") -> DataFrame:
     return (
         table.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_before") + F.col("_seq") % _PART + 1)
+        .withColumn(out, F.col("_before") + F.col("_seq") % (1 << _PART_BITS) + 1)
         .drop("_part", "_seq", "_before")
     )
 
@@ -98,7 +98,7 @@ def with_batches(df: DataFrame, *order: str, size: int = BATCH_SIZE, rank: str |
     """
     numbered = df if rank else global_row_number(df, *order, out="_rn")
     zero = F.col(rank or "_rn") - 1
-    batched = numbered.withColumn("batch_id", F.floor(zero / F.lit(size)).cast("long")).withColumn(
+    batched = numbered.withColumn("batch_id", ((zero - zero % size) / size).cast("long")).withColumn(
         "batch_pos", (zero % size).cast("int")
     )
     return batched if rank else batched.drop("_rn")
