@@ -637,7 +637,9 @@ def mean_tokens(spark, sf_dir):
 @query
 def epoch_loss(spark, sf_dir):
     rows = trainlog.epoch_losses(D.batch_log(spark, sf_dir))
-    return rows.select("run", "epoch", *[_six(F.col(c)).alias(c) for c in ("pred_loss", "contrastive_loss", "total_loss")], "batches")
+    # Twelve places: means of values with few decimals often lie halfway between two shorter numbers.
+    losses = [F.round(c, 12).alias(c) for c in ("pred_loss", "contrastive_loss", "total_loss")]
+    return rows.select("run", "epoch", *losses, "batches")
 
 
 PATIENCE = 4

@@ -313,8 +313,8 @@ SQL["mean_tokens"] = _with(D.EMBEDDINGS_SQL) + (
 
 # Training logs.
 SQL["epoch_loss"] = _with(D.BATCH_LOG_SQL) + f"""
-SELECT run, epoch, round(avg(pred_loss), 6) AS pred_loss, round(avg(contrastive_loss), 6) AS contrastive_loss,
-       round(avg(pred_loss + {CONTRASTIVE_WEIGHT}e0 * contrastive_loss), 6) AS total_loss, count(*) AS batches
+SELECT run, epoch, round(avg(pred_loss), 12) AS pred_loss, round(avg(contrastive_loss), 12) AS contrastive_loss,
+       round(avg(pred_loss + {CONTRASTIVE_WEIGHT}e0 * contrastive_loss), 12) AS total_loss, count(*) AS batches
 FROM batch_log GROUP BY run, epoch"""
 SQL["early_stop"] = _with(D.EPOCH_LOG_SQL) + f""",
 steps AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i,

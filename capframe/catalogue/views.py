@@ -104,7 +104,7 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score per run and epoch: the mean event value as a share of 500."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(
-        F.round(F.avg("value") / 500, 6).alias("score")
+        F.round(F.avg("value") / 500, 12).alias("score")
     )
 
 
@@ -160,7 +160,7 @@ BATCH_LOG_SQL = """batch_log AS (
          CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) / 100 AS contrastive_loss FROM events)"""
 
 EPOCH_LOG_SQL = """epoch_log AS (
-  SELECT user_id AS run, CAST(dayofmonth(ts) AS INTEGER) AS epoch, round(avg(value) / 500, 6) AS score
+  SELECT user_id AS run, CAST(dayofmonth(ts) AS INTEGER) AS epoch, round(avg(value) / 500, 12) AS score
   FROM events GROUP BY 1, 2)"""
 
 PICTURES_SQL = """pictures AS (

@@ -15,6 +15,7 @@ BLANK = r"[\s\x1c-\x1f]"
 
 # Lower-cased text up to the end of the n-th token. Possessive, so it is read once from the left.
 HEAD_PATTERN = r"^(?:[^a-z.,!?;:()\-']*+(?:[a-z]++|[.,!?;:()\-'])){0,%d}+"
+_NESTED = 64  # the matcher nests once per token of the head, so longer heads are not searched
 _LONG = 32  # characters per token kept, beyond which finding the head first pays
 
 
@@ -32,8 +33,9 @@ def tokenize(caption: Column, max_len: int | None = MAX_LEN) -> Column:
     text = F.lower(F.coalesce(caption, F.lit("")))
     if max_len is None:
         return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    head = F.regexp_extract(text, HEAD_PATTERN % max_len, 0)
-    text = F.when(F.length(text) > _LONG * max_len, head).otherwise(text)
+    if max_len <= _NESTED:
+        head = F.regexp_extract(text, HEAD_PATTERN % max_len, 0)
+        text = F.when(F.length(text) > _LONG * max_len, head).otherwise(text)
     return F.slice(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), 1, max_len)
 
 

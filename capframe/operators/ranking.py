@@ -24,7 +24,7 @@ def _running_before(value: str, order: str) -> Column:
 
 
 def global_row_number(df: DataFrame, *order: str, out: str = "rn") -> DataFrame:
-    """Position from 1 in the total order of ``order``.
+    """Position from 1 in the total order of ``order``, which should be unique: ties share a range.
 
     Range-partitioned and sorted in parallel, written once, then numbered by adding each
     partition's offset: one shuffle, and no task sees more than its range.

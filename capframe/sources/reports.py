@@ -32,6 +32,15 @@ def metrics_json(metrics: DataFrame, by: Sequence[str] = (), pretty: bool = Fals
     return nest_metrics(metrics, by).select(*by, body.alias("json"))
 
 
+def report_lines(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One printable line per class."""
+    line = F.format_string(
+        "%s: precision %.4f, recall %.4f, f1 %.4f, support %d",
+        F.col("class").cast("string"), "precision", "recall", "f1", "support",
+    )
+    return metrics.select(*by, "class", line.alias("line"))
+
+
 def write_metrics(metrics: DataFrame, path: str, by: Sequence[str], run_id: str | None = None) -> None:
     """Nested metrics as JSON, in a folder per run; the configuration ``by`` stays a column."""
     run = F.lit(run_id) if run_id else timestamp_suffix()

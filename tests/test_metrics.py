@@ -112,5 +112,7 @@ def test_compare_and_report(spark, tmp_path):
     reports.write_metrics(scores, str(tmp_path / "out"), ["config"])
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 2 and {"run_id", "per_class", "macro_f1", "config"} == set(back.columns)
+    lines = {r["class"]: r.line for r in reports.report_lines(M.class_metrics(pairs_frame(spark, [("food", "food")]), "label", "pred")).collect()}
+    assert lines == {"food": "food: precision 1.0000, recall 1.0000, f1 1.0000, support 1"}
     answers = C.predictions_wide(df, "photo_id", ["text", "both"]).collect()
     assert all((r.pred_text, r.pred_both) == (a[r.photo_id][1], b[r.photo_id][1]) for r in answers)

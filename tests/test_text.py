@@ -27,12 +27,17 @@ def test_tokens(spark, sf):
     letters = "aB1 .,-'é(\n_"
     texts = CAPTIONS + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(300)]
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    wide = letters + "😀日ßİ\u0301\u00a0\t;!?:"
+    texts += ["".join(rng.choices(wide, k=rng.randrange(300, 900))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = df.select("i", T.tokenize(F.col("t")).alias("ten"), T.tokenize(F.col("t"), None).alias("all"),
-                    T.tokenize(F.col("t"), 3).alias("three")).collect()
+                    T.tokenize(F.col("t"), 3).alias("three"), T.tokenize(F.col("t"), 64).alias("most"),
+                    T.tokenize(F.col("t"), 70).alias("more")).collect()
     for row in got:
         assert row.ten == oracles.tokens(texts[row.i]), texts[row.i]
         assert row.three == oracles.tokens(texts[row.i], 3)
+        assert row.most == oracles.tokens(texts[row.i], 64)
+        assert row.more == oracles.tokens(texts[row.i], 70)
         assert row.all == oracles.tokens(texts[row.i], None)
 
 
