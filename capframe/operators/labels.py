@@ -32,16 +32,21 @@ def _sort_key(name):
     return name.encode() if isinstance(name, str) else name
 
 
+def _spread(df: DataFrame) -> list[str]:
+    """Columns that tell rows apart; maps cannot be hashed."""
+    return [name for name, kind in df.dtypes if "map<" not in kind]
+
+
 def with_label_id(df: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
     """Rows with ``label_id``, null where the label is null or not listed."""
     table = labels.select(F.col("label").alias(label), "label_id")
-    return lookup(df, table, label, spread=df.columns[:1], broadcast_rows=MOST_LABELS)
+    return lookup(df, table, label, spread=_spread(df), broadcast_rows=MOST_LABELS)
 
 
 def with_label_name(df: DataFrame, labels: DataFrame, id_col: str, out: str) -> DataFrame:
     """Rows with the name of a label id; an id not listed fails the job."""
     table = labels.select(F.col("label_id").alias(id_col), F.col("label").alias(out))
-    named = lookup(df, table, id_col, spread=df.columns[:1], broadcast_rows=MOST_LABELS)
+    named = lookup(df, table, id_col, spread=_spread(df), broadcast_rows=MOST_LABELS)
     missing = F.raise_error(F.concat(F.lit(f"no label for {id_col} "), F.col(id_col).cast("string")))
     checked = F.when(F.col(out).isNull() & F.col(id_col).isNotNull(), missing.cast("string")).otherwise(F.col(out))
     return named.withColumn(out, checked)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capframe.session import materialize
@@ -13,11 +13,16 @@ BROADCAST_ROWS = 1_000_000  # narrow rows: a word or label with its id
 HOT_KEYS = 10_000
 
 
+def share(total: int, parts: int) -> Column:
+    """Rows that make one in ``parts`` of ``total``; at most ``parts`` groups can have as many."""
+    return F.lit(total / parts if parts else float("inf"))
+
+
 def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS) -> DataFrame:
     """Keys that hold at least one in ``most`` of the rows; there cannot be more than ``most``."""
     counts = materialize(df.groupBy(key).agg(F.count("*").alias("_n")), "counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col(key).isNotNull() & (F.col("_n") * most >= F.lit(total))).select(key)
+    return counts.where(F.col(key).isNotNull() & (F.col("_n") >= share(total, most))).select(key)
 
 
 def lookup(

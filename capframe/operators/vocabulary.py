@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capframe.fixed_values import MAX_LEN, MIN_FREQ, PAD_ID, UNK_ID
 from capframe.functions.sequences import pad_right
-from capframe.operators.lookup import BROADCAST_ROWS, HOT_KEYS, lookup
+from capframe.operators.lookup import BROADCAST_ROWS, HOT_KEYS, lookup, share
 from capframe.operators.ranking import global_row_number
 from capframe.session import materialize
 
@@ -73,9 +73,10 @@ def _encode_head_and_tail(
     """The frequent words by place; only the tokens left over meet the rest of the vocabulary in a shuffle.
 
     Words with at least one in ``broadcast_rows`` of all kept occurrences are frequent: there are
-    at most ``broadcast_rows`` of them, and they are most of any text. No other word is hot.
+    at most ``broadcast_rows`` of them, and they are most of any text. No other word is hot in the
+    rows the vocabulary was counted on.
     """
-    frequent = F.col("freq") * broadcast_rows >= F.lit(vocab.occurrences)
+    frequent = F.col("freq") >= share(vocab.occurrences, broadcast_rows)
     probed = encode_by_place(df, tokens, vocab.table.where(frequent), max_len, "_ids", unknown=None)
     left_over = F.exists("_ids", lambda x: x.isNull())
     partial = probed.where(left_over)
@@ -97,7 +98,7 @@ def _encode_by_word(
     words = df.select(key, F.posexplode_outer(tokens).alias("_pos", "word"))
     table = vocab.table.select("word", "id")
     # Words with at least one in HOT_KEYS of the kept occurrences: HOT_KEYS of them at most.
-    hot = vocab.table.where(F.col("freq") * HOT_KEYS >= F.lit(vocab.occurrences)).select("word")
+    hot = vocab.table.where(F.col("freq") >= share(vocab.occurrences, HOT_KEYS)).select("word")
     found = lookup(words, table, "word", [key, "_pos"], broadcast_rows, hot)
     pair = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     ids = found.groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))

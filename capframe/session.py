@@ -22,7 +22,6 @@ def get_spark(app: str = "capframe", master: str | None = None, **conf) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Images and feature maps are wide: Python workers get batches by size, not only by rows.
         .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
