@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,20 @@ def epoch_losses(
     )
 
 
+_CHUNK = 100_000  # epochs of one run that one task goes through
+
+
+def _earlier(rows: DataFrame, run: str, values: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """Rows with values gathered over the chunks of their run before their own.
+
+    ``values`` gives an aggregate over a chunk and the function that combines chunks.
+    """
+    chunks = rows.groupBy(run, "_chunk").agg(*[inside.alias(name) for name, (inside, _) in values.items()])
+    before = W.partitionBy(run).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = [combine(name).over(before).alias(name) for name, (_, combine) in values.items()]
+    return rows.join(chunks.select(run, "_chunk", *carried), [run, "_chunk"])
+
+
 def early_stopping(
     log: DataFrame, run: str = "run", epoch: str = "epoch", score: str = "score", patience: int = PATIENCE
 ) -> DataFrame:
@@ -39,29 +53,47 @@ def early_stopping(
 
     An epoch improves when its score is strictly above every earlier one and above 0. The run
     stops at the ``patience``-th epoch in a row without improvement (null: never); the best
-    epoch is the last improvement until then (null: none). The window holds one run's epochs,
-    so logs of single batches are averaged per epoch first.
+    epoch is the last improvement until then (null: none).
+
+    Runs of more than ``_CHUNK`` epochs are cut at epoch numbers, and what earlier chunks found is
+    carried into each, so a run with most of the log is not one task's work.
     """
-    ordered = W.partitionBy(run).orderBy(epoch)
+    longest = log.groupBy(run).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = longest > _CHUNK
+    rows = log.select(run, epoch, score).withColumn(
+        "_chunk", F.col(epoch) - F.pmod(F.col(epoch), F.lit(_CHUNK)) if cut else F.lit(0)
+    )
+    if cut:
+        rows = _earlier(rows, run, {"_rows": (F.count("*"), F.sum), "_top": (F.max(score), F.max)})
+    else:
+        rows = rows.withColumn("_rows", F.lit(0)).withColumn("_top", F.lit(0.0))
+    ordered = W.partitionBy(run, "_chunk").orderBy(epoch)
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     until = ordered.rowsBetween(W.unboundedPreceding, 0)
-    best_before = F.greatest(F.coalesce(F.max(score).over(before), F.lit(0.0)), F.lit(0.0))
-    steps = (
-        log.select(run, epoch, score)
-        .withColumn("_i", F.row_number().over(ordered))
-        .withColumn("_better", F.col(score) > best_before)
-        .withColumn("_last", F.coalesce(F.max(F.when(F.col("_better"), F.col("_i"))).over(until), F.lit(0)))
-        .withColumn("_stop", (F.col("_i") - F.col("_last")) >= patience)
-        .withColumn("_stopped", F.coalesce(F.max("_stop").over(before), F.lit(False)))
-    )
-    # Epochs after the stop were never run.
-    seen = steps.where(~F.col("_stopped"))
-    improved = F.when(F.col("_better"), F.col(epoch))
-    return seen.groupBy(run).agg(
-        F.count("*").alias("epochs"),
-        F.max(improved).alias("best_epoch"),
-        F.max(F.when(F.col("_better"), F.col(score))).alias("best_score"),
-        F.max(F.when(F.col("_stop"), F.col(epoch))).alias("stop_epoch"),
+    best_before = F.greatest(F.max(score).over(before), F.col("_top"), F.lit(0.0))
+    rows = rows.withColumn("_i", F.coalesce("_rows", F.lit(0)).cast("long") + F.row_number().over(ordered))
+    rows = rows.withColumn("_better", F.col(score) > best_before)
+    # Improvements only grow in place, epoch and score, so the last one is the largest of each.
+    last = {f"_last{c}": F.max(F.when(F.col("_better"), F.col(c))) for c in ("_i", epoch, score)}
+    for name, largest in last.items():
+        rows = rows.withColumn(name + "_here", largest.over(until))
+    if cut:
+        rows = _earlier(rows, run, {name: (largest, F.max) for name, largest in last.items()})
+        known = {name: F.coalesce(name + "_here", name) for name in last}
+    else:
+        known = {name: F.col(name + "_here") for name in last}
+    last_i, last_epoch, last_score = known.values()
+    stop = F.when(F.col("_i") - F.coalesce(last_i, F.lit(0)) >= patience, F.col("_i"))
+    rows = rows.select(run, epoch, stop.alias("_stop"), last_epoch.alias("_epoch"), last_score.alias("_score"))
+
+    def at_stop(value: str) -> Column:
+        return F.when(F.min("_stop").isNull(), F.max(value)).otherwise(F.min_by(value, "_stop"))
+
+    return rows.groupBy(run).agg(
+        F.coalesce(F.min("_stop"), F.count("*")).alias("epochs"),
+        at_stop("_epoch").alias("best_epoch"),
+        at_stop("_score").alias("best_score"),
+        F.min(F.when(F.col("_stop").isNotNull(), F.col(epoch))).alias("stop_epoch"),
     )
 
 

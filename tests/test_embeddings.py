@@ -122,9 +122,12 @@ def test_epoch_losses(spark):
     assert (row.pred_loss, row.contrastive_loss, row.total_loss) == pytest.approx((2.0, 3.0, 2.15))
 
 
-def test_early_stopping(spark):
+@pytest.mark.parametrize("chunk", [100_000, 7, 1])
+def test_early_stopping(spark, chunk, monkeypatch):
+    monkeypatch.setattr(T, "_CHUNK", chunk)
     rng = random.Random(4)
     runs = [[round(rng.random(), 1) for _ in range(30)] for _ in range(60)]
+    runs += [[0.9, 0.1, 0.1, 0.1, 0.1, 0.1, 0.95, 0.99], [0.0] * 5 + [0.5] * 9]
     runs += [[0.0] * 12, [0.1, 0.1, 0.1, 0.1, 0.1], [0.1 * i for i in range(12)], [0.5, 0.4, 0.4, 0.4, 0.9]]
     rows = [(r, e, s) for r, values in enumerate(runs) for e, s in enumerate(values, start=1)]
     df = spark.createDataFrame(rows, "run int, epoch int, score double")

@@ -121,3 +121,14 @@ def test_classification(photos):
     assert {r.config: r.pred for r in rows} == {"text": "drink", "image_text": "food", "image": "no idea"}
     only = inference.classify(photos, factory, ["image"])
     assert only.count() == len(ROWS)
+
+
+def test_user_encoder_gives_vectors(spark):
+    def factory():
+        import numpy as np
+
+        return lambda frame: [np.array([len(p), 1.0], dtype="float32") for p in frame["image_path"]]
+
+    df = spark.createDataFrame([("a.jpg",), ("long.jpg",)], "image_path string")
+    rows = df.select("image_path", inference.infer(factory, {"image_path": F.col("image_path")}, "array<float>").alias("v")).collect()
+    assert {r.image_path: r.v for r in rows} == {"a.jpg": [5.0, 1.0], "long.jpg": [8.0, 1.0]}
