@@ -18,6 +18,7 @@ from capframe.operators.metrics import class_metrics, macro_f1, micro_precision
 from capframe.operators.trainlog import best_epoch
 from capframe.session import materialize
 
+GRID = (0.1, 0.01)  # regularisation tried by default
 TEXT_DIM = 1 << 11  # hashed words: a fixed size whatever the vocabulary
 
 
@@ -62,7 +63,7 @@ def fit_best(
     valid: DataFrame,
     image: bool,
     text: bool,
-    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    grid: Sequence[float] = GRID,
     make: Callable[[float], Estimator] = classifier,
 ) -> Fitted:
     """One model ``make(value)`` per grid value; the one with the highest validation macro-F1, the first on ties."""
@@ -95,7 +96,7 @@ def run_config(
     table: DataFrame,
     image: bool,
     text: bool,
-    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    grid: Sequence[float] = GRID,
     make: Callable[[float], Estimator] = classifier,
 ) -> DataFrame:
     """Test predictions of the model chosen for one modality; ``table`` has ``split`` and ``label_id``."""
@@ -114,7 +115,7 @@ MODALITIES = {"text": (False, True), "image": (True, False), "both": (True, True
 def run_matrix(
     tables: dict[str, DataFrame],
     modalities: Sequence[str] = tuple(MODALITIES),
-    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    grid: Sequence[float] = GRID,
 ) -> DataFrame:
     """``config, class, precision, recall, f1, support`` of every data variant and modality.
 

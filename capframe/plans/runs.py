@@ -16,7 +16,7 @@ from capframe.operators.images import plan_eval, with_colour_features
 from capframe.operators.labels import with_label_name
 from capframe.operators.metrics import class_metrics
 from capframe.operators.ranking import with_split
-from capframe.plans.baselines import MODALITIES, run_matrix, with_image_vector
+from capframe.plans.baselines import GRID, MODALITIES, run_matrix, with_image_vector
 from capframe.plans.inference import CONFIGS, Factory, classify, complete_captions
 from capframe.plans.prepare import prepare
 from capframe.session import materialize
@@ -40,7 +40,7 @@ def supervised(
     image_vectors: DataFrame,
     out: str,
     modalities: Sequence[str] = tuple(MODALITIES),
-    grid: Sequence[float] = (0.1, 0.01, 0.001),
+    grid: Sequence[float] = GRID,
     run_id: str | None = None,
 ) -> DataFrame:
     """Scores per class of every variant and modality, also written as JSON to ``out``.
