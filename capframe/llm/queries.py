@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from capframe.llm import decontaminate, packing, pii, quality, simhash
+from capframe.llm import chat, decontaminate, neighbours, packing, passages, pii, quality, rollup, simhash, toxicity
 from capframe.llm.common import materialize, read
+from capframe.session import scratch_dir
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,22 +25,75 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserts, a new tokenizer, a revision, a take-down, and a batch that comes twice.
+
+    Batch 1 inserts all documents as counted by ``words``; 2 those of ``pieces``; 3 revises the
+    German ones, whose pieces count once more for every word; 4 deletes documents under 100
+    characters or without text; then batch 3 arrives again.
+    """
+    docs = read(spark, sf_dir, "documents").select("source", "lang", "text")
+    counted = materialize(
+        docs.select("source", "lang", F.length("text").alias("chars"), rollup.words(F.col("text")).alias("w"), rollup.word_pieces(F.col("text")).alias("p")),
+        "counts",
+    )
+    german, short = counted.where("lang = 'de'"), counted.where("chars < 100 or chars is null")
+    revised = rollup.changes(german, "revise", "pieces", F.col("p") + F.col("w"), F.col("p"))
+    now = F.when(F.col("lang") == "de", F.col("p") + F.col("w")).otherwise(F.col("p"))
+    totals = rollup.TokenRollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    totals.apply("words", rollup.changes(counted, "insert", "words", F.col("w")))
+    totals.apply("pieces", rollup.changes(counted, "insert", "pieces", F.col("p")))
+    totals.apply("german", revised)
+    gone = rollup.changes(short, "delete", "words", None, F.col("w")).unionByName(
+        rollup.changes(short, "delete", "pieces", None, now)
+    )
+    totals.apply("short", gone)
+    totals.apply("german", revised)
+    return totals.totals()
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    formatted = materialize(chat.format_conversations(turns.unionByName(extra)), "formatted")
+    return chat.digests(formatted)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.document_stats(read(spark, sf_dir, "documents")), "stats")
     return quality.score(stats, quality.fit(stats, read(spark, sf_dir, "labels")))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
+    "op4_embeddings": op4_embeddings,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_token_rollup": op7_token_rollup,
+    "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_passages": op10_passages,
     "pipeline": corpus_pipeline.run,
 }
 
