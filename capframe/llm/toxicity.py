@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capframe.llm.common import label_rows, materialize, remainder
@@ -18,8 +18,11 @@ TRAIN = 1_000  # of them, per class, the field is fitted on
 TRAIN_CHARS = 20_000  # longer documents are not used to fit the field
 CANDIDATES = 5_000  # words considered for the list
 ODDS = 4.0
+FADE, TAIL = 0.4, 0.05
 CHUNK = 500_000  # tokens decoded at once
 
+STEMS = (3, 7)  # a list entry ``abc*`` stands for all words that start so; lengths of such stems
+
 _TOKEN = re.compile(r"[^\W_]+")
 _BUCKETS, _SHAPES, _LENGTHS = 3, 4, 4
 _EDGE = _BUCKETS  # neighbour beyond the text
@@ -36,7 +39,9 @@ class TokenCodes(dict):
         if len(self) > 1_000_000:
             self.clear()
         shape = 0 if token.islower() else 1 if token.istitle() else 2 if token.isupper() else 3
-        bucket = self.words.get(token.lower(), 0)
+        word = token.lower()
+        entries = [word, *(f"{word[:k]}*" for k in range(STEMS[0], min(STEMS[1], len(word)) + 1))]
+        bucket = max(self.words.get(e, 0) for e in entries)
         self[token] = code = (bucket * _SHAPES + shape) * _LENGTHS + min(len(token), 15) // 4
         return code
 
@@ -155,16 +160,37 @@ def fit_field(docs: list[np.ndarray], toxic: list[bool], rounds: int = 80, ridge
     return f
 
 
-def choose_words(holders: dict[str, set], clean: dict[str, int]) -> list[str]:
-    """Words that explain the toxic documents: greedily the one with most unexplained documents less clean ones."""
-    open_docs, left, chosen = set().union(*holders.values()) if holders else set(), dict(holders), []
+def _entries(text: Column) -> Column:
+    """Distinct words of a text and their stems, as entries of the word list."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+    def stems(word: Column) -> Column:
+        lengths = F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length(word)))
+        cut = F.transform(lengths, lambda k: F.concat(F.substring(word, F.lit(1), k), F.lit("*")))
+        return F.when(F.length(word) >= STEMS[0], F.concat(F.array(word), cut)).otherwise(F.array(word))
+
+    return F.array_distinct(F.flatten(F.transform(words, stems)))
+
+
+def choose_words(holders: dict[str, set], clean: dict[str, int], per_clean: float) -> list[str]:
+    """Entries that explain the toxic documents.
+
+    Greedily the one whose toxic documents weigh most, less ``per_clean`` for each clean one; the
+    longer of equals. A document weighs 1, and ``FADE`` times as much after each entry that explains
+    it. It ends when the best weighs less than 2, or than ``TAIL`` of the first.
+    """
+    weight = dict.fromkeys(set().union(*holders.values()) if holders else (), 1.0)
+    left, chosen, least = dict(holders), [], 2.0
     while left:
-        word = max(sorted(left), key=lambda w: len(left[w] & open_docs) - clean[w])
-        docs = left.pop(word)
-        if len(docs & open_docs) - clean[word] < 2:
+        gains = {w: sum(weight[d] for d in docs) - per_clean * clean[w] for w, docs in left.items()}
+        word = max(sorted(left), key=lambda w: (round(gains[w], 6), len(w)))
+        if gains[word] < least:
             break
+        least = max(least, TAIL * gains[word]) if not chosen else least
         chosen.append(word)
-        open_docs -= docs
+        for doc in left.pop(word):
+            weight[doc] *= FADE
+        left = {w: d for w, d in left.items() if gains[w] >= least}  # gains only fall
     return chosen
 
 
@@ -177,20 +203,21 @@ class ToxicityModel:
     weights: np.ndarray
     prior: float = 0.0
 
-    def score(self, best: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def score(self, best: np.ndarray, total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         if self.field is None:
             return np.full(len(best), self.prior)
-        return 1 / (1 + np.exp(-np.clip(_summary(best, total) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_summary(best, total, tokens) @ self.weights, -30, 30)))
 
 
-def _summary(best: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What a document's marginals say of it: the largest, as log odds, and how many there are."""
+def _summary(best: np.ndarray, total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What a document's marginals say of it: the largest, as log odds, their sum, their share."""
     best = np.clip(best, 1e-6, 1 - 1e-6)
-    return np.column_stack([np.ones(len(best)), np.log(best / (1 - best)) / 5, np.log1p(total)])
+    share = np.log((total + 0.02) / (tokens + 1)) / 5
+    return np.column_stack([np.ones(len(best)), np.log(best / (1 - best)) / 5, np.log1p(total), share])
 
 
 def decode(texts: Iterable[str | None], codes: TokenCodes, field: Field):
-    """(largest marginal, their sum, offending spans) of each text, whole texts, some tokens at a time."""
+    """(largest marginal, their sum, words, offending spans) of each text, whole texts, some tokens at a time."""
     held, raw, n = [], [], 0
 
     def flush():
@@ -200,7 +227,7 @@ def decode(texts: Iterable[str | None], codes: TokenCodes, field: Field):
             if len(hits):
                 wanted = set(hits.tolist())
                 spans = ",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(_TOKEN.finditer(text)) if k in wanted)
-            yield float(p.max(initial=0.0)), float(p.sum()), spans
+            yield float(p.max(initial=0.0)), float(p.sum()), len(p), spans
 
     for text in texts:
         held.append(codes.of(text))
@@ -232,10 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     counts = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
-        return ToxicityModel({}, None, np.zeros(3), 1.0 if toxic else 0.0)
-    words = train.select(
-        "doc_id", "y", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")
-    )
+        return ToxicityModel({}, None, np.zeros(4), 1.0 if toxic else 0.0)
+    words = train.select("doc_id", "y", F.explode_outer(_entries(F.col("text"))).alias("word"))
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
     listed = (
         words.where("word is not null")
@@ -249,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     holders: dict[str, set] = {r.word: set() for r in listed.select("word").collect()}
     for r in words.where("y = 1").join(F.broadcast(listed.select("word")), "word").select("word", "doc_id").collect():
         holders[r.word].add(r.doc_id)
-    known = choose_words(holders, {r.word: r.c for r in listed.collect()})
+    known = choose_words(holders, {r.word: r.c for r in listed.collect()}, toxic / clean)
     codes = {w: 1 for w in holders} | {w: 2 for w in known}
     rows = []
     for y in (0, 1):
@@ -258,15 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     table = TokenCodes(codes)
     rows = [(c, bool(r.y)) for r in rows if len(c := table.of(r.text))]
     if not rows:
-        return ToxicityModel({}, None, np.zeros(3), toxic / (toxic + clean))
+        return ToxicityModel({}, None, np.zeros(4), toxic / (toxic + clean))
     field = fit_field([c for c, _ in rows], [y for _, y in rows])
-    model = ToxicityModel(codes, field, np.zeros(3))
-    seen = marginals(train.select("doc_id", "y", "text"), model, "y int").select("y", "best", "total").toPandas()
-    x, y = _summary(seen["best"].to_numpy(), seen["total"].to_numpy()), seen["y"].to_numpy(float)
-    w = np.zeros(3)
+    model = ToxicityModel(codes, field, np.zeros(4))
+    seen = marginals(train.select("doc_id", "y", "text"), model, "y int").select("y", "best", "total", "tokens").toPandas()
+    x = _summary(*(seen[c].to_numpy() for c in ("best", "total", "tokens")))
+    y = seen["y"].to_numpy(float)
+    w = np.zeros(4)
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3), x.T @ (y - p) - 0.01 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), x.T @ (y - p) - 0.01 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -275,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def marginals(docs: DataFrame, model: ToxicityModel, more: str = "") -> DataFrame:
-    """(doc_id, ..., best, total, spans) of every row."""
+    """(doc_id, ..., best, total, tokens, spans) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [c for c in docs.columns if c != "text"]
 
@@ -284,10 +310,10 @@ def marginals(docs: DataFrame, model: ToxicityModel, more: str = "") -> DataFram
 
         codes = TokenCodes(model.words)
         for frame in frames:
-            out = pd.DataFrame(decode(frame["text"], codes, model.field), columns=["best", "total", "spans"])
+            out = pd.DataFrame(decode(frame["text"], codes, model.field), columns=["best", "total", "tokens", "spans"])
             yield pd.concat([frame[names].reset_index(drop=True), out], axis=1)
 
-    kinds = ", ".join(x for x in (f"doc_id {kind}", more, "best double, total double, spans string") if x)
+    kinds = ", ".join(x for x in (f"doc_id {kind}", more, "best double, total double, tokens long, spans string") if x)
     return docs.mapInPandas(batches, kinds)
 
 
@@ -296,17 +322,17 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
-    def scores(best, total):
+    def scores(best, total, tokens):
         import pandas as pd
 
-        return pd.Series(model.score(best.to_numpy(), total.to_numpy()))
+        return pd.Series(model.score(best.to_numpy(), total.to_numpy(), tokens.to_numpy()))
 
-    usable = model if model.field is not None else ToxicityModel({}, new_field(), np.zeros(3))
+    usable = model if model.field is not None else ToxicityModel({}, new_field(), np.zeros(4))
     found = marginals(docs.select("doc_id", "text"), usable)
     modulus, rest = HELD_OUT
     return found.select(
         "doc_id",
         (remainder(F.col("doc_id"), modulus) == rest).alias("held_out"),
-        scores("best", "total").alias("score"),
+        scores("best", "total", "tokens").alias("score"),
         "spans",
     ).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
