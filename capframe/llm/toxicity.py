@@ -14,7 +14,7 @@ from capframe.llm.common import label_rows, materialize, remainder
 
 HELD_OUT = (5, 0)
 SAMPLE = 20_000  # labelled documents the word list and the calibration come from
-TRAIN = 1_000  # of them, per class, the field is fitted on
+TRAIN = 500  # of them, per class, the field is fitted on
 TRAIN_CHARS = 20_000  # longer documents are not used to fit the field
 CANDIDATES = 5_000  # words considered for the list
 ODDS = 4.0
