@@ -187,7 +187,9 @@ SQL["predictions_wide"] = _with(D.all_predictions_sql()) + (
 )
 
 # Exploration of the training split.
-TRAIN = (D.CAPTIONS_SQL, TOKENS, split_sql("tok"), "train AS (SELECT * FROM split_rows WHERE split = 'train')")
+ALL_TOKENS = r"""tok AS (
+  SELECT *, regexp_extract_all(lower(coalesce(caption, '')), '[a-zA-Z]+|[.,!?;:()\-'']') AS tokens FROM captions)"""
+TRAIN = (D.CAPTIONS_SQL, ALL_TOKENS, split_sql("tok"), "train AS (SELECT * FROM split_rows WHERE split = 'train')")
 SQL["caption_stats"] = _with(*TRAIN) + """
 SELECT label, count(*) AS rows,
        round(avg(CASE WHEN coalesce(caption, '') = '' THEN 1.0e0 ELSE 0.0e0 END), 6) AS missing_rate,

@@ -10,29 +10,35 @@ _BITS = 22  # fixed-point digits of the resampling weights
 
 
 @lru_cache(maxsize=1024)
-def _weights(size_in: int, size_out: int) -> np.ndarray:
-    """Antialiased bilinear weights ``[size_out, size_in]`` as whole numbers."""
+def _taps(size_in: int, size_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Antialiased bilinear weights: the first input of each output, and its few weights as whole numbers."""
     scale = size_in / size_out
     width = max(scale, 1.0)
     centres = (np.arange(size_out) + 0.5) * scale
-    distance = np.abs(np.arange(size_in)[None, :] + 0.5 - centres[:, None]) / width
+    taps = min(size_in, int(np.ceil(2 * width)) + 1)
+    first = np.clip(np.ceil(centres - width - 0.5).astype(np.int64), 0, size_in - taps)
+    distance = np.abs(first[:, None] + np.arange(taps) + 0.5 - centres[:, None]) / width
     weights = np.maximum(0.0, 1.0 - distance)
     weights /= weights.sum(axis=1, keepdims=True)
-    return np.floor(weights * (1 << _BITS) + 0.5).astype(np.int64)
+    return first, np.floor(weights * (1 << _BITS) + 0.5).astype(np.int64)
 
 
-def _resample(pixels: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted sums along the first axis, rounded to bytes."""
-    sums = np.tensordot(weights, pixels.astype(np.int64), axes=(1, 0)) + (1 << (_BITS - 1))
+def _resample(pixels: np.ndarray, taps: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted sums along the first axis, tap by tap, rounded to bytes."""
+    first, weights = taps
+    sums = np.full((len(first), *pixels.shape[1:]), 1 << (_BITS - 1), dtype=np.int64)
+    shape = (-1,) + (1,) * (pixels.ndim - 1)
+    for k in range(weights.shape[1]):
+        sums += weights[:, k].reshape(shape) * pixels[first + k]
     return np.clip(sums >> _BITS, 0, 255).astype(np.uint8)
 
 
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Antialiased bilinear resize: columns first, then rows, bytes in between."""
     if pixels.shape[1] != width:
-        pixels = _resample(pixels.swapaxes(0, 1), _weights(pixels.shape[1], width)).swapaxes(0, 1)
+        pixels = _resample(pixels.swapaxes(0, 1), _taps(pixels.shape[1], width)).swapaxes(0, 1)
     if pixels.shape[0] != height:
-        pixels = _resample(pixels, _weights(pixels.shape[0], height))
+        pixels = _resample(pixels, _taps(pixels.shape[0], height))
     return pixels
 
 

@@ -44,14 +44,33 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
 
 
+def _without_shared_starts(labels: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Groups of labels in which none starts like another: at one place only one of a group can occur."""
+    groups: list[list[tuple[str, str]]] = []
+    for label in labels:
+        for group in groups:
+            if not any(label[0].startswith(o[0]) or o[0].startswith(label[0]) for o in group):
+                group.append(label)
+                break
+        else:
+            groups.append([label])
+    return groups
+
+
 def parse_label(output: Column, labels: Sequence[str] = CLASSES) -> Column:
     """First label of the list that occurs as a whole word in a model output, else the stripped output.
 
-    One scan of the output finds the labels in it; the order of the list then decides.
+    One scan of the output finds the labels in it; the order of the list then decides. Labels are
+    matched as they are, inside a look-ahead, so that one may start within another: at each place
+    the scan notes the label that comes first in the list, and shorter ones have a group of their own.
     """
-    starts = "".join(sorted({label[0] for label in labels}))
-    pattern = rf"(?=[{starts}])(?<!{WORD_CHAR})(?:{'|'.join(labels)})(?!{WORD_CHAR})"
-    found = F.regexp_extract_all(F.lower(output), F.lit(pattern), F.lit(0))
+    quoted = [rf"\Q{label}\E" for label in labels]
+    starts = "".join(sorted({rf"\x{{{ord(label[0]):x}}}" for label in labels}))
+    scans = []
+    for group in _without_shared_starts(list(zip(labels, quoted))):
+        pattern = rf"(?=[{starts}])(?<!{WORD_CHAR})(?=({'|'.join(q for _, q in group)})(?!{WORD_CHAR}))"
+        scans.append(F.regexp_extract_all(F.lower(output), F.lit(pattern), F.lit(1)))
+    found = scans[0] if len(scans) == 1 else F.concat(*scans)
     listed = F.array(*[F.lit(label) for label in labels])
     return F.coalesce(F.get(F.array_intersect(listed, found), F.lit(0)), strip(output))
 

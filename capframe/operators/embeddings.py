@@ -26,7 +26,9 @@ def mean_by_group(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame
     Up to ``_FLAT`` values the sums are columns of one aggregate, beyond that one row per value.
     """
     if dim > _FLAT:
-        values = df.select(group, F.posexplode_outer(vector).alias("pos", "v")).where(F.col("pos") < dim)
+        # Every place of every row, as in the flat form: null and short vectors count alike in both.
+        places = F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("pos")
+        values = df.select(group, vector, places).select(group, "pos", F.get(vector, F.col("pos")).alias("v"))
         means = values.groupBy(group, "pos").agg(F.count("*").alias("n"), F.avg(F.col("v").cast("double")).alias("m"))
         ordered = F.sort_array(F.collect_list(F.struct("pos", "m")))
         return means.groupBy(group).agg(F.max("n").alias("n"), F.transform(ordered, lambda p: p["m"]).alias("mean"))

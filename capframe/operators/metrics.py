@@ -16,11 +16,9 @@ def pair_predictions(truth: DataFrame, predictions: DataFrame, key: str, label:
     right = predictions.select(key, F.col(pred).alias("pred"), F.lit(True).alias("_p"))
     both = F.col("_t").isNotNull() & F.col("_p").isNotNull()
     error = F.raise_error(F.concat(F.lit(f"label and prediction differ at {key} "), F.col(key).cast("string")))
-    joined = left.join(right, key, "full")
-    kind = joined.schema["label"].dataType
-    return joined.select(
-        key, F.when(both, F.col("label")).otherwise(error.cast(kind)).alias("label"), "pred"
-    )
+    # The guard filters, so it holds whichever columns are read later.
+    joined = left.join(right, key, "full").where(F.when(both, F.lit(True)).otherwise(error.cast("boolean")))
+    return joined.select(key, "label", "pred")
 
 
 def unpaired_counts(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
@@ -68,9 +66,10 @@ def class_counts(
     hit = F.when(F.col("label") == F.col("pred"), n).otherwise(zero)
     sides = [_entry(F.col("label"), hit, zero, n), _entry(F.col("pred"), zero, n, zero)]
     entries = pairs.select(*by, F.explode(F.array(*sides, *listed)).alias("e"))
-    if listed and not by:
-        # Listed classes stay even when nothing was scored.
-        entries = entries.unionByName(df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias("e")))
+    if listed:
+        # Listed classes stay even when nothing was scored, in every group of the unfiltered rows.
+        groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+        entries = entries.unionByName(groups.select(*by, F.explode(F.array(*listed)).alias("e")))
     return (
         entries.select(*by, "e.*")
         .where(F.col("class").isNotNull())

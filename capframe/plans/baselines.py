@@ -18,8 +18,8 @@ from capframe.operators.metrics import class_metrics, macro_f1, micro_precision
 from capframe.operators.trainlog import best_epoch
 from capframe.session import materialize
 
-GRID = (0.1, 0.01)  # regularisation tried by default
-TEXT_DIM = 1 << 11  # hashed words: a fixed size whatever the vocabulary
+GRID = (0.1, 0.01, 0.001)  # regularisation tried by default
+TEXT_DIM = 1 << 12  # hashed words: a fixed size whatever the vocabulary
 
 
 def feature_stages(image: bool, text: bool, text_dim: int = TEXT_DIM) -> list:
@@ -35,8 +35,8 @@ def feature_stages(image: bool, text: bool, text_dim: int = TEXT_DIM) -> list:
     return stages + [VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def classifier(reg: float = 0.01, max_iter: int = 50, tol: float = 1e-4) -> LogisticRegression:
-    return LogisticRegression(labelCol="label_id", regParam=reg, maxIter=max_iter, tol=tol, family="multinomial")
+def classifier(reg: float = 0.01, max_iter: int = 50) -> LogisticRegression:
+    return LogisticRegression(labelCol="label_id", regParam=reg, maxIter=max_iter, family="multinomial")
 
 
 def perceptron(inputs: int, classes: int, hidden: int = 64, seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -71,14 +71,19 @@ def fit_best(
     features = Pipeline(stages=feature_stages(image, text)).fit(train)
     ready = features.transform(train).select("label_id", "features").persist()
     checked = features.transform(valid).select("label_id", "features").persist()
-    models, scores = [], []
+    models, predicted = [], None
     for i, value in enumerate(grid, start=1):
-        model = make(value).fit(ready)
-        predicted = model.transform(checked)
-        score = macro_f1(class_metrics(predicted, "label_id", "prediction")).first()
-        micro = micro_precision(predicted, "label_id", "prediction").first()
-        models.append(model)
-        scores.append(("grid", i, float(value), score.macro_f1 or 0.0, micro.micro_precision or 0.0))
+        models.append(make(value).fit(ready))
+        own = models[-1].transform(checked).select("label_id", "prediction", F.lit(i).alias("candidate"))
+        predicted = own if predicted is None else predicted.unionByName(own)
+    # All candidates are scored in one job.
+    macro = macro_f1(class_metrics(predicted, "label_id", "prediction", by=["candidate"]), ["candidate"])
+    micro = micro_precision(predicted, "label_id", "prediction", ["candidate"])
+    found = {r.candidate: r for r in macro.join(micro, "candidate", "left").collect()}
+    scores = []
+    for i, value in enumerate(grid, start=1):
+        r = found.get(i)
+        scores.append(("grid", i, float(value), (r and r.macro_f1) or 0.0, (r and r.micro_precision) or 0.0))
     ready.unpersist()
     checked.unpersist()
     history = spark.createDataFrame(scores, "run string, epoch int, value double, score double, micro_precision double")

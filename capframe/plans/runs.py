@@ -48,13 +48,14 @@ def supervised(
     ``variants`` are photo tables (raw, completed) read from files; ``image_vectors`` has
     ``photo_id, image_vector``. A photo without a vector counts as broken.
     """
-    tables, labels = {}, None
+    named = None
     for name, photos in variants.items():
         ready = prepare(with_source_order(photos), image_vectors)
-        labels = labels or ready.labels
-        tables[name] = pair_modalities(ready.table, image_vectors, "photo_id")
-    scores = run_matrix(tables, modalities, grid).withColumn("label_id", F.col("class").cast("int"))
-    named = with_label_name(scores.drop("class"), labels, "label_id", "class").drop("label_id")
+        table = pair_modalities(ready.table, image_vectors, "photo_id")
+        scores = run_matrix({name: table}, modalities, grid).withColumn("label_id", F.col("class").cast("int"))
+        # Ids are given per variant, so each variant's scores take their names from its own labels.
+        own = with_label_name(scores.drop("class"), ready.labels, "label_id", "class").drop("label_id")
+        named = own if named is None else named.unionByName(own)
     named = materialize(named, "scores")
     write_metrics(named, out, ["config"], run_id)
     return named

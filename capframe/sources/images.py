@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capframe.session import path_exists
+from capframe.session import materialize, path_exists
 
 # The first bytes of JPEG, PNG, GIF and BMP files.
 MAGIC = ["FFD8FF", "89504E470D0A1A0A", "474946383761", "474946383961", "424D"]
@@ -78,25 +76,44 @@ def keep_existing(df: DataFrame, files: DataFrame, key: str = "photo_id", strict
 def refresh_verdicts(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """``photo_id, path, modified, valid`` of all files, kept in a Parquet table.
 
-    Files changed since the last refresh are decoded and appended; known ones are not read
-    again. A file's latest verdict counts.
+    The whole folder is listed, without reading contents, so files that arrive late with an old time
+    are seen. Files whose path and time are not in the table are decoded and appended, each judged
+    by its own path; a file's latest verdict counts.
     """
     known = _known_verdicts(spark, table)
-    since = known.agg(F.date_format(F.max("modified") - timedelta(seconds=1), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
-    options = {"modifiedAfter": since, "timeZone": spark.conf.get("spark.sql.session.timeZone")} if since else {}
-    files = list_files(spark, folder, **options).drop("length")
-    fresh = files.join(known.select("path", "modified"), ["path", "modified"], "left_anti")
-    good = valid_photos(spark, folder, **options).distinct().withColumn("_good", F.lit(True))
-    verdicts = fresh.join(good, "photo_id", "left").select(
+    files = list_files(spark, folder).drop("length")
+    fresh = materialize(files.join(known.select("path", "modified"), ["path", "modified"], "left_anti"), "fresh")
+    paths = _load_lists(fresh)
+    good = spark.createDataFrame([], "path string")
+    for some in paths:
+        decoded = spark.read.format("image").option("dropInvalid", True).load(some)
+        good = good.unionByName(decoded.select(F.col("image.origin").alias("path")))
+    good = good.select(_plain_path(F.col("path")).alias("_path")).distinct().withColumn("_good", F.lit(True))
+    verdicts = fresh.withColumn("_path", _plain_path(F.col("path"))).join(good, "_path", "left").select(
         "photo_id", "path", "modified", F.coalesce("_good", F.lit(False)).alias("valid")
     )
     verdicts.write.mode("append").parquet(table)
     return latest_verdicts(spark.read.parquet(table))
 
 
+def _load_lists(fresh: DataFrame, most: int = 10_000) -> list[list[str]]:
+    """What to decode, a thousand to a reader: up to ``most`` fresh files themselves, beyond that their folders."""
+    few = fresh.select("path").limit(most + 1).count() <= most
+    asked = F.col("path") if few else F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    names = [r[0] for r in fresh.select(asked).distinct().collect()]
+    return [names[i : i + 1000] for i in range(0, len(names), 1000)]
+
+
+def _plain_path(path: Column) -> Column:
+    """Path without scheme and doubled slashes, so that listing and decoder agree."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), "/+", "/")
+
+
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("path", "modified", "valid"), "modified")
-    return verdicts.groupBy("photo_id").agg(last.alias("_v")).select("photo_id", "_v.*")
+    """One row per photo: of its files, each by its latest verdict, a readable one if there is one."""
+    files = verdicts.groupBy("photo_id", "path").agg(F.max_by(F.struct("modified", "valid"), "modified").alias("_v"))
+    best = F.max_by(F.struct("path", "_v.modified", "_v.valid"), F.struct("_v.valid", "_v.modified"))
+    return files.groupBy("photo_id").agg(best.alias("_f")).select("photo_id", "_f.*")
 
 
 def _known_verdicts(spark: SparkSession, table: str) -> DataFrame:
