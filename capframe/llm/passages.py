@@ -134,20 +134,22 @@ def _common(a: bytes, b: bytes) -> int:
 def _compare(sorted_rows: DataFrame, least: int) -> DataFrame:
     """Neighbours of the sorted suffixes: the span of each that matches the one before or after it.
 
-    Each task also gives its first and last suffix (``edge``), to be compared over the borders.
+    ``reach`` is the most words from the suffix on that any other suffix shares: in sorted order a
+    neighbour shares the most. Each task also gives its first and last suffix (``edge``), to be
+    compared over the borders; their reach is taken as unbounded.
     """
     kind = sorted_rows.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterable):
         import pandas as pd
 
-        columns = ["doc_id", "pos", "key", "right", "left", "start", "end", "edge"]
+        columns = ["doc_id", "pos", "key", "right", "left", "start", "end", "reach", "edge"]
         last, rows = None, []
         for frame in frames:
             for row in frame[["doc_id", "pos", "key", "right", "left"]].itertuples(index=False, name=None):
-                now = [*row, 0, 0, False]
+                now = [*row, 0, 0, 0, False]
                 if last is None:
-                    now[7] = True
+                    now[7:] = [least + 1, True]
                 else:
                     _match(last, now, least)
                     rows.append(last)
@@ -155,12 +157,12 @@ def _compare(sorted_rows: DataFrame, least: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
             rows = []
         if last is not None:
-            last[7] = True
+            last[7:] = [least + 1, True]
             yield pd.DataFrame([last], columns=columns)
 
     return sorted_rows.mapInPandas(
         batches,
-        f"doc_id {kind}, pos long, key long, right binary, left binary, start long, end long, edge boolean",
+        f"doc_id {kind}, pos long, key long, right binary, left binary, start long, end long, reach long, edge boolean",
     )
 
 
@@ -169,31 +171,49 @@ def _match(a: list, b: list, least: int) -> None:
     if a[2] != b[2]:
         return
     right, left = _common(a[3], b[3]), _common(a[4], b[4])
+    for x in (a, b):
+        x[7] = max(x[7], right)
     if left + right >= least:
         for x in (a, b):
             if left + right > x[6] - x[5]:
                 x[5], x[6] = x[1] - left, x[1] + right
 
 
-def _windows(rows: DataFrame, least: int, seed: int) -> DataFrame:
-    """(doc_id, start, window): every window of ``least`` words around unsettled suffixes."""
+def _windows(rows: DataFrame, least: int, seed: int, open_only: bool) -> DataFrame:
+    """(doc_id, start, window): the windows of ``least`` words that hold a suffix's whole seed.
+
+    ``open_only`` leaves out those inside the span already found and those that reach further to
+    the right than any other suffix agrees.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterable):
         import pandas as pd
 
         for frame in frames:
-            out = []
-            for doc_id, pos, right, left in zip(frame["doc_id"], frame["pos"], frame["right"], frame["left"]):
+            ids, starts, windows = [], [], []
+            for doc_id, pos, right, left, start, end, reach in frame.itertuples(index=False, name=None):
                 line = np.concatenate([np.frombuffer(left, ">u4")[::-1], np.frombuffer(right, ">u4")]).astype(np.uint64)
                 begin = len(left) // 4
-                # Only windows that hold the whole seed: others belong to other suffixes.
                 lo, hi = max(0, begin + seed - least), begin + 1
-                for k, h in enumerate(rolled(line, least)[lo:hi].view(np.int64).tolist(), lo):
-                    out.append((doc_id, pos - begin + k, h))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "window"])
+                hashes = rolled(line, least)[lo:hi]
+                at = pos - begin + lo + np.arange(len(hashes))
+                if open_only:
+                    wanted = ((at < start) | (at + least > end)) & (at + least - pos <= reach)
+                    at, hashes = at[wanted], hashes[wanted]
+                ids += [doc_id] * len(at)
+                starts.append(at)
+                windows.append(hashes)
+            yield pd.DataFrame(
+                {
+                    "doc_id": ids,
+                    "start": np.concatenate(starts or [np.zeros(0, np.int64)]).astype(np.int64),
+                    "window": np.concatenate(windows or [np.zeros(0, np.uint64)]).view(np.int64),
+                }
+            )
 
-    return rows.select("doc_id", "pos", "right", "left").mapInPandas(batches, f"doc_id {kind}, start long, window long")
+    columns = rows.select("doc_id", "pos", "right", "left", "start", "end", "reach")
+    return columns.mapInPandas(batches, f"doc_id {kind}, start long, window long")
 
 
 def repeated(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -214,16 +234,14 @@ def repeated(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
     compared = materialize(_compare(ranged, least), "compared")
     borders = _over_borders(compared, least)
     done = compared.where("end > start").select("doc_id", "start", "end").unionByName(borders)
-    # A third suffix may share more of both sides than either neighbour: windows find it.
+    # A third suffix may share more to the left than either neighbour: windows find it. Of two
+    # suffixes each is the other's neighbour, so only larger groups are asked.
     shared = compared.groupBy("key").agg(F.count("*").alias("members")).where("members > 2").select("key")
-    unsettled = compared.where("end = start").join(shared.hint("merge"), "key", "left_semi")
-    windows = _windows(unsettled, least, seed).distinct()
-    settled = _windows(
-        compared.where("end > start").join(unsettled.select("key").distinct().hint("merge"), "key", "left_semi"), least, seed
-    )
-    hits = windows.withColumn("open", F.lit(True)).unionByName(settled.withColumn("open", F.lit(False))).distinct()
-    twice = hits.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    rest = hits.where("open").join(twice.hint("merge"), "window", "left_semi")
+    grouped = materialize(compared.join(shared.hint("merge"), "key", "left_semi"), "grouped")
+    rest = materialize(_windows(grouped, least, seed, True).distinct(), "open-windows")
+    place = F.struct("doc_id", "start")
+    places = _windows(grouped, least, seed, False).groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    rest = rest.join(places.where("a != b").select("window").hint("merge"), "window", "left_semi")
     spans = done.unionByName(rest.select("doc_id", "start", (F.col("start") + least).alias("end")))
     return _merged(spans)
 
