@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhea
     bin of the least-cost capacity opens. At the end every bin shrinks to the smallest capacity
     that holds its contents.
     """
-    room = [[] for _ in range(capacities[-1] + 1)]  # bins by free room, and a bit for each length in use
+    room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # heaps of bins by free room, and a bit for each length in use
     mask, placed, filled = 0, [], []
     opened: list[int] = []
     remaining = sum(sizes)
@@ -40,7 +40,7 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhea
         free = mask >> size
         if free:
             left = size + (free & -free).bit_length() - 1
-            k = room[left].pop(0)
+            k = heappop(room[left])
             if not room[left]:
                 mask ^= 1 << left
         else:
@@ -51,7 +51,7 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhea
         filled[k] += size
         remaining -= size
         if left > size:
-            room[left - size].append(k)
+            heappush(room[left - size], k)
             mask |= 1 << (left - size)
     return placed, [capacities[bisect_left(capacities, f)] for f in filled]
 
