@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capframe.catalogue import views as D
-from capframe.fixed_values import EMB_DIM, MAX_LEN, MODALITY_WEIGHTS, NOISE_EPS, SEED
+from capframe.fixed_values import EMB_DIM, MAX_LEN, MODALITY_WEIGHTS, SEED
 from capframe.functions import prompts as P
 from capframe.functions import sequences as S
 from capframe.functions import text as T
@@ -304,8 +304,13 @@ def unpaired_counts(spark, sf_dir):
 
 @query
 def metrics_json(spark, sf_dir):
+    """The JSON report of every configuration, parsed back."""
     scores = metrics.class_metrics(D.all_predictions(spark, sf_dir), "label", "pred", D.LANGS, by=["config"])
-    return reports.metrics_json(scores, ["config"])
+    body = "per_class map<string, struct<precision: double, recall: double, f1: double, support: bigint>>, macro_f1 double"
+    rows = reports.metrics_json(scores, ["config"]).select("config", F.from_json("json", body).alias("r"))
+    rows = rows.select("config", _six(F.col("r.macro_f1")).alias("macro_f1"), F.explode("r.per_class").alias("class", "s"))
+    values = [_six(F.col(f"s.{c}")).alias(c) for c in ("precision", "recall", "f1")]
+    return rows.select("config", "class", "macro_f1", *values, "s.support")
 
 
 @query
@@ -315,7 +320,8 @@ def metrics_report_file(spark, sf_dir):
     scores = metrics.class_metrics(D.all_predictions(spark, sf_dir), "label", "pred", D.LANGS, by=["config"])
     reports.write_metrics(scores, path, ["config"], run_id="check")
     back = spark.read.json(path)
-    return back.select("config", "run_id", _six(F.col("macro_f1")).alias("macro_f1"), "per_class.en.support")
+    supports = [F.col(f"per_class.{c}.support").alias(f"support_{c}") for c in D.LANGS]
+    return back.select("config", "run_id", _six(F.col("macro_f1")).alias("macro_f1"), *supports)
 
 
 @query
@@ -504,11 +510,15 @@ def _noise() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(EMB_DIM - 1)), lambda i: F.sin(F.col("photo_id") * 0.5 + i))
 
 
-def _pairs(spark, sf_dir, first: int = 1, dim: int = EMB_DIM):
+def _copy(vector: str | Column = "vector", dim: int = EMB_DIM) -> Column:
+    return V.perturb(F.col(vector) if isinstance(vector, str) else vector, F.slice(_noise(), 1, dim))
+
+
+def _pairs(spark, sf_dir, near: Column | None = None):
     """Each vector with its perturbed copy and the copy of another row of its batch."""
-    rows = D.embeddings(spark, sf_dir).select("photo_id", F.slice("vector", first, dim).alias("vector"))
+    rows = D.embeddings(spark, sf_dir).select("photo_id", "vector")
     size = embeddings.batch_rows(rows.count())
-    rows = ranking.with_batches(rows, "photo_id").withColumn("near", V.perturb(F.col("vector"), F.slice(_noise(), 1, dim)))
+    rows = ranking.with_batches(rows, "photo_id").withColumn("near", _copy() if near is None else near)
     other = embeddings.negative_position(F.col("batch_pos"), size, whole(SEED, F.col("photo_id")))
     return embeddings.negative_pairs(rows, "vector", "near", other)
 
@@ -532,41 +542,40 @@ def infonce(spark, sf_dir):
 
 @query
 def contrastive_total(spark, sf_dir):
-    """Image loss on the whole vectors plus text loss on their second halves."""
-    losses = {
-        "image": embeddings.info_nce(_pairs(spark, sf_dir), "vector", "near"),
-        "text": embeddings.info_nce(_pairs(spark, sf_dir, 33, 32), "vector", "near"),
-    }
+    """Image loss on the whole vectors plus text loss on their second halves, from one ranking and one pair join."""
+    parts = {"image": F.col("vector"), "text": F.slice("vector", 33, 32)}
+    copies = F.struct(_copy().alias("image"), _copy(parts["text"], 32).alias("text"))
+    pairs = _pairs(spark, sf_dir, copies)
+    losses = {}
+    for name, vector in parts.items():
+        own = pairs.select(
+            "batch_id", vector.alias("vector"), F.col(f"near.{name}").alias("near"), F.col(f"neg_vector.{name}").alias("neg_vector")
+        )
+        losses[name] = embeddings.info_nce(own, "vector", "near")
     total = embeddings.contrastive_total(losses, MODALITY_WEIGHTS)
     return total.select("batch_id", _six(F.col("contrastive_loss")).alias("contrastive_loss"))
 
 
 @query
 def gaussian_perturbation(spark, sf_dir):
-    """Mean and spread of seeded noise over all embedding values."""
+    """Every vector with seeded noise: its sum, and the largest change."""
     rows = D.embeddings(spark, sf_dir)
     near = V.perturb(F.col("vector"), gaussian(F.col("photo_id"), EMB_DIM, SEED))
-    moved = rows.select(F.explode(F.zip_with(near, F.col("vector"), lambda a, b: a - b)).alias("d"))
-    return moved.agg(
-        F.count("*").alias("n"),
-        (F.abs(F.avg("d")) < 0.01).alias("centred"),
-        (F.abs(F.stddev("d") - NOISE_EPS) < 0.01).alias("spread"),
-    )
-
-
-MOST_CENTRES = 1000
+    moved = rows.select("photo_id", "vector", near.alias("near"))
+    change = F.array_max(F.zip_with("near", "vector", lambda a, b: F.abs(a - b)))
+    total = F.aggregate("near", F.lit(0.0), lambda a, x: a + x)
+    return moved.select("photo_id", _six(total).alias("total"), _six(change).alias("change"))
 
 
 def _logits(spark, sf_dir) -> DataFrame:
-    """Scores against class centres: one small weight row per class, held as literals."""
+    """Scores against class centres, whose weights are one value of a subquery."""
     rows = D.embeddings(spark, sf_dir)
-    centres = embeddings.mean_by_group(rows, "label", "vector", EMB_DIM).limit(MOST_CENTRES + 1).collect()
-    if len(centres) > MOST_CENTRES:
-        raise ValueError("too many classes to hold their weights as literals")
-    centres.sort(key=lambda r: r.label)
-    weights = [r["mean"] for r in centres]
-    bias = [-0.5 * sum(x * x for x in w) for w in weights]
-    return rows.select("photo_id", "label", V.linear_scores(F.col("vector"), weights, bias).alias("logits"))
+    centres = embeddings.mean_by_group(rows, "label", "vector", EMB_DIM)
+    mean = F.col("mean")
+    unit = F.struct("label", mean.alias("weights"), (-0.5 * V.dot(mean, mean)).alias("bias"))
+    layer = centres.agg(F.sort_array(F.collect_list(unit)).alias("layer")).scalar()
+    rows = rows.select("photo_id", "label", "vector", layer.alias("layer"))
+    return rows.select("photo_id", "label", V.layer_scores(F.col("vector"), F.col("layer")).alias("logits"))
 
 
 @query
@@ -583,16 +592,20 @@ def cross_entropy(spark, sf_dir):
     return rows.groupBy("label").agg(_six(F.avg(loss)).alias("loss"), F.count("*").alias("n"))
 
 
-def _word_vectors(spark, sf_dir):
-    """Embeddings as learned vectors: one per word id, one per place."""
-    table = D.embeddings(spark, sf_dir).select(F.col("photo_id").alias("id"), "vector")
-    places = table.where(F.col("id") < MAX_LEN).select(F.col("id").alias("pos"), F.col("vector").alias("position"))
-    return table, places
+def _word_vectors(spark, sf_dir, most_id):
+    """Embeddings as learned vectors: one per word id, taken in turn until all have one, and one per place."""
+    learned = D.embeddings(spark, sf_dir).select(F.col("photo_id").alias("turn"), "vector")
+    n = learned.count()
+    ids = spark.range(most_id + 1).select("id", (F.col("id") % n).alias("turn"))
+    places = learned.where(F.col("turn") < MAX_LEN).select(F.col("turn").alias("pos"), F.col("vector").alias("position"))
+    return ids.join(learned, "turn").select("id", "vector"), places
 
 
 def _vector_rows(spark, sf_dir, broadcast_rows, positions):
     rows = _encoded(spark, sf_dir).select("photo_id", F.col("token_ids").cast("array<bigint>").alias("ids"))
-    table, places = _word_vectors(spark, sf_dir)
+    rows = materialize(rows, "ids")
+    most_id = rows.agg(F.max(F.array_max("ids"))).first()[0] or 0
+    table, places = _word_vectors(spark, sf_dir, most_id)
     found = embeddings.lookup_vectors(rows, "photo_id", "ids", table, places if positions else None, broadcast_rows)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return found.select("photo_id", F.col("pos").cast("int").alias("pos"), "id", _six(total).alias("total"))
@@ -600,7 +613,7 @@ def _vector_rows(spark, sf_dir, broadcast_rows, positions):
 
 @query
 def vector_lookup(spark, sf_dir):
-    return _vector_rows(spark, sf_dir, embeddings.VECTOR_ROWS, positions=False)
+    return _vector_rows(spark, sf_dir, None, positions=False)
 
 
 @query
@@ -611,7 +624,7 @@ def vector_lookup_shuffled(spark, sf_dir):
 
 @query
 def vector_add(spark, sf_dir):
-    return _vector_rows(spark, sf_dir, embeddings.VECTOR_ROWS, positions=True)
+    return _vector_rows(spark, sf_dir, None, positions=True)
 
 
 def _feature_maps(spark, sf_dir):
@@ -684,23 +697,26 @@ def image_augmentation(spark, sf_dir):
 
 @query
 def image_tensors(spark, sf_dir):
-    """8 x 8 images resized to 16 and cropped to 14: one row per pixel row of the first channel."""
+    """8 x 8 images resized to 16 and cropped to 14: one row per channel and pixel row."""
     planned = images.plan_eval(D.pictures(spark, sf_dir), resize_to=16, crop_to=14)
-    rows = images.with_tensor(planned).select("photo_id", F.posexplode(F.slice("tensor", 1, 196)).alias("i", "v"))
+    rows = images.with_tensor(planned).select("photo_id", F.posexplode("tensor").alias("i", "v"))
     total = F.sum(F.round(F.col("v").cast("double") * 255).cast("long"))
-    return rows.groupBy("photo_id", F.floor(F.col("i") / 14).cast("int").alias("y")).agg(total.alias("total"))
+    channel, y = F.expr("cast(i div 196 as int)"), F.expr("cast(i % 196 div 14 as int)")
+    return rows.groupBy("photo_id", channel.alias("channel"), y.alias("y")).agg(total.alias("total"))
 
 
 @query
 def image_features(spark, sf_dir):
     planned = images.plan_eval(D.pictures(spark, sf_dir), resize_to=8, crop_to=6)
     rows = images.with_colour_features(planned)
-    feature = lambda i: F.col("image_features")[i].cast("double")
-    return rows.select(
+    channels = F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("channel")
+    feature = lambda i: F.get("image_features", i).cast("double")
+    return rows.select("photo_id", "image_features", channels).select(
         "photo_id",
+        "channel",
         F.size("image_features").alias("dim"),
-        F.round(feature(0) * 255 * 36).cast("long").alias("total"),
-        *[F.round(feature(3 + b) * 36).cast("long").alias(f"bin{b}") for b in (3, 4)],
+        F.round(feature(F.col("channel")) * 255 * 36).cast("long").alias("total"),
+        *[F.round(feature(3 + 8 * F.col("channel") + b) * 36).cast("long").alias(f"bin{b}") for b in range(8)],
     )
 
 
@@ -714,9 +730,16 @@ def _caption_table(spark, sf_dir, completed=False):
     return prepare(rows).table
 
 
+def _judged(table: DataFrame, image: bool, text: bool) -> DataFrame:
+    """Test rows with their label, and whether the answer is a known label; the answers are tested for accuracy."""
+    known = table.where("label_id is not null").select(F.col("label_id").alias("pred_id")).distinct().withColumn("_known", F.lit(True))
+    answers = baselines.run_config(table, image=image, text=text).join(known, "pred_id", "left")
+    return answers.select("photo_id", "label_id", F.col("_known").isNotNull().alias("known"))
+
+
 @query
 def text_classifier(spark, sf_dir):
-    return baselines.run_config(_caption_table(spark, sf_dir), image=False, text=True)
+    return _judged(_caption_table(spark, sf_dir), image=False, text=True)
 
 
 def _photos_with_vectors(spark, sf_dir, completed=False):
@@ -726,16 +749,17 @@ def _photos_with_vectors(spark, sf_dir, completed=False):
 
 @query
 def image_classifier(spark, sf_dir):
-    return baselines.run_config(_photos_with_vectors(spark, sf_dir), image=True, text=False)
+    return _judged(_photos_with_vectors(spark, sf_dir), image=True, text=False)
 
 
 @query
 def fused_classifier(spark, sf_dir):
-    return baselines.run_config(_photos_with_vectors(spark, sf_dir), image=True, text=True)
+    return _judged(_photos_with_vectors(spark, sf_dir), image=True, text=True)
 
 
 @query
 def run_matrix(spark, sf_dir):
-    """Scores per class of every modality on raw and on completed captions, chosen over the whole grid."""
+    """Classes scored for every modality on raw and on completed captions, models chosen over the whole grid."""
     tables = {v: _photos_with_vectors(spark, sf_dir, v == "completed") for v in ("raw", "completed")}
-    return baselines.run_matrix(tables)
+    within = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return baselines.run_matrix(tables).where("support > 0").select("config", "class", "support", within.alias("within"))

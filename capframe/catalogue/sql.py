@@ -170,8 +170,11 @@ SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired
        count(*) FILTER (l.doc_id IS NULL) AS only_truth, count(*) FILTER (d.doc_id IS NULL) AS only_pred
 FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
 SQL["metrics_report_file"] = _with(D.all_predictions_sql(), scores_sql(FIXED_BY, "config")) + """
-SELECT config, 'check' AS run_id, round(avg(f1), 6) AS macro_f1, max(support) FILTER (class = 'en') AS support
-FROM scores GROUP BY config"""
+SELECT config, 'check' AS run_id, round(avg(f1), 6) AS macro_f1, """ + ", ".join(
+    f"max(support) FILTER (class = '{c}') AS support_{c}" for c in D.LANGS
+) + " FROM scores GROUP BY config"
+SQL["metrics_json"] = _with(D.all_predictions_sql(), scores_sql(FIXED_BY, "config")) + f"""
+SELECT config, class, round(avg(f1) OVER (PARTITION BY config), 6) AS macro_f1, {ROUNDED} FROM scores"""
 _COLUMNS = [f"max(f1) FILTER (config = '{v}')" for v in D.VARIANTS]
 SQL["config_compare"] = _with(D.all_predictions_sql(), scores_sql(FIXED_BY, "config")) + (
     "SELECT class, "
@@ -276,8 +279,15 @@ SELECT batch_id, round(sum(loss), 6) AS contrastive_loss FROM (
   UNION ALL
   ({_with(_HALF, PAIRS.replace('FROM vectors', 'FROM halves'))} {_LOSS}))
 GROUP BY batch_id"""
-SQL["gaussian_perturbation"] = """
-SELECT sum(len(embedding))::BIGINT AS n, true AS centred, true AS spread FROM embeddings"""
+SQL["gaussian_perturbation"] = _with(D.EMBEDDINGS_SQL) + """
+SELECT photo_id, round(sum(v + 0.1e0 * g), 6) AS total, round(max(abs(0.1e0 * g)), 6) AS change FROM (
+  SELECT photo_id, v, sqrt(-2 * ln((CAST(u1 AS DOUBLE) + 0.5e0) / pow(2, 60)))
+                      * cos(2 * pi() * ((CAST(u2 AS DOUBLE) + 0.5e0) / pow(2, 60))) AS g
+  FROM (SELECT photo_id, v, """ + ", ".join(
+    f"CAST('0x' || substr(md5('{SEED}|{k}|' || photo_id || '|' || i), 1, 15) AS BIGINT) AS u{k}" for k in (1, 2)
+) + """
+        FROM (SELECT photo_id, unnest(vector) AS v, generate_subscripts(vector, 1) - 1 AS i FROM vectors)))
+GROUP BY photo_id"""
 LOGITS = """centres AS (
   SELECT label, list(m ORDER BY pos) AS centre FROM (
     SELECT label, pos, avg(v) AS m FROM (
@@ -298,11 +308,12 @@ PLACES = """places AS (
   SELECT photo_id, CAST(generate_subscripts(token_ids, 1) - 1 AS INTEGER) AS pos,
          CAST(unnest(token_ids) AS BIGINT) AS id FROM ids)"""
 SQL["vector_lookup"] = _with(*ENCODED, D.EMBEDDINGS_SQL, PLACES) + """
-SELECT p.photo_id, pos, id, round(list_sum(vector), 6) AS total FROM places p LEFT JOIN vectors v ON p.id = v.photo_id"""
+SELECT p.photo_id, pos, id, round(list_sum(vector), 6) AS total
+FROM places p LEFT JOIN vectors v ON p.id % (SELECT count(*) FROM vectors) = v.photo_id"""
 SQL["vector_lookup_shuffled"] = SQL["vector_lookup"]
 SQL["vector_add"] = _with(*ENCODED, D.EMBEDDINGS_SQL, PLACES) + """
 SELECT p.photo_id, pos, id, round(list_sum(v.vector) + list_sum(w.vector), 6) AS total
-FROM places p LEFT JOIN vectors v ON p.id = v.photo_id LEFT JOIN vectors w ON p.pos = w.photo_id"""
+FROM places p LEFT JOIN vectors v ON p.id % (SELECT count(*) FROM vectors) = v.photo_id LEFT JOIN vectors w ON p.pos = w.photo_id"""
 SQL["map_to_tokens"] = _with(D.EMBEDDINGS_SQL) + """
 SELECT photo_id, CAST(place AS INTEGER) AS place, round(vector[place + 1], 6) AS c0, round(vector[place + 17], 6) AS c1,
        round(vector[place + 33], 6) AS c2, round(vector[place + 49], 6) AS c3
@@ -354,13 +365,26 @@ _OWN = _PIXEL.format(y="{y}", x="x // 2")
 _NEAR = _PIXEL.format(y="{y}", x="(x // 2 + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END)")
 _LINE = f"((3 * {_OWN} + {_NEAR} + 2) // 4)"
 SQL["image_tensors"] = _with(D.PICTURES_SQL) + f"""
-SELECT photo_id, CAST(y - 1 AS INTEGER) AS y, CAST(sum((3 * own + near + 2) // 4) AS BIGINT) AS total FROM (
-  SELECT photo_id, y, x, {_LINE.replace('{y}', 'y // 2')} AS own,
+SELECT photo_id, channel, CAST(y - 1 AS INTEGER) AS y, CAST(sum((3 * own + near + 2) // 4) AS BIGINT) AS total FROM (
+  SELECT photo_id, channel, y, x, {_LINE.replace('{y}', 'y // 2')} AS own,
          {_LINE.replace('{y}', '(y // 2 + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)')} AS near
-  FROM (SELECT photo_id, px, y, unnest(range(16)) AS x FROM (SELECT photo_id, px, unnest(range(16)) AS y FROM pictures)))
-WHERE x BETWEEN 1 AND 14 AND y BETWEEN 1 AND 14 GROUP BY photo_id, y"""
+  FROM (SELECT photo_id, channel, px, y, unnest(range(16)) AS x FROM (SELECT photo_id, channel, px, unnest(range(16)) AS y FROM pictures)))
+WHERE x BETWEEN 1 AND 14 AND y BETWEEN 1 AND 14 GROUP BY photo_id, channel, y"""
 SQL["image_features"] = _with(D.PICTURES_SQL) + """
-SELECT photo_id, CAST(27 AS INTEGER) AS dim, CAST(sum(v) AS BIGINT) AS total,
-       count(*) FILTER (v // 32 = 3) AS bin3, count(*) FILTER (v // 32 = 4) AS bin4
-FROM (SELECT photo_id, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM pictures)
-WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY photo_id"""
+SELECT photo_id, channel, CAST(27 AS INTEGER) AS dim, CAST(sum(v) AS BIGINT) AS total,
+       """ + ", ".join(f"count(*) FILTER (v // 32 = {b}) AS bin{b}" for b in range(8)) + """
+FROM (SELECT photo_id, channel, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM pictures)
+WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY photo_id, channel"""
+
+# Classifiers: the rows they judge; how well they do is tested apart.
+_TESTED = (D.CAPTIONS_SQL, LABELS, split_sql("captions"), D.EMBEDDINGS_SQL, """tested AS (
+  SELECT photo_id, label_id FROM split_rows JOIN labels_by_id USING (label) WHERE split = 'test')""")
+SQL["text_classifier"] = _with(*_TESTED) + "SELECT photo_id, label_id, true AS known FROM tested"
+SQL["image_classifier"] = _with(*_TESTED) + """
+SELECT photo_id, label_id, true AS known FROM tested JOIN vectors USING (photo_id)"""
+SQL["fused_classifier"] = SQL["image_classifier"]
+SQL["run_matrix"] = _with(*_TESTED) + """
+SELECT modality || '_' || variant AS config, label_id AS class, count(*) AS support, true AS within
+FROM (SELECT label_id, unnest(['text', 'image', 'both']) AS modality FROM tested JOIN vectors USING (photo_id)),
+     (SELECT unnest(['raw', 'completed']) AS variant)
+GROUP BY ALL"""

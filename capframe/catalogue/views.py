@@ -109,14 +109,16 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8 x 8 grey images, one byte per value."""
-    byte = lambda x: F.lpad(F.hex(F.floor((x + 1) * 127.5).cast("long")), 2, "0")
+    """Embeddings as 8 x 8 colour images: blue is the value, green its complement, red its triple."""
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    level = lambda x: F.floor((x + 1) * 127.5).cast("long")
+    pixel = lambda v: F.concat(byte(v), byte(255 - v), byte(3 * v % 256))
     return embeddings(spark, sf_dir).select(
         "photo_id",
-        F.unhex(F.array_join(F.transform("vector", byte), "")).alias("data"),
+        F.unhex(F.array_join(F.transform(F.transform("vector", level), pixel), "")).alias("data"),
         F.lit(8).alias("height"),
         F.lit(8).alias("width"),
-        F.lit(1).alias("n_channels"),
+        F.lit(3).alias("n_channels"),
     )
 
 
@@ -164,6 +166,8 @@ EPOCH_LOG_SQL = """epoch_log AS (
   FROM events GROUP BY 1, 2)"""
 
 PICTURES_SQL = """pictures AS (
-  SELECT vec_id AS photo_id,
-         list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS px
-  FROM embeddings)"""
+  SELECT photo_id, CAST(channel AS INTEGER) AS channel,
+         list_transform(level, lambda v: CASE channel WHEN 0 THEN 3 * v % 256 WHEN 1 THEN 255 - v ELSE v END) AS px
+  FROM (SELECT vec_id AS photo_id, unnest([0, 1, 2]) AS channel,
+               list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS level
+        FROM embeddings))"""

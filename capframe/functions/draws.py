@@ -25,8 +25,7 @@ def gaussian(key: Column, dim: int, seed: int) -> Column:
     """Standard normal vector."""
 
     def uniform(i: Column, salt: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed), F.lit(salt)), 11)
-        return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+        return (whole(seed, salt, key, i) + F.lit(0.5)) / F.lit(float(1 << 60))
 
     return F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),

@@ -56,6 +56,11 @@ def linear_scores(vector: Column, weights: Sequence[Sequence[float]], bias: Sequ
     )
 
 
+def layer_scores(vector: Column, layer: Column) -> Column:
+    """Logits of a linear layer held as an array of ``weights, bias`` structs, one per class."""
+    return F.transform(layer, lambda c: dot(vector, c["weights"]) + c["bias"])
+
+
 def argmax(logits: Column) -> Column:
     """Place of the largest value from 0, the first on ties."""
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")

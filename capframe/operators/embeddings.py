@@ -12,7 +12,7 @@ from capframe.functions import vectors as V
 from capframe.operators.lookup import lookup
 
 _FLAT = 256
-VECTOR_ROWS = 100_000  # broadcast bound for vectors: some 100 MB at 64 doubles
+VECTOR_BYTES = 50 << 20  # broadcast bound for vectors
 
 
 def pair_modalities(images: DataFrame, texts: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -37,27 +37,47 @@ def mean_by_group(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame
     return pooled.select(group, "n", F.array(*[f"_m{i}" for i in range(dim)]).alias("mean"))
 
 
+def vector_rows(table: DataFrame, vector: str = "vector", most_bytes: int = VECTOR_BYTES) -> int:
+    """Rows of ``table`` that may be broadcast: fewer, the wider its widest vector."""
+    width = table.agg(F.max(F.size(vector))).first()[0]
+    return most_bytes // (8 * max(width or 1, 1))
+
+
 def lookup_vectors(
     df: DataFrame,
     key: str,
     ids: str,
     table: DataFrame,
     positions: DataFrame | None = None,
-    broadcast_rows: int = VECTOR_ROWS,
+    broadcast_rows: int | None = None,
+    missing: Sequence[float] | None = None,
 ) -> DataFrame:
     """``key, pos, id, vector``: one row per place of ``ids`` with its row of ``table`` (``id, vector``).
 
-    ``positions`` (``pos, position``) holds one vector per place, added on top.
+    An id without a vector takes ``missing``; without that, it fails the job. ``positions``
+    (``pos, position``) holds one vector per place, added on top; a place beyond them fails too.
+    Tables of up to ``broadcast_rows`` rows are broadcast, by default as many as ``VECTOR_BYTES`` hold.
     """
     places = df.select(key, F.posexplode(ids).alias("pos", "id"))
-    found = lookup(places, table.select("id", "vector"), "id", [key, "pos"], broadcast_rows)
+    most = vector_rows(table) if broadcast_rows is None else broadcast_rows
+    found = lookup(places, table.select("id", "vector"), "id", [key, "pos"], most)
+    if missing is not None:
+        found = found.withColumn("vector", F.coalesce("vector", F.array(*[F.lit(float(x)) for x in missing])))
+    found = _all_there(found, "vector", "id")
     if positions is None:
         return found.select(key, "pos", "id", "vector")
-    # As many rows as a sequence has places.
-    found = found.join(F.broadcast(positions.select("pos", "position")), "pos", "left")
+    added = positions.select("pos", "position")
+    most = vector_rows(added, "position") if broadcast_rows is None else broadcast_rows
+    found = _all_there(lookup(found, added, "pos", [key, "pos"], most), "position", "pos")
     return found.select(key, "pos", "id", V.add(F.col("vector"), F.col("position")).alias("vector"))
 
 
+def _all_there(df: DataFrame, vector: str, by: str) -> DataFrame:
+    """``df``, failing the job at a row without ``vector``; a filter, so it holds whatever is read later."""
+    error = F.raise_error(F.concat(F.lit(f"no {vector} for {by} "), F.coalesce(F.col(by).cast("string"), F.lit("null"))))
+    return df.where(F.when(F.col(vector).isNotNull(), F.lit(True)).otherwise(error.cast("boolean")))
+
+
 def negative_position(position: Column, size: Column, draw: Column) -> Column:
     """Another place in a batch of ``size``, uniform for a uniform ``draw`` >= 0; null in a batch of one."""
     step = F.when(size > 1, F.pmod(draw, F.nullif(size - 1, F.lit(0))))

@@ -108,12 +108,30 @@ def test_pooling_and_lookup(spark):
     ids = spark.createDataFrame([(1, [3, 0, 99]), (2, [])], "photo_id long, ids array<long>")
     table = frame(spark, values).withColumnRenamed("photo_id", "id")
     places = table.where("id < 3").selectExpr("cast(id as int) AS pos", "vector AS position")
-    for limit in (1000, 0):
-        rows = E.lookup_vectors(ids, "photo_id", "ids", table, places, limit).collect()
+    for limit in (1000, 0, None):
+        for few in (["vector"], ["photo_id"]):
+            with pytest.raises(Exception, match="no vector for id 99"):
+                E.lookup_vectors(ids, "photo_id", "ids", table, None, limit).select(*few).collect()
+        with pytest.raises(Exception, match="no position for pos 2"):
+            E.lookup_vectors(ids, "photo_id", "ids", table, places.where("pos < 2"), limit, [0.0] * 6).count()
+        rows = E.lookup_vectors(ids, "photo_id", "ids", table, places, limit, [7.0] * 6).collect()
         got = {(r.photo_id, r.pos): r.vector for r in rows}
         assert set(got) == {(1, 0), (1, 1), (1, 2)}
         assert got[1, 0] == pytest.approx([x + y for x, y in zip(values[3], values[0])])
-        assert got[1, 2] is None
+        assert got[1, 2] == pytest.approx([7.0 + y for y in values[2]])
+
+
+def test_broadcast_bound_follows_the_width(spark):
+    narrow = spark.createDataFrame([(0, [1.0] * 4), (1, None)], "id long, vector array<double>")
+    wide = spark.createDataFrame([(0, [1.0] * 400)], "id long, vector array<double>")
+    assert E.vector_rows(narrow) == 100 * E.vector_rows(wide)
+    assert E.vector_rows(narrow.where("id > 5")) == E.VECTOR_BYTES // 8
+
+
+def test_layer_scores(spark):
+    layer = F.array(*[F.struct(F.array(F.lit(a), F.lit(b)).alias("weights"), F.lit(c).alias("bias")) for a, b, c in [(1.0, 2.0, 0.5), (-1.0, 0.0, 0.0)]])
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
+    assert [r.s for r in df.select(V.layer_scores(F.col("v"), layer).alias("s")).collect()] == [[11.5, -3.0], [0.5, 0.0]]
 
 
 def test_epoch_losses(spark):
