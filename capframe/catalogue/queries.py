@@ -731,7 +731,7 @@ def _caption_table(spark, sf_dir, completed=False):
 
 
 def _judged(table: DataFrame, image: bool, text: bool) -> DataFrame:
-    """Test rows with their label, and whether the answer is a known label; the answers are tested for accuracy."""
+    """Test rows with their label, and whether the answer is a known label."""
     known = table.where("label_id is not null").select(F.col("label_id").alias("pred_id")).distinct().withColumn("_known", F.lit(True))
     answers = baselines.run_config(table, image=image, text=text).join(known, "pred_id", "left")
     return answers.select("photo_id", "label_id", F.col("_known").isNotNull().alias("known"))

@@ -376,7 +376,7 @@ SELECT photo_id, channel, CAST(27 AS INTEGER) AS dim, CAST(sum(v) AS BIGINT) AS
 FROM (SELECT photo_id, channel, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM pictures)
 WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY photo_id, channel"""
 
-# Classifiers: the rows they judge; how well they do is tested apart.
+# Classifiers: the rows they judge, not their answers.
 _TESTED = (D.CAPTIONS_SQL, LABELS, split_sql("captions"), D.EMBEDDINGS_SQL, """tested AS (
   SELECT photo_id, label_id FROM split_rows JOIN labels_by_id USING (label) WHERE split = 'test')""")
 SQL["text_classifier"] = _with(*_TESTED) + "SELECT photo_id, label_id, true AS known FROM tested"
