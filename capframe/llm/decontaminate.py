@@ -8,7 +8,7 @@ run, one value of the item must always meet one value of the document and the ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capframe.llm.common import materialize
@@ -17,6 +17,8 @@ WINDOW = 5
 SHARE = 0.6  # of an item's windows
 CONSISTENT = 0.8  # of the slots on aligned windows
 ITEM_WINDOWS = 1_000_000  # broadcast up to here, shuffled beyond
+PAIR = ["doc_id", "item_id"]
+RUN = [*PAIR, "kind", "run"]
 
 UNITS = (
     "mm cm m km kg g mg lb oz l ml s ms min h hr hrs hour hours day days week weeks month months year years "
@@ -85,33 +87,56 @@ def contaminated(
     """One row per document and item it contains.
 
     doc_id, item_id, windows (of the item found), item_windows, slots (placeholders on found
-    windows), agreeing (slots whose values map one to one). A pair counts when the document holds at
-    least ``share`` of the item's windows and at least ``consistent`` of the slots agree (no slots
-    agree trivially). Null doc_ids and item_ids are left out, null texts are empty, rows that
-    repeat an id are taken as parts of one text each aligned on its own.
+    windows), agreeing (slots whose values map one to one), all of the fullest run that passes. A
+    pair counts when a run of alignments (``_runs``) holds at least ``share`` of the item's windows
+    and at least ``consistent`` of its slots agree (no slots agree trivially). Null doc_ids and
+    item_ids are left out, null texts are empty, rows that repeat an id are taken as parts of one
+    text each aligned on its own.
     """
     own = docs.where("doc_id is not null").select("doc_id", "text")
     items = item_windows(benchmark, window)
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
     aligned = materialize(_aligned(own, items, window), "aligned")
-    totals = aligned.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("item_places")))).cast("long").alias("windows")
-    )
-    enough = materialize(
-        totals.join(sizes, "item_id").where(F.col("windows") >= share * F.col("item_windows")), "enough"
-    )
-    slots = _slots(own, benchmark, aligned.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), window)
-    judged = enough.join(slots, ["doc_id", "item_id"], "left").fillna(0, ["slots", "agreeing"])
-    return judged.where(F.col("agreeing") >= consistent * F.col("slots")).select(
-        "doc_id", "item_id", "windows", "item_windows", "slots", "agreeing"
+    totals = aligned.groupBy(*PAIR).agg(_covered_windows().alias("windows"))
+    enough = totals.join(sizes, "item_id").where(F.col("windows") >= share * F.col("item_windows"))
+    candidates = materialize(aligned.join(enough.drop("windows"), PAIR), "candidates")
+    runs = _runs(candidates, window)
+    full = runs.groupBy(*RUN).agg(_covered_windows().alias("windows"), F.first("item_windows").alias("item_windows"))
+    full = materialize(full.where(F.col("windows") >= share * F.col("item_windows")), "runs")
+    slots = _slots(own, benchmark, candidates, runs.join(full.select(*RUN), RUN, "left_semi"), window)
+    judged = full.join(slots, RUN, "left").fillna(0, ["slots", "agreeing"])
+    passed = judged.where(F.col("agreeing") >= consistent * F.col("slots"))
+    best = passed.groupBy(*PAIR).agg(F.max(F.struct("windows", "agreeing", "slots", "item_windows")).alias("b"))
+    return best.select(*PAIR, "b.windows", "b.item_windows", "b.slots", "b.agreeing")
+
+
+def _covered_windows() -> Column:
+    return F.size(F.array_distinct(F.flatten(F.collect_list("item_places")))).cast("long")
+
+
+def _runs(aligned: DataFrame, window: int) -> DataFrame:
+    """Alignments by the runs they belong to: ``aligned`` with (kind, run), rows repeated per kind.
+
+    A run is one alignment; or neighbouring alignments, no two neighbours half an item apart, as
+    words put into a copy shift what follows; or all alignments of the pair, as a copy may be torn
+    apart. Copies of one item in a document are so judged each on its own as well as together.
+    """
+    ordered = Window.partitionBy(*PAIR).orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(ordered) >= (F.col("item_windows") + (window - 1)) / 2
+    marked = aligned.withColumn("near", F.sum(F.when(apart, 1).otherwise(0)).over(ordered))
+    kinds = [("alignment", "shift"), ("near", "near"), ("whole", None)]
+    each = F.array(
+        *[F.struct(F.lit(k).alias("kind"), (F.col(c) if c else F.lit(0)).cast("long").alias("run")) for k, c in kinds]
     )
+    return marked.select(*aligned.columns, F.explode(each).alias("r")).select(*aligned.columns, "r.kind", "r.run")
 
 
-def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, window: int) -> DataFrame:
-    """Slots on the aligned windows of candidates, and how many agree: (doc_id, item_id, slots, agreeing).
+def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """Slots on the aligned windows of each run, and how many agree: (doc_id, item_id, kind, run, slots, agreeing).
 
-    For each value on one side the value it meets most often is its partner; a slot agrees if its
-    two values are each other's partners.
+    Where alignments of a run overlap on the item, the one with most windows counts. For each value
+    on one side the value it meets most often is its partner; a slot agrees if its two values are
+    each other's partners.
     """
 
     def slot_values(df: DataFrame, key: str, place: str, value: str) -> DataFrame:
@@ -133,12 +158,15 @@ def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, window: in
     asked = asked.withColumn("pos", F.col("item_pos") + F.col("shift"))
     hit = docs.join(aligned.select("doc_id").distinct(), "doc_id", "left_semi")
     met = asked.join(slot_values(hit, "doc_id", "pos", "ours"), ["doc_id", "pos"])
-    pair = ["doc_id", "item_id"]
-    counts = met.groupBy(*pair, "theirs", "ours").agg(F.count("*").alias("n"))
-    partner = lambda a, b: counts.groupBy(*pair, a).agg(F.max_by(b, F.struct("n", b)).alias(f"of_{a}"))
-    both = counts.join(partner("theirs", "ours"), [*pair, "theirs"]).join(partner("ours", "theirs"), [*pair, "ours"])
+    members = runs.select(*RUN, "shift", F.struct(F.size("item_places"), -F.col("shift")).alias("weight"))
+    shared = met.join(members, [*PAIR, "shift"])
+    best = F.max("weight").over(Window.partitionBy(*RUN, "item_pos"))
+    kept = shared.withColumn("best", best).where("weight = best")
+    counts = materialize(kept.groupBy(*RUN, "theirs", "ours").agg(F.count("*").alias("n")), "slots")
+    partner = lambda a, b: counts.groupBy(*RUN, a).agg(F.max_by(b, F.struct("n", b)).alias(f"of_{a}"))
+    both = counts.join(partner("theirs", "ours"), [*RUN, "theirs"]).join(partner("ours", "theirs"), [*RUN, "ours"])
     agree = (F.col("of_theirs") == F.col("ours")) & (F.col("of_ours") == F.col("theirs"))
-    return both.groupBy(*pair).agg(F.sum("n").alias("slots"), F.sum(F.when(agree, F.col("n")).otherwise(0)).alias("agreeing"))
+    return both.groupBy(*RUN).agg(F.sum("n").alias("slots"), F.sum(F.when(agree, F.col("n")).otherwise(0)).alias("agreeing"))
 
 
 def _few(items: DataFrame) -> bool:

@@ -151,6 +151,26 @@ def test_decontamination_finds_new_parameters(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_judges_each_copy(spark):
+    """Copies with different parameters in one document are each enough; a copy cut by other words still is."""
+    filler = " and the river went slowly over stones until evening came over the quiet valley "
+    vary = lambda a, b, c: ITEM.replace("12", a).replace("7", b).replace("30", c)
+    wrong = "Anna buys 3 apples and 3 pears for 3 euros while Peter sells 9 apples each morning before school starts"
+    cut = lambda text: text.replace("while", "as the wind blew while")
+    texts = {
+        1: filler + ITEM + filler + vary("45", "9", "81") + filler,
+        2: filler + vary("45", "9", "81") + filler + vary("9", "45", "7") + filler,
+        3: vary("45", "9", "81") + " " + ITEM + " " + wrong,
+        4: filler + cut(ITEM) + filler,
+        5: filler + cut(vary("45", "9", "81")) + filler + cut(vary("9", "45", "7")) + filler,
+        6: filler + wrong + filler + wrong,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
+    pairs = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert sorted(pairs) == [(i, 9) for i in range(1, 6)]
+
+
 def test_decontamination_on_documents(spark, sf):
     """Every document that holds an item word for word is found."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
