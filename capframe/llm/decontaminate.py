@@ -1,9 +1,10 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts become templates: numbers, units after numbers, and names (capitalised words in mid-sentence)
-are replaced by typed placeholders. Windows of template tokens are hash-joined; a document and an
-item that share most of the item's windows are then checked for consistent slots: along each aligned
-run, one value of the item must always meet one value of the document and the other way round.
+Texts become templates: numbers, units after numbers, and names (runs of capitalised words, those at
+the start of a sentence apart from others) are replaced by typed placeholders. Windows of template
+tokens are hash-joined; a document and an item that share most of the item's windows are then checked
+for consistent slots: along a run of alignments, one value of the item must always meet one value of
+the document and the other way round.
 """
 
 from __future__ import annotations
@@ -25,41 +26,63 @@ UNITS = (
     "mile miles meter meters metre metres euro euros dollar dollars cent cents percent usd eur"
 ).split()
 _NUMBER = r"\d+(?:[.,]\d+)*"
+_CAPITAL = r"\p{Lu}\p{Ll}+"
+NAME_WORDS = 4  # capitalised words in a row that can be one name
 
 
 def marked_tokens(text: Column) -> Column:
-    """Lower-case tokens; units start with ``_u``, names with ``_n``, numbers with a digit."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\x{0}]+", " ")
-    units = F.regexp_replace(plain, rf"({_NUMBER}) ?({'|'.join(UNITS)})\b", r"$1 _u$2 ")
-    names = F.regexp_replace(units, r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)", r"$1_n$2")
-    return F.filter(F.split(F.lower(names), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    """Lower-case tokens; units start with ``_u``, names with ``_n`` or ``_s``, numbers with a digit.
 
-
-def template(tokens: Column) -> Column:
-    """Marked tokens with their values taken out."""
+    A number with its points and commas is one token, and so is a name of several words. ``_n``
+    names stand in mid-sentence, ``_s`` ones elsewhere, as at the start of a sentence or text, where
+    any word has a capital. More than ``NAME_WORDS`` capitalised words in a row are a title, kept as words.
+    """
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\x{0}\x{1}]+", " ")
+    # Title words get a mark that ends with the split; the rest of the patterns pass them by.
+    long_run = rf"(?<![\p{{L}}\p{{N}}])(?=(?:{_CAPITAL} ){{{NAME_WORDS}}}\p{{Lu}}\p{{Ll}})"
+    titles = F.regexp_replace(plain, rf"(?:{long_run}|(?!^)\G( ))({_CAPITAL})", "$1\x01$2")
+    joined = F.regexp_replace(titles, rf"({_CAPITAL}) (?=\p{{Lu}}\p{{Ll}})", "$1_")
+    names = F.regexp_replace(joined, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", "_n")
+    names = F.regexp_replace(names, r"(?<![\p{L}\p{N}_\x{1}])(?=\p{Lu}\p{Ll})", "_s")
+    units = F.regexp_replace(names, rf"({_NUMBER}) ?({'|'.join(UNITS)})\b", r"$1 _u$2 ")
+    numbers = F.regexp_replace(units, r"(?<=\d)[.,](?=\d)", "_")
+    return F.filter(F.split(F.lower(numbers), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+
+
+def template(tokens: Column, starts: bool = True) -> Column:
+    """Marked tokens with their values taken out; single words that start a sentence stay words unless ``starts``."""
     return F.transform(
         tokens,
-        lambda t: F.when(t.startswith("_"), F.substring(t, 1, 2)).when(F.ascii(t).between(48, 57), F.lit("0")).otherwise(t),
+        lambda t: F.when(F.lit(not starts) & t.rlike("^_s[^_]+$"), F.substr(t, F.lit(3)))
+        .when(t.startswith("_"), F.substring(t, 1, 2))
+        .when(F.ascii(t).between(48, 57), F.lit("0"))
+        .otherwise(t),
     )
 
 
 def _windows(df: DataFrame, key: str, window: int) -> DataFrame:
     """(key, pos, hash) of every window of template tokens; shorter texts have none.
 
-    Token hashes are a column of their own, as each is read ``window`` times. The outer explode
-    keeps Spark from deriving a filter that would compute the whole chain once more.
+    A window with a single word at the start of a sentence has a second hash with that word as it
+    is, which copies in capitals or small letters share. Token hashes are a column of their own, as
+    each is read ``window`` times. The outer explode keeps Spark from deriving a filter that would
+    compute the whole chain once more.
     """
-    hashed = df.select(
-        F.col(key).alias("key"),
-        F.transform(template(marked_tokens(F.col("text"))), lambda t: F.xxhash64(t)).alias("tokens"),
-    )
-    last = F.size("tokens") - window
-    windows = F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("tokens", i + k) for k in range(window)])),
+    marked = df.select(F.col(key).alias("key"), marked_tokens(F.col("text")).alias("marked"))
+    hashed = marked.select(
+        "key",
+        F.size("marked").alias("n"),
+        *[F.transform(template(F.col("marked"), s), lambda t: F.xxhash64(t)).alias(c) for c, s in (("open", True), ("word", False))],
     )
-    opened = hashed.select("key", windows.alias("windows")).select("key", F.posexplode_outer("windows").alias("pos", "hash"))
-    return opened.where("hash is not null")
+    last = F.col("n") - window
+
+    def windows(tokens: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]))
+
+    both = hashed.select("key", "n", *[F.when(last >= 0, windows(c)).alias(c) for c in ("open", "word")])
+    each = F.concat("open", F.zip_with("open", "word", lambda o, w: F.when(o != w, w)))
+    opened = both.select("key", "n", each.alias("windows")).select("key", "n", F.posexplode_outer("windows").alias("at", "hash"))
+    return opened.where("hash is not null").select("key", (F.col("at") % (last + 1)).alias("pos"), "hash")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

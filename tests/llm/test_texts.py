@@ -171,6 +171,28 @@ def test_decontamination_judges_each_copy(spark):
     assert sorted(pairs) == [(i, 9) for i in range(1, 6)]
 
 
+def test_decontamination_finds_new_numbers_and_names(spark):
+    filler = " and the river went slowly over stones until evening came over the quiet valley. "
+    items = {
+        1: "Mary Jones paid 950 euros for chairs. Then Peter Smith sold Mary Jones tables for 950 euros more today",
+        2: "The farm sold 950 pears while 3 boys ate apples near the old barn this cold morning",
+        3: "How long does it take? Anna walks home. Anna sleeps there until noon. Peter works. Peter reads there until late",
+        4: "The Great Green River Flows Down Past Many Old Stone Houses Every Day",
+    }
+    swap = {"Mary Jones": "Eva Maria Berg", "Peter Smith": "Tom", "Anna": "Lee Ann", "Peter": "Kim", "950": "1,250", "3": "2.5"}
+
+    def vary(text):
+        return re.sub("|".join(swap), lambda m: swap[m[0]], text)
+
+    rows = [(i, filler + t + filler) for i, t in items.items()] + [(10 + i, filler + vary(t) + filler) for i, t in items.items()]
+    rows.append((20, filler + "A Small White House Stands Near Some Tall Trees Behind Another Long Wall" + filler))
+    rows += [(23, filler + items[3].upper() + filler), (33, filler + items[3].lower() + filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    pairs = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert pairs == {(i, i) for i in items} | {(10 + i, i) for i in items} | {(23, 3), (33, 3)}
+
+
 def test_decontamination_on_documents(spark, sf):
     """Every document that holds an item word for word is found."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
