@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from capframe.llm import chat, decontaminate, neighbours, packing, passages, pii, quality, rollup, simhash, toxicity
+from capframe.llm import chat, decontaminate, lexical, neighbours, packing, passages, pii, quality, resample, rollup
+from capframe.llm import simhash, topk, toxicity
 from capframe.llm.common import materialize, read
 from capframe.session import scratch_dir
 
@@ -83,6 +84,22 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(read(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all rows."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the longer documents, drawn towards the words of ``benchmark``."""
+    return resample.draw(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that match each item of ``benchmark`` best."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
@@ -94,6 +111,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_resampling": op12_resampling,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -126,3 +146,83 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(head) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
+
+SQL["op11_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM met)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5"""
+
+SQL["op12_resampling"] = r"""
+WITH crc AS (  -- the usual table, by its rule
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT false AS aim, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark),
+listed AS (
+  SELECT aim, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+counted AS (
+  SELECT aim, id, word, count(*) AS n FROM (SELECT aim, id, unnest(words) AS word FROM listed) GROUP BY ALL),
+bytes AS (
+  SELECT word, list_transform(range(octet_length(encode(word))),
+           lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT word FROM counted)),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b),
+           lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1]))) % 10000 AS bucket
+  FROM bytes, crc),
+sums AS (
+  SELECT bucket, sum(n) FILTER (NOT aim) AS s, sum(n) FILTER (aim) AS t
+  FROM counted JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE)
+           / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM sums, totals),
+weighed AS (
+  SELECT id, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE NOT aim GROUP BY id),
+scores AS (
+  SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || id), 1, 8) AS BIGINT)
+           + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM (SELECT * FROM listed WHERE NOT aim) LEFT JOIN weighed USING (id)),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scores WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scores s LEFT JOIN placed p USING (doc_id)"""
+
+SQL["op13_lexical_search"] = r"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS p,
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS large, 'abcdefghijklmnopqrstuvwxyz' AS small),
+docs AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), p), lambda w: translate(w, large, small)) AS words
+  FROM documents, pattern),
+corpus AS (SELECT count(*) FILTER (len(words) > 0) AS n_all, CAST(sum(len(words)) AS BIGINT) AS l_all FROM docs),
+tfs AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM docs) GROUP BY ALL),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), p),
+                                              lambda w: translate(w, large, small))) AS term
+        FROM benchmark, pattern) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+           // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term), corpus GROUP BY item_id, doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+           FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 10"""
