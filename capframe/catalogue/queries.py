@@ -47,8 +47,13 @@ def _joined(ids: str) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
+def _md5(ids: str) -> Column:
+    """Digest of a long id list, under its name."""
+    return F.md5(_joined(ids)).alias(ids)
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.captions(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("caption")))
+    return D.texts(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("caption")))
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
@@ -194,7 +199,7 @@ def epoch_batches(spark, sf_dir):
 def prepared_photos(spark, sf_dir):
     """Raw photos to the encoded table; photos judged toxic stand for broken images."""
     judged = D.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("photo_id"), "toxic")
-    kept = image_files.drop_broken(D.captions(spark, sf_dir), judged.where("toxic = 1"))
+    kept = image_files.drop_broken(D.texts(spark, sf_dir), judged.where("toxic = 1"))
     table = prepare(kept).table
     return table.select("photo_id", "image_path", "label_id", "split", _joined("token_ids").alias("ids"))
 
@@ -339,15 +344,15 @@ def predictions_wide(spark, sf_dir):
 # Exploration of the training split.
 
 
-def _training_tokens(spark, sf_dir):
+def _training_tokens(rows):
     """Training captions with all their tokens, however long."""
-    whole = D.captions(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("caption"), None))
+    whole = rows.withColumn("tokens", T.tokenize(F.col("caption"), None))
     return ranking.with_split(whole, ["photo_id"]).where("split = 'train'")
 
 
 @query
 def caption_stats(spark, sf_dir):
-    stats = C.class_balance(_training_tokens(spark, sf_dir))
+    stats = C.class_balance(_training_tokens(D.captions(spark, sf_dir)))
     return stats.select(
         "label",
         "rows",
@@ -359,12 +364,12 @@ def caption_stats(spark, sf_dir):
 
 @query
 def length_histogram(spark, sf_dir):
-    return C.length_histogram(_training_tokens(spark, sf_dir))
+    return C.length_histogram(_training_tokens(D.texts(spark, sf_dir)))
 
 
 @query
 def top_words_by_label(spark, sf_dir):
-    return C.top_words(_training_tokens(spark, sf_dir), 10)
+    return C.top_words(_training_tokens(D.texts(spark, sf_dir)), 10)
 
 
 # Prompts, messages, model output.
@@ -413,9 +418,9 @@ def parse_label(spark, sf_dir):
 
 
 def _id_lists(spark, sf_dir):
-    """Token ids without padding."""
-    coded = _encoded(spark, sf_dir)
-    return coded.select("photo_id", "ord", F.expr("slice(token_ids, 1, size(tokens))").alias("ids"))
+    """Ids of all tokens of the texts, without padding; the vocabulary is that of the first ten."""
+    whole = D.texts(spark, sf_dir).select("photo_id", "ord", T.tokenize(F.col("caption"), None).alias("tokens"))
+    return vocabulary.encode_whole(whole, "tokens", _vocabulary(spark, sf_dir), "photo_id").drop("tokens")
 
 
 IMAGE_ID = 5
@@ -425,26 +430,25 @@ IMAGE_ID = 5
 def padded_batch(spark, sf_dir):
     stored = materialize(_id_lists(spark, sf_dir), "ids")
     rows = examples.padded_batches(stored, "ids", "ord", image_id=IMAGE_ID)
-    return rows.select("photo_id", "batch_id", _joined("input_ids").alias("input_ids"), _joined("labels").alias("labels"))
+    return rows.select("photo_id", "batch_id", F.size("input_ids").alias("n_ids"), _md5("input_ids"), _md5("labels"))
 
 
 @query
 def masked_labels(spark, sf_dir):
-    rows = _encoded(spark, sf_dir)
-    both, none = S.mask_labels(F.col("token_ids"), 0, IMAGE_ID), S.mask_labels(F.col("token_ids"), None, None)
-    rows = rows.select("photo_id", both.alias("both"), none.alias("none"))
-    return rows.select("photo_id", _joined("both").alias("both"), _joined("none").alias("none"))
+    """Whole texts, padded to lengths that eight divides, with padding and image places masked or not."""
+    padded = S.pad_right(F.col("ids"), F.ceil(F.size("ids") / 8).cast("int") * 8)
+    rows = _id_lists(spark, sf_dir).select("photo_id", padded.alias("ids"))
+    both, none = S.mask_labels(F.col("ids"), 0, IMAGE_ID), S.mask_labels(F.col("ids"), None, None)
+    rows = rows.select("photo_id", F.size("ids").alias("n_ids"), both.alias("both"), none.alias("none"))
+    return rows.select("photo_id", "n_ids", _md5("both"), _md5("none"))
 
 
 @query
 def trim_prefix(spark, sf_dir):
-    """The caption's ids as generated after a prompt made of the first half of them."""
+    """The text's ids as generated after a prompt made of the first half of them."""
     rows = _id_lists(spark, sf_dir).withColumn("prompt", F.expr("slice(ids, 1, size(ids) div 2)"))
-    return rows.select("photo_id", _joined_expr(S.trim_prefix(F.col("ids"), F.col("prompt"))).alias("generated"))
-
-
-def _joined_expr(ids: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    rows = rows.select("photo_id", S.trim_prefix(F.col("ids"), F.col("prompt")).alias("generated"))
+    return rows.select("photo_id", F.size("generated").alias("n_ids"), _md5("generated"))
 
 
 # Inference with stand-in models.
@@ -723,11 +727,16 @@ def image_features(spark, sf_dir):
 # Classifiers.
 
 
-def _caption_table(spark, sf_dir, completed=False):
+def _photo_variant(spark, sf_dir, variant):
+    """Photos with whole texts, with captions as delivered (raw), or with missing ones written (completed)."""
+    if variant == "whole":
+        return D.texts(spark, sf_dir)
     rows = D.captions(spark, sf_dir)
-    if completed:
-        rows = inference.complete_captions(rows, _captioner, shuffle=False)
-    return prepare(rows).table
+    return inference.complete_captions(rows, _captioner, shuffle=False) if variant == "completed" else rows
+
+
+def _caption_table(spark, sf_dir, variant="whole"):
+    return prepare(_photo_variant(spark, sf_dir, variant)).table
 
 
 def _judged(table: DataFrame, image: bool, text: bool) -> DataFrame:
@@ -742,9 +751,9 @@ def text_classifier(spark, sf_dir):
     return _judged(_caption_table(spark, sf_dir), image=False, text=True)
 
 
-def _photos_with_vectors(spark, sf_dir, completed=False):
+def _photos_with_vectors(spark, sf_dir, variant="whole"):
     vectors = D.embeddings(spark, sf_dir).select("photo_id", array_to_vector("vector").alias("image_vector"))
-    return embeddings.pair_modalities(vectors, _caption_table(spark, sf_dir, completed), "photo_id")
+    return embeddings.pair_modalities(vectors, _caption_table(spark, sf_dir, variant), "photo_id")
 
 
 @query
@@ -760,6 +769,6 @@ def fused_classifier(spark, sf_dir):
 @query
 def run_matrix(spark, sf_dir):
     """Classes scored for every modality on raw and on completed captions, models chosen over the whole grid."""
-    tables = {v: _photos_with_vectors(spark, sf_dir, v == "completed") for v in ("raw", "completed")}
+    tables = {v: _photos_with_vectors(spark, sf_dir, v) for v in ("raw", "completed")}
     within = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
     return baselines.run_matrix(tables).where("support > 0").select("config", "class", "support", within.alias("within"))

@@ -22,7 +22,7 @@ def _quote(text: str) -> str:
 
 TOKENS = r"""tok AS (
   SELECT *, list_slice(regexp_extract_all(lower(coalesce(caption, '')), '[a-zA-Z]+|[.,!?;:()\-'']'), 1, 10) AS tokens
-  FROM captions)"""
+  FROM texts)"""
 
 WORDS = """words AS (
   SELECT photo_id, ord, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM tok)"""
@@ -51,7 +51,7 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-ENCODED = (D.CAPTIONS_SQL, TOKENS, WORDS, VOCAB, IDS)
+ENCODED = (D.TEXTS_SQL, TOKENS, WORDS, VOCAB, IDS)
 
 # Captions.
 SQL["caption_presence"] = _with(D.CAPTIONS_SQL) + """
@@ -65,13 +65,13 @@ SELECT photo_id, CASE WHEN caption = '' THEN 'without' ELSE 'with' END AS half,
 SQL["complete_rows"] = _with(D.CAPTIONS_SQL) + """
 SELECT photo_id, image_path FROM captions WHERE image_path IS NOT NULL AND caption IS NOT NULL"""
 SQL["image_paths"] = "SELECT doc_id AS photo_id, 'raw/' || doc_id || '.png' AS path FROM documents"
-SQL["tokens"] = _with(D.CAPTIONS_SQL, TOKENS) + "SELECT photo_id, array_to_string(tokens, ' ') AS tokens FROM tok"
+SQL["tokens"] = _with(D.TEXTS_SQL, TOKENS) + "SELECT photo_id, array_to_string(tokens, ' ') AS tokens FROM tok"
 SQL["all_tokens"] = r"""
 SELECT doc_id AS photo_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z]+|[.,!?;:()\-'']') AS t FROM documents)"""
-SQL["word_freq"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS) + "SELECT word, count(*) AS freq FROM words GROUP BY word"
-SQL["vocab"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS, VOCAB) + "SELECT word, freq, id FROM vocab"
-SQL["vocab_size"] = _with(D.CAPTIONS_SQL, TOKENS, WORDS, VOCAB) + "SELECT count(*) + 2 AS vocab_size FROM vocab"
+SQL["word_freq"] = _with(D.TEXTS_SQL, TOKENS, WORDS) + "SELECT word, count(*) AS freq FROM words GROUP BY word"
+SQL["vocab"] = _with(D.TEXTS_SQL, TOKENS, WORDS, VOCAB) + "SELECT word, freq, id FROM vocab"
+SQL["vocab_size"] = _with(D.TEXTS_SQL, TOKENS, WORDS, VOCAB) + "SELECT count(*) + 2 AS vocab_size FROM vocab"
 SQL["encoded_captions"] = _with(*ENCODED) + "SELECT photo_id, array_to_string(token_ids, ' ') AS ids FROM ids"
 SQL["encoded_captions_large_vocabulary"] = SQL["encoded_captions"]
 
@@ -101,11 +101,11 @@ SQL["epoch_batches"] = _with(*SPLIT) + f"""
 SELECT photo_id, (rn - 1) // 128 AS batch_id, CAST((rn - 1) % 128 AS INTEGER) AS batch_pos
 FROM (SELECT photo_id, row_number() OVER (ORDER BY md5('{SEED}|3|' || photo_id), photo_id) AS rn
       FROM split_rows WHERE split = 'train')"""
-KEPT = "kept AS (SELECT * FROM captions WHERE photo_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+KEPT = "kept AS (SELECT * FROM texts WHERE photo_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 SQL["prepared_photos"] = _with(
-    D.CAPTIONS_SQL,
+    D.TEXTS_SQL,
     KEPT,
-    TOKENS.replace("FROM captions", "FROM kept"),
+    TOKENS.replace("FROM texts", "FROM kept"),
     WORDS,
     VOCAB,
     IDS,
@@ -193,14 +193,15 @@ SQL["predictions_wide"] = _with(D.all_predictions_sql()) + (
 ALL_TOKENS = r"""tok AS (
   SELECT *, regexp_extract_all(lower(coalesce(caption, '')), '[a-zA-Z]+|[.,!?;:()\-'']') AS tokens FROM captions)"""
 TRAIN = (D.CAPTIONS_SQL, ALL_TOKENS, split_sql("tok"), "train AS (SELECT * FROM split_rows WHERE split = 'train')")
+WHOLE_TRAIN = (D.TEXTS_SQL, ALL_TOKENS.replace("FROM captions", "FROM texts"), *TRAIN[2:])
 SQL["caption_stats"] = _with(*TRAIN) + """
 SELECT label, count(*) AS rows,
        round(avg(CASE WHEN coalesce(caption, '') = '' THEN 1.0e0 ELSE 0.0e0 END), 6) AS missing_rate,
        round(avg(CAST(len(tokens) AS DOUBLE)), 6) AS mean_tokens, CAST(max(len(tokens)) AS INTEGER) AS max_tokens
 FROM train GROUP BY label"""
-SQL["length_histogram"] = _with(*TRAIN) + """
+SQL["length_histogram"] = _with(*WHOLE_TRAIN) + """
 SELECT CAST(len(tokens) AS INTEGER) AS n_tokens, count(*) AS rows FROM train GROUP BY 1"""
-SQL["top_words_by_label"] = _with(*TRAIN) + """
+SQL["top_words_by_label"] = _with(*WHOLE_TRAIN) + """
 SELECT label, word, freq, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY freq DESC, word) AS rank FROM (
     SELECT label, word, count(*) AS freq FROM (SELECT label, unnest(tokens) AS word FROM train) GROUP BY ALL))
@@ -231,14 +232,25 @@ _PARSE = " ".join(
 )
 SQL["parse_label"] = f"SELECT doc_id AS photo_id, CASE {_PARSE} ELSE {STRIPPED % 'text'} END AS pred FROM documents"
 MASK = f"list_transform(%s, lambda x: CASE WHEN x IN (0, {IMAGE_ID}) THEN -100 ELSE x END)"
-SQL["padded_batch"] = _with(*ENCODED) + f"""
-SELECT photo_id, batch_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string({MASK % 'input_ids'}, ' ') AS labels
+WHOLE_IDS = r"""whole_ids AS (
+  SELECT photo_id, ord, coalesce(l, []) AS ids FROM texts LEFT JOIN (
+    SELECT photo_id, list(coalesce(id, 1) ORDER BY pos) AS l FROM (
+      SELECT photo_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (
+        SELECT photo_id, regexp_extract_all(lower(coalesce(caption, '')), '[a-zA-Z]+|[.,!?;:()\-'']') AS t FROM texts))
+    LEFT JOIN vocab USING (word) GROUP BY photo_id) USING (photo_id))"""
+WHOLE = (D.TEXTS_SQL, TOKENS, WORDS, VOCAB, WHOLE_IDS)
+SQL["padded_batch"] = _with(*WHOLE) + f"""
+SELECT photo_id, batch_id, CAST(len(input_ids) AS INTEGER) AS n_ids, md5(array_to_string(input_ids, ' ')) AS input_ids,
+       md5(array_to_string({MASK % 'input_ids'}, ' ')) AS labels
 FROM (SELECT photo_id, batch_id, list_resize(ids, max(len(ids)) OVER (PARTITION BY batch_id), 0) AS input_ids
-      FROM (SELECT photo_id, ids, (row_number() OVER (ORDER BY ord) - 1) // 128 AS batch_id FROM ids))"""
-SQL["masked_labels"] = _with(*ENCODED) + f"""
-SELECT photo_id, array_to_string({MASK % 'token_ids'}, ' ') AS both, array_to_string(token_ids, ' ') AS none FROM ids"""
-SQL["trim_prefix"] = _with(*ENCODED) + """
-SELECT photo_id, array_to_string(ids[len(ids) // 2 + 1 :], ' ') AS generated FROM ids"""
+      FROM (SELECT photo_id, ids, (row_number() OVER (ORDER BY ord) - 1) // 128 AS batch_id FROM whole_ids))"""
+SQL["masked_labels"] = _with(*WHOLE) + f"""
+SELECT photo_id, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string({MASK % 'ids'}, ' ')) AS both,
+       md5(array_to_string(ids, ' ')) AS none
+FROM (SELECT photo_id, list_resize(ids, ((len(ids) + 7) // 8) * 8, 0) AS ids FROM whole_ids)"""
+SQL["trim_prefix"] = _with(*WHOLE) + """
+SELECT photo_id, CAST(len(ids) - len(ids) // 2 AS INTEGER) AS n_ids,
+       md5(array_to_string(ids[len(ids) // 2 + 1 :], ' ')) AS generated FROM whole_ids"""
 SQL["complete_captions"] = _with(D.CAPTIONS_SQL) + """
 SELECT photo_id, CASE WHEN caption = '' THEN 'A photo from ' || image_path ELSE caption END AS caption, label FROM captions"""
 SQL["prompted_classification"] = _with(*SPLIT) + """
@@ -250,7 +262,7 @@ FROM (SELECT photo_id, coalesce(caption, '') AS caption, unnest(['image_text', '
       FROM split_rows WHERE split = 'test')"""
 
 # Embeddings and losses.
-SQL["modality_pairs"] = _with(D.CAPTIONS_SQL, TOKENS, D.EMBEDDINGS_SQL) + """
+SQL["modality_pairs"] = _with(D.TEXTS_SQL, TOKENS, D.EMBEDDINGS_SQL) + """
 SELECT photo_id, CAST(len(vector) + 1 AS INTEGER) AS dim, round(list_sum(vector) + len(tokens), 6) AS total
 FROM vectors JOIN tok USING (photo_id)"""
 SQL["mean_pool"] = _with(D.EMBEDDINGS_SQL) + """

@@ -1,7 +1,7 @@
 """The given tables read as photos, predictions, model output and training logs.
 
-Missing captions and labels come from the data: one source delivers no captions (null), three
-deliver empty ones, and very short texts carry no label. Predictions come from rules on the
+Where missing captions are the matter (``captions``), one source delivers none (null) and three
+deliver empty ones; everything else reads whole texts (``texts``). Very short texts carry no label. Predictions come from rules on the
 whole text, so they are right and wrong as the text has it.
 """
 
@@ -42,6 +42,18 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that all have a caption, the whole text: for what reads captions, not their absence."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("photo_id"),
+        F.col("doc_id").alias("ord"),
+        F.col("text").alias("caption"),
+        F.when(F.col("n_chars") >= LABELLED_FROM, F.col("lang")).alias("label"),
+        "source",
+        image_path(F.col("doc_id"), FOLDER).alias("image_path"),
+    )
+
+
 def _hits(text: Column) -> Column:
     """The function words that occur in the text, found in one scan."""
     words = "|".join(WORDS.values())
@@ -132,6 +144,13 @@ CAPTIONS_SQL = f"""captions AS (
   FROM documents)"""
 
 
+TEXTS_SQL = f"""texts AS (
+  SELECT doc_id AS photo_id, doc_id AS ord, text AS caption,
+         CASE WHEN n_chars >= {LABELLED_FROM} THEN lang END AS label, source,
+         '{FOLDER}' || doc_id || '.jpg' AS image_path
+  FROM documents)"""
+
+
 def guess_sql(langs: list[str], otherwise: str, text: str = "text") -> str:
     cases = " ".join(
         f"WHEN regexp_matches(lower({text}), '(^|[^a-z])({WORDS[lang]})([^a-z]|$)') THEN '{lang}'" for lang in langs

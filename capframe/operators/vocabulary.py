@@ -16,11 +16,11 @@ from capframe.session import materialize
 _JOINS = 16  # longest sequence encoded by one broadcast join per place
 
 
-def word_counts(df: DataFrame, tokens: str, ord: str, max_len: int = MAX_LEN) -> DataFrame:
-    """``word, freq, first``: how often a word occurs, and a number that orders words by first appearance."""
+def word_counts(df: DataFrame, tokens: str, ord: str) -> DataFrame:
+    """``word, freq, first``: how often a word occurs, and its first place (row, then position in its list)."""
     # The outer form: the inner one filters on the size of the list first, which would tokenize twice.
     words = df.select(F.col(ord).cast("long").alias("_ord"), F.posexplode_outer(tokens).alias("_pos", "word"))
-    place = F.col("_ord") * max_len + F.col("_pos")
+    place = F.struct("_ord", "_pos")
     return (
         words.where(F.col("word").isNotNull())
         .groupBy("word")
@@ -38,10 +38,10 @@ class Vocabulary:
 
 
 def build_vocabulary(
-    df: DataFrame, tokens: str, ord: str, max_len: int = MAX_LEN, min_freq: int = MIN_FREQ
+    df: DataFrame, tokens: str, ord: str, min_freq: int = MIN_FREQ
 ) -> Vocabulary:
     """Words that occur often enough, numbered from 2 by first appearance in the order of ``ord``."""
-    kept = word_counts(df, tokens, ord, max_len).where(F.col("freq") >= min_freq)
+    kept = word_counts(df, tokens, ord).where(F.col("freq") >= min_freq)
     numbered = global_row_number(kept, "first")
     table = materialize(numbered.select("word", "freq", (F.col("rn") + UNK_ID).cast("int").alias("id")), "vocabulary")
     words, occurrences = table.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
@@ -106,6 +106,13 @@ def _encode_by_word(
     return df.join(ids.select(key, padded.alias(out)), key)
 
 
+def encode_whole(
+    df: DataFrame, tokens: str, vocab: Vocabulary, key: str, out: str = "ids", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Ids of all tokens of a list, however long, without padding; ``key`` must be unique."""
+    return _encode_by_word(df, tokens, vocab, key, 0, out, broadcast_rows)
+
+
 def encode(
     df: DataFrame,
     tokens: str,

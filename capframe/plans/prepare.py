@@ -44,7 +44,7 @@ def prepare(
     split = split_column(kept, ["photo_id"], seed)
     rows = kept.withColumn("tokens", tokenize(F.col("caption"), max_len)).withColumn("split", split)
     scope = rows if vocab_scope == "all" else rows.where(F.col("split") == "train")
-    vocabulary = build_vocabulary(scope, "tokens", ord, max_len, min_freq)
+    vocabulary = build_vocabulary(scope, "tokens", ord, min_freq)
     labels = label_ids(kept)
     encoded = encode(with_label_id(rows, labels), "tokens", vocabulary, "photo_id", max_len)
     return Prepared(encoded, labels, vocabulary)

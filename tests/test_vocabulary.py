@@ -72,7 +72,7 @@ def test_long_sequences_go_by_word(spark):
     texts = ["a b c d e " * 8] * 3
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "photo_id long, caption string")
     rows = df.withColumn("tokens", tokenize(F.col("caption"), 40))
-    vocab = V.build_vocabulary(rows, "tokens", "photo_id", max_len=40)
+    vocab = V.build_vocabulary(rows, "tokens", "photo_id")
     got = V.encode(rows, "tokens", vocab, "photo_id", max_len=40).first().token_ids
     assert got == [2, 3, 4, 5, 6] * 8
 
