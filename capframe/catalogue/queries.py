@@ -24,7 +24,7 @@ from capframe.plans import baselines, examples, inference
 from capframe.plans.prepare import prepare
 from capframe.session import materialize, scratch_dir, ship_package
 from capframe.sources import images as image_files
-from capframe.sources import photos, reports
+from capframe.sources import photo_files, photos, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -250,6 +250,103 @@ def source_order(spark, sf_dir):
     return back.select(F.col("photo_id").cast("long").alias("photo_id"), "ord")
 
 
+# Photo files.
+
+
+def _photo_files(spark, sf_dir):
+    """Pictures as files with awkward names: whole, cut, without bytes, or not there at all."""
+    of_eight = F.element_at(F.array(*[F.lit(n) for n in D.FILE_NAMES]), (F.col("photo_id") % 8 + 1).cast("int"))
+    state = F.expr("photo_id div 8 % 5")
+    rows = images.with_png(D.pictures(spark, sf_dir)).withColumn("state", state)
+    content = (
+        F.when(F.col("state") == 1, F.expr("substring(content, 1, length(content) div 2)"))
+        .when(F.col("state") == 2, F.lit("").cast("binary"))
+        .otherwise(F.col("content"))
+    )
+    stem = F.replace(of_eight, F.lit("#id"), F.col("photo_id").cast("string"))
+    return rows.select(F.col("photo_id").alias("id"), stem.alias("photo_id"), "state", content.alias("content"))
+
+
+def _written_photos(spark, sf_dir):
+    """The photos, and the folder their files were written to."""
+    folder = _new_path(spark, "photos")
+    rows = materialize(_photo_files(spark, sf_dir), "contents")
+    there = rows.where("state <> 3").select(F.concat("photo_id", F.lit(".png")).alias("name"), "content")
+    photo_files.write_photos(there.repartition(4), folder)
+    return rows.drop("content"), folder
+
+
+@query
+def photo_files_read(spark, sf_dir):
+    """Photos written as files and read back: which exist, which can be read, and the sum of their pixels."""
+    rows, folder = _written_photos(spark, sf_dir)
+    files = photo_files.list_photos(spark, folder).select("photo_id", (F.col("length") > 0).alias("filled"))
+    pixels = F.transform(F.split(F.regexp_replace(F.hex("data"), "(..)", "$1 "), " "), lambda h: F.conv(h, 16, 10).cast("long"))
+    total = F.aggregate(F.filter(pixels, lambda p: p.isNotNull()), F.lit(0).cast("long"), lambda a, p: a + p)
+    read = image_files.read_images(spark, folder, recursiveFileLookup=True)
+    read = read.select("photo_id", "height", "width", total.alias("total"))
+    both = rows.join(files, "photo_id", "left").join(read, "photo_id", "left")
+    return both.select("id", "photo_id", F.col("filled").isNotNull().alias("there"), "filled", "height", "width", "total")
+
+
+@query
+def photo_files_kept(spark, sf_dir):
+    """Photos whose file exists, by dropping the others and by failing on any other; and whose file can be read."""
+    rows, folder = _written_photos(spark, sf_dir)
+    files = photo_files.list_photos(spark, folder)
+    existing = image_files.keep_existing(rows, files)
+    strict = image_files.keep_existing(rows.where("state <> 3"), files, strict=True)
+    valid = image_files.keep_valid(rows, image_files.valid_photos(spark, folder, recursiveFileLookup=True))
+    started = image_files.keep_valid(rows, image_files.valid_photos(spark, folder, decode=False, recursiveFileLookup=True))
+    out = None
+    for form, kept in (("existing", existing), ("strict", strict), ("valid", valid), ("header", started)):
+        part = kept.select(F.lit(form).alias("form"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def photo_file_verdicts(spark, sf_dir):
+    """Verdicts on written photos: one listing taken in twice."""
+    rows, folder = _written_photos(spark, sf_dir)
+    table = _new_path(spark, "verdicts")
+    image_files.refresh_verdicts(spark, folder, table, recursiveFileLookup=True)
+    verdicts = image_files.refresh_verdicts(spark, folder, table, recursiveFileLookup=True)
+    return rows.join(verdicts, "photo_id").select("id", "photo_id", "valid")
+
+
+@query
+def replayed_verdicts(spark, sf_dir):
+    """Verdicts after listings that come twice, late, re-written, under a name used before, or half.
+
+    Documents are files. ``labels`` judges them by quality; re-written files by the contrary.
+    """
+    table = _new_path(spark, "verdicts")
+    good = D.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("photo_id"), F.lit(True).alias("good"))
+
+    def listing(of, time, more):
+        return D.table(spark, sf_dir, "documents").where(of).select(
+            F.col("doc_id").cast("string").alias("photo_id"),
+            F.concat(F.lit("files/"), "doc_id").alias("path"),
+            F.timestamp_seconds(F.lit(time) + F.col("doc_id")).alias("modified"),
+            (F.col("n_chars") + more).alias("length"),
+        )
+
+    def judge(contrary):
+        verdict = F.col("good").isNull() if contrary else F.col("good").isNotNull()
+        return lambda fresh: fresh.join(good, "photo_id", "left").select("path", verdict.alias("valid"))
+
+    first = listing("doc_id % 3 <> 0", 1_700_000_000, 0)
+    image_files.apply_listing(first, table, judge(False), "first")
+    image_files.apply_listing(first, table, judge(True))  # nothing in it is new
+    image_files.apply_listing(listing("doc_id % 3 = 0", 1_600_000_000, 0), table, judge(False), "late")
+    half = image_files.read_batches(spark, table, image_files.VERDICTS).drop("batch")
+    half.withColumn("valid", F.lit(False)).withColumn("seen", F.lit(9).cast("long")).write.parquet(f"{table}/_writing-killed")
+    image_files.apply_listing(listing("doc_id % 7 = 0", 1_500_000_000, 1), table, judge(True), "rewritten")
+    last = image_files.apply_listing(listing("doc_id % 11 = 0", 1_800_000_000, 2), table, judge(True), "late")
+    return last.select(F.col("photo_id").cast("long").alias("photo_id"), F.unix_timestamp("modified").alias("modified"), "valid")
+
+
 # Metrics.
 
 

@@ -125,6 +125,28 @@ SELECT photo_id, coalesce(caption, '') AS caption, label, image_path FROM captio
 SQL["json_round_trip"] = _with(D.CAPTIONS_SQL) + "SELECT photo_id, caption, label, source FROM captions"
 SQL["source_order"] = "SELECT doc_id AS photo_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents"
 
+# Photo files.
+PHOTO_FILES = D.PICTURES_SQL + f""",
+files AS (
+  SELECT photo_id AS id, replace({D.FILE_NAMES}[photo_id % 8 + 1], '#id', CAST(photo_id AS VARCHAR)) AS photo_id,
+         photo_id // 8 % 5 AS state, CAST(sum(list_sum(px)) AS BIGINT) AS total
+  FROM pictures GROUP BY pictures.photo_id)"""
+SQL["photo_files_read"] = _with(PHOTO_FILES) + """
+SELECT id, photo_id, state <> 3 AS there, CASE WHEN state <> 3 THEN state <> 2 END AS filled,
+       CASE WHEN state IN (0, 4) THEN 8 END AS height, CASE WHEN state IN (0, 4) THEN 8 END AS width,
+       CASE WHEN state IN (0, 4) THEN total END AS total FROM files"""
+SQL["photo_files_kept"] = _with(PHOTO_FILES) + """
+SELECT form, id FROM files, (VALUES ('existing', [0, 1, 2, 4]), ('strict', [0, 1, 2, 4]), ('valid', [0, 4]),
+                                    ('header', [0, 1, 4])) AS forms (form, states)
+WHERE list_contains(states, state)"""
+SQL["photo_file_verdicts"] = _with(PHOTO_FILES) + """
+SELECT id, photo_id, state <> 1 AS valid FROM files WHERE state NOT IN (2, 3)"""
+SQL["replayed_verdicts"] = """
+SELECT doc_id AS photo_id,
+       CASE WHEN doc_id % 7 = 0 THEN 1500000000 WHEN doc_id % 3 = 0 THEN 1600000000 ELSE 1700000000 END + doc_id AS modified,
+       (doc_id % 7 = 0) <> (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS valid
+FROM documents"""
+
 
 # Metrics.
 def scores_sql(classes: str, by: str = "") -> str:

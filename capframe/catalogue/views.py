@@ -22,6 +22,10 @@ LANGS = ["de", "en", "es", "fr", "it"]
 WORDS = {"en": "the|and", "de": "der|und", "fr": "le|et", "es": "el|y"}
 
 
+#: Names of photo files, by id; ``#id`` stands for the id.
+FILE_NAMES = ["#id", "p #id", "a[#id]", "#id%20", "é#id", "#id+x", "q?*#id", "{#id}&"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

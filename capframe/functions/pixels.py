@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -60,3 +62,27 @@ def pad_and_crop(pixels: np.ndarray, pad: int, top: int, left: int, size: int) -
 def to_tensor(pixels: np.ndarray) -> np.ndarray:
     """Channel-first floats in [0, 1]."""
     return (pixels.transpose(2, 0, 1) / np.float32(255)).astype(np.float32)
+
+
+# PNG colour types of grey, colour, and colour with alpha.
+_COLOUR_TYPE = {1: 0, 3: 2, 4: 6}
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """PNG file of an image ``[height, width, channels]`` of 1, 3 or 4 channels."""
+    height, width, channels = pixels.shape
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    lines = np.zeros((height, 1 + width * channels), np.uint8)  # each led by its filter, none
+    lines[:, 1:] = pixels.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, _COLOUR_TYPE[channels], 0, 0, 0)
+    body = zlib.compress(lines.tobytes())
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def png_of_spark(data: bytes, height: int, width: int, channels: int) -> bytes:
+    """PNG file of a Spark image: grey stays grey, colours change order, alpha stays last."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return png(pixels if channels == 1 else np.dstack([pixels[:, :, 2::-1], pixels[:, :, 3:]]))

@@ -124,3 +124,14 @@ def with_tensor(planned: DataFrame, out: str = "tensor") -> DataFrame:
 def with_colour_features(planned: DataFrame, out: str = "image_features") -> DataFrame:
     """Planned images as mean colour and eight-bin histogram per channel: 27 floats."""
     return planned.withColumn(out, _colour(*_inputs())).drop("data", "n_channels", *_PLAN)
+
+
+@F.pandas_udf(T.BinaryType())
+def _png(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for series in batches:
+        yield pd.Series([P.png_of_spark(*row) for row in zip(*series)], dtype=object)
+
+
+def with_png(df: DataFrame, out: str = "content") -> DataFrame:
+    """Image rows (``data, height, width, n_channels``) with the bytes of a PNG file of each."""
+    return df.withColumn(out, _png("data", "height", "width", "n_channels"))

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,6 +69,27 @@ def path_exists(spark: SparkSession, name: str) -> bool:
     return system.exists(path)
 
 
+def move_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder unless the target exists; whether it was moved."""
+    path, _ = _hadoop(spark, source)
+    goal, _ = _hadoop(spark, target)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    names = hadoop.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    never_over = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        names.rename(path, goal, never_over)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
+def delete_path(spark: SparkSession, name: str) -> bool:
+    path, system = _hadoop(spark, name)
+    return system.delete(path, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for tables written mid-job: the shared folder in ``spark.checkpoint.dir``.
 
@@ -93,5 +115,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's scratch tables; frames built on them stop working."""
-    path, system = _hadoop(spark, scratch_dir(spark))
-    return system.delete(path, True)
+    return delete_path(spark, scratch_dir(spark))
