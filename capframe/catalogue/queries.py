@@ -6,6 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,12 @@ from capframe.functions import vectors as V
 from capframe.functions.draws import gaussian, whole
 from capframe.operators import captions as C
 from capframe.operators import compare, embeddings, images, labels, metrics, ranking, trainlog, vocabulary
-from capframe.plans import baselines, examples, inference
+from capframe.plans import baselines, examples, inference, network, word_vectors
 from capframe.plans.prepare import prepare
 from capframe.session import materialize, scratch_dir, ship_package
 from capframe.sources import images as image_files
 from capframe.sources import photo_files, photos, reports
+from capframe.streaming import captions as captions_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,6 +75,14 @@ def caption_presence(spark, sf_dir):
     return C.caption_report(D.captions(spark, sf_dir))
 
 
+@query
+def observed_presence(spark, sf_dir):
+    """The counts of ``caption_presence``, taken along by the write of the captions."""
+    rows, counts = C.with_report(D.captions(spark, sf_dir))
+    materialize(rows.drop("source"), "photos")
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in counts.get.items()])
+
+
 @query
 def caption_halves(spark, sf_dir):
     without, given = C.split_by_caption(D.captions(spark, sf_dir))
@@ -469,6 +479,33 @@ def top_words_by_label(spark, sf_dir):
     return C.top_words(_training_tokens(D.texts(spark, sf_dir)), 10)
 
 
+SHARES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+@query
+def length_quantiles(spark, sf_dir):
+    """Quantiles of caption lengths from sketches per class and split, and from those merged per split.
+
+    ``within``: the rank of the length, counted exactly, is within the sketch's stated error of the share.
+    """
+    rows = ranking.with_split(D.texts(spark, sf_dir), ["photo_id"])
+    tokens = materialize(rows.select("label", "split", T.tokenize(F.col("caption"), None).alias("tokens")), "tokens")
+    fine = materialize(C.length_sketches(tokens, ["label", "split"]), "sketches")
+    coarse = C.merge_sketches(fine, ["split"]).select(F.lit("all").alias("label"), "split", "sketch")
+    told = C.sketch_quantiles(fine.unionByName(coarse), SHARES)
+    lengths = tokens.groupBy("label", "split", F.size("tokens").alias("size")).agg(F.count("*").alias("rows"))
+    every = lengths.groupBy("split", "size").agg(F.sum("rows").alias("rows")).withColumn("label", F.lit("all"))
+    counted = lengths.unionByName(every).withColumnsRenamed({"label": "_label", "split": "_split"})
+    same = F.col("label").eqNullSafe(F.col("_label")) & (F.col("split") == F.col("_split"))
+    ranks = told.join(counted, same).groupBy("label", "split", "share", "length", "n").agg(
+        F.sum(F.when(F.col("size") < F.col("length"), F.col("rows")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("size") <= F.col("length"), F.col("rows")).otherwise(0)).alias("upto"),
+    )
+    slack = C.SKETCH_ERROR * F.col("n") + 1
+    within = (F.col("below") <= F.col("share") * F.col("n") + slack) & (F.col("upto") >= F.col("share") * F.col("n") - slack)
+    return ranks.select("label", "split", "share", "n", within.alias("within"))
+
+
 # Prompts, messages, model output.
 
 
@@ -497,6 +534,27 @@ def rendered_turns(spark, sf_dir):
     return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", P.render(turn).alias("rendered"))
 
 
+@query
+def rendered_conversations(spark, sf_dir):
+    """Every conversation as one string, with the start of an answer."""
+    turns = D.table(spark, sf_dir, "conversations")
+    return examples.rendered_conversations(turns, generation=True)
+
+
+@query
+def streamed_captions(spark, sf_dir):
+    """Captions encoded as a stream that is started, ended and started again after more files came."""
+    rows = _tokens(spark, sf_dir)
+    words = vocabulary.build_vocabulary(rows, "tokens", "ord")
+    source, out, checkpoint = (_new_path(spark, n) for n in ("stream", "coded", "stream-state"))
+    arriving = D.texts(spark, sf_dir).select("photo_id", "caption")
+    for late in (False, True):
+        arriving.where((F.col("photo_id") % 3 == 0) == F.lit(late)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(arriving.schema).parquet(source)
+        captions_stream.write_encoded(stream, words, out, checkpoint)
+    return spark.read.parquet(out).select("photo_id", _joined("token_ids").alias("ids"))
+
+
 @query
 def stripped(spark, sf_dir):
     text = F.concat(F.lit("\t "), F.col("text"), F.lit(" \n\x1c"))
@@ -821,6 +879,36 @@ def image_features(spark, sf_dir):
     )
 
 
+GRID_SIDE, CHANNELS = 7, 64
+
+
+def _encoder():
+    """Stand-in image encoder: a vector of 64 for each of 7 x 7 places, multiples of one colour of the place."""
+
+    def encode(frame: pd.DataFrame) -> list[np.ndarray]:
+        times = np.arange(1, CHANNELS + 1, dtype=np.float32)
+        out = []
+        for tensor, shape in zip(frame["tensor"], frame["shape"]):
+            places = np.asarray(tensor, dtype=np.float32).reshape(*shape).reshape(3, -1).T
+            out.append(places[:, np.arange(CHANNELS) % 3] * times)
+        return out
+
+    return encode
+
+
+@query
+def encoded_images(spark, sf_dir):
+    """An encoder's 49 vectors of 64 values for every picture, pooled to one: a row per value of it."""
+    planned = images.plan_eval(D.pictures(spark, sf_dir), resize_to=8, crop_to=GRID_SIDE)
+    rows = images.with_tensor(planned)
+    places = inference.infer(_encoder, {"tensor": F.col("tensor"), "shape": F.col("shape")}, "array<array<float>>")
+    rows = materialize(rows.select("photo_id", places.alias("places")), "encoded")
+    pooled = rows.select("photo_id", F.size("places").alias("n"), V.mean_tokens(F.col("places"), CHANNELS).alias("m"))
+    values = pooled.select("photo_id", "n", F.posexplode("m").alias("k", "v"))
+    total = F.round(F.col("v") * F.col("n") * 255 / (F.col("k") + 1)).cast("long")
+    return values.select("photo_id", F.col("k").cast("int").alias("k"), "n", total.alias("total"))
+
+
 # Classifiers.
 
 
@@ -848,6 +936,21 @@ def text_classifier(spark, sf_dir):
     return _judged(_caption_table(spark, sf_dir), image=False, text=True)
 
 
+@query
+def reloaded_classifier(spark, sf_dir):
+    """Test rows judged by a pipeline that an earlier run fitted and kept."""
+    table, store = _caption_table(spark, sf_dir), _new_path(spark, "pipelines")
+
+    def never(value):
+        raise RuntimeError("fitted again")
+
+    baselines.run_config(table, image=False, text=True, grid=(0.01,), store=store)
+    answers = baselines.run_config(table, image=False, text=True, make=never, store=store)
+    known = table.where("label_id is not null").select(F.col("label_id").alias("pred_id")).distinct()
+    answers = answers.join(known.withColumn("_known", F.lit(True)), "pred_id", "left")
+    return answers.select("photo_id", "label_id", F.col("_known").isNotNull().alias("known"))
+
+
 def _photos_with_vectors(spark, sf_dir, variant="whole"):
     vectors = D.embeddings(spark, sf_dir).select("photo_id", array_to_vector("vector").alias("image_vector"))
     return embeddings.pair_modalities(vectors, _caption_table(spark, sf_dir, variant), "photo_id")
@@ -863,6 +966,51 @@ def fused_classifier(spark, sf_dir):
     return _judged(_photos_with_vectors(spark, sf_dir), image=True, text=True)
 
 
+def _learned(spark, sf_dir):
+    """Prepared photos, and a vector for every id of their vocabulary, learned from their tokens."""
+    ready = prepare(D.texts(spark, sf_dir))
+    table = materialize(ready.table.select("photo_id", "label_id", "split", "token_ids"), "prepared")
+    return table, word_vectors.learn_token_vectors(table, "token_ids", ready.vocabulary), ready
+
+
+@query
+def learned_vectors(spark, sf_dir):
+    """The learned vector of every token id of every photo; padding has the zero vector."""
+    table, vectors, _ = _learned(spark, sf_dir)
+    places = table.select("photo_id", F.col("token_ids").cast("array<bigint>").alias("ids"))
+    found = embeddings.lookup_vectors(places, "photo_id", "ids", vectors)
+    zero = ~F.exists("vector", lambda x: x != 0)
+    return found.select("photo_id", F.col("pos").cast("int").alias("pos"), "id", F.size("vector").alias("dim"), zero.alias("zero"))
+
+
+@query
+def fused_network(spark, sf_dir):
+    """Test rows of the two-layer network on image vectors and learned text vectors.
+
+    The columns on the training say that its log has as many epochs as the rule of early stopping
+    lets it have, and that the chosen weights are those of the best epoch by that rule.
+    """
+    table, vectors, ready = _learned(spark, sf_dir)
+    texts = word_vectors.text_vectors(table, "photo_id", "token_ids", vectors)
+    images = D.embeddings(spark, sf_dir).select("photo_id", F.col("vector").alias("image_vector"))
+    both = embeddings.pair_modalities(table.join(images, "photo_id"), texts, "photo_id")
+    judged, trained = network.run_network(
+        both, _new_path(spark, "network"), ready.labels.count(), epochs=12, patience=3, steps=15
+    )
+    rule = trainlog.early_stopping(trained.history, patience=3)
+    top = trainlog.best_epoch(trained.history).select("run", F.col("best_epoch").alias("top"))
+    logged = trained.history.groupBy("run").agg(F.count("*").alias("logged"))
+    told = rule.join(logged, "run").join(top, "run", "left").select(
+        ((F.col("epochs") == F.col("logged")) & ((F.col("logged") == 12) | (F.col("logged") == F.col("stop_epoch")))).alias("epochs_by_rule"),
+        (F.col("top").eqNullSafe(F.lit(trained.best)) & F.col("best_epoch").eqNullSafe(F.col("top"))).alias("best_by_rule"),
+    ).first()
+    known = ready.labels.select(F.col("label_id").alias("pred_id"), F.lit(True).alias("_known"))
+    rows = judged.join(F.broadcast(known), "pred_id", "left")
+    return rows.select(
+        "photo_id", "label_id", F.col("_known").isNotNull().alias("known"), *[F.lit(v).alias(n) for n, v in told.asDict().items()]
+    )
+
+
 @query
 def run_matrix(spark, sf_dir):
     """Classes scored for every modality on raw and on completed captions, models chosen over the whole grid."""

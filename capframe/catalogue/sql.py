@@ -59,6 +59,7 @@ SELECT count(*) AS rows, CAST(0 AS BIGINT) AS broken, count(*) AS kept,
        count(*) FILTER (caption = '') AS without_caption,
        count(*) FILTER (caption IS DISTINCT FROM '') AS with_caption,
        count(*) FILTER (caption IS NULL) AS null_caption FROM captions"""
+SQL["observed_presence"] = SQL["caption_presence"]
 SQL["caption_halves"] = _with(D.CAPTIONS_SQL) + """
 SELECT photo_id, CASE WHEN caption = '' THEN 'without' ELSE 'with' END AS half,
        CAST(length(caption) AS INTEGER) AS chars FROM captions"""
@@ -228,6 +229,11 @@ SELECT label, word, freq, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY freq DESC, word) AS rank FROM (
     SELECT label, word, count(*) AS freq FROM (SELECT label, unnest(tokens) AS word FROM train) GROUP BY ALL))
 WHERE rank <= 10"""
+SQL["length_quantiles"] = _with(*WHOLE_TRAIN[:3]) + """
+SELECT label, split, share, n, true AS within FROM (
+  SELECT label, split, count(*) AS n FROM split_rows GROUP BY ALL
+  UNION ALL SELECT 'all', split, count(*) FROM split_rows GROUP BY ALL),
+  (SELECT unnest([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 0.99e0]) AS share)"""
 
 # Prompts, messages, model output.
 ASKED = f"""asked AS (
@@ -246,6 +252,11 @@ SELECT photo_id, '<|im_start|>user' || chr(10) || '<|image|>' || {_quote(CAPTION
 FROM captions WHERE caption IS NOT NULL"""
 SQL["rendered_turns"] = """
 SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM conversations"""
+SQL["rendered_conversations"] = """
+SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn)
+       || '<|im_start|>assistant' || chr(10) AS rendered
+FROM conversations GROUP BY conv_id"""
+SQL["streamed_captions"] = SQL["encoded_captions"]
 BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 STRIPPED = rf"regexp_replace(%s, '^{BLANK}+|{BLANK}+$', '', 'g')"
 SQL["stripped"] = f"SELECT doc_id AS photo_id, md5({STRIPPED % 'text'}) AS text_md5 FROM documents"
@@ -409,14 +420,25 @@ SELECT photo_id, channel, CAST(27 AS INTEGER) AS dim, CAST(sum(v) AS BIGINT) AS
        """ + ", ".join(f"count(*) FILTER (v // 32 = {b}) AS bin{b}" for b in range(8)) + """
 FROM (SELECT photo_id, channel, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM pictures)
 WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY photo_id, channel"""
+SQL["encoded_images"] = _with(D.PICTURES_SQL) + """
+SELECT photo_id, k, CAST(49 AS INTEGER) AS n, CAST(sum(v) AS BIGINT) AS total FROM (
+  SELECT photo_id, channel, unnest(px) AS v, generate_subscripts(px, 1) - 1 AS i FROM pictures)
+JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS k) ON k % 3 = channel
+WHERE i % 8 < 7 AND i // 8 < 7 GROUP BY photo_id, k"""
 
 # Classifiers: the rows they judge, not their answers.
 _TESTED = (D.CAPTIONS_SQL, LABELS, split_sql("captions"), D.EMBEDDINGS_SQL, """tested AS (
   SELECT photo_id, label_id FROM split_rows JOIN labels_by_id USING (label) WHERE split = 'test')""")
 SQL["text_classifier"] = _with(*_TESTED) + "SELECT photo_id, label_id, true AS known FROM tested"
+SQL["reloaded_classifier"] = SQL["text_classifier"]
 SQL["image_classifier"] = _with(*_TESTED) + """
 SELECT photo_id, label_id, true AS known FROM tested JOIN vectors USING (photo_id)"""
 SQL["fused_classifier"] = SQL["image_classifier"]
+SQL["fused_network"] = _with(*_TESTED) + """
+SELECT photo_id, label_id, true AS known, true AS epochs_by_rule, true AS best_by_rule
+FROM tested JOIN vectors USING (photo_id)"""
+SQL["learned_vectors"] = _with(*ENCODED, PLACES) + """
+SELECT photo_id, pos, id, CAST(64 AS INTEGER) AS dim, id = 0 AS zero FROM places"""
 SQL["run_matrix"] = _with(*_TESTED) + """
 SELECT modality || '_' || variant AS config, label_id AS class, count(*) AS support, true AS within
 FROM (SELECT label_id, unnest(['text', 'image', 'both']) AS modality FROM tested JOIN vectors USING (photo_id)),

@@ -95,6 +95,9 @@ def render(messages: Column, tags: ChatTags = ChatTags(), generation: bool = Fal
         return F.concat(F.lit(tags.start), m["role"], F.lit("\n"), body, F.lit(tags.end))
 
     text = F.array_join(F.transform(messages, one), "")
-    if generation:
-        text = F.concat(text, F.lit(f"{tags.start}{tags.generation_role}\n"))
-    return text
+    return F.concat(text, F.lit(generation_start(tags))) if generation else text
+
+
+def generation_start(tags: ChatTags = ChatTags()) -> str:
+    """What opens the answer a model is to write."""
+    return f"{tags.start}{tags.generation_role}\n"

@@ -9,6 +9,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.util import HasTrainingSummary
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from capframe.operators.compare import compare_configs
 from capframe.operators.metrics import class_metrics, macro_f1, micro_precision
 from capframe.operators.trainlog import best_epoch
 from capframe.session import materialize
+from capframe.sources.models import fit_once, without_summary
 
 GRID = (0.1, 0.01, 0.001)  # regularisation tried by default
 TEXT_DIM = 1 << 12  # hashed words: a fixed size whatever the vocabulary
@@ -73,7 +75,8 @@ def fit_best(
     checked = features.transform(valid).select("label_id", "features").persist()
     models, predicted = [], None
     for i, value in enumerate(grid, start=1):
-        models.append(make(value).fit(ready))
+        model = make(value).fit(ready)
+        models.append(without_summary(model) if isinstance(model, HasTrainingSummary) else model)
         own = models[-1].transform(checked).select("label_id", "prediction", F.lit(i).alias("candidate"))
         predicted = own if predicted is None else predicted.unionByName(own)
     # All candidates are scored in one job.
@@ -103,15 +106,23 @@ def run_config(
     text: bool,
     grid: Sequence[float] = GRID,
     make: Callable[[float], Estimator] = classifier,
+    store: str | None = None,
 ) -> DataFrame:
-    """Test predictions of the model chosen for one modality; ``table`` has ``split`` and ``label_id``."""
+    """Test predictions of the model chosen for one modality; ``table`` has ``split`` and ``label_id``.
+
+    With ``store``, a path, the fitted pipeline is kept there, and one found there is not fitted again.
+    """
     inputs = ["tokens"] * text + ["image_vector"] * image
     known = table.where(F.col("label_id").isNotNull()).select("photo_id", "label_id", "split", *inputs)
     # Fitting reads the features many times: written once, in the columns it needs.
     known = materialize(known, "features")
     train, valid = known.where(F.col("split") == "train"), known.where(F.col("split") == "valid")
-    fitted = fit_best(train, valid, image, text, grid, make)
-    return predict(fitted.model, known.where(F.col("split") == "test"))
+
+    def fit() -> PipelineModel:
+        return fit_best(train, valid, image, text, grid, make).model
+
+    model = fit_once(table.sparkSession, store, fit) if store else fit()
+    return predict(model, known.where(F.col("split") == "test"))
 
 
 MODALITIES = {"text": (False, True), "image": (True, False), "both": (True, True)}
@@ -121,15 +132,20 @@ def run_matrix(
     tables: dict[str, DataFrame],
     modalities: Sequence[str] = tuple(MODALITIES),
     grid: Sequence[float] = GRID,
+    make: Callable[[float], Estimator] = classifier,
+    store: str | None = None,
 ) -> DataFrame:
     """``config, class, precision, recall, f1, support`` of every data variant and modality.
 
-    ``tables`` maps a variant (raw, completed) to its prepared table.
+    ``tables`` maps a variant (raw, completed) to its prepared table. With ``store``, a folder, each
+    configuration's pipeline is kept under its name, and a run that starts again fits only the rest.
     """
     scored = None
     for variant, table in tables.items():
         for modality in modalities:
-            predicted = run_config(table, *MODALITIES[modality], grid).withColumn("config", F.lit(f"{modality}_{variant}"))
+            config = f"{modality}_{variant}"
+            predicted = run_config(table, *MODALITIES[modality], grid, make, f"{store}/{config}" if store else None)
+            predicted = predicted.withColumn("config", F.lit(config))
             scored = predicted if scored is None else scored.unionByName(predicted)
     return class_metrics(scored, "label_id", "pred_id", by=["config"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capframe.fixed_values import BATCH_SIZE, CAPTION_PROMPT, PAD_ID
-from capframe.functions.prompts import training_messages
+from capframe.functions.prompts import MESSAGE_TYPE, ChatTags, generation_start, render, text_message, training_messages
 from capframe.functions.sequences import mask_labels, pad_right
 from capframe.operators.captions import drop_incomplete
 from capframe.operators.ranking import with_batches
@@ -37,3 +37,21 @@ def padded_batches(
         "input_ids", pad_right(F.col(ids), F.col("_longest"), pad_id or PAD_ID)
     )
     return padded.withColumn("labels", mask_labels(F.col("input_ids"), pad_id, image_id)).drop("_longest")
+
+
+def rendered_conversations(
+    turns: DataFrame,
+    key: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    tags: ChatTags = ChatTags(),
+    generation: bool = False,
+) -> DataFrame:
+    """``key, rendered``: the turns of a conversation in order as one string, for training or, with
+    ``generation``, up to where the answer begins. A null text is empty."""
+    message = F.array(text_message(F.col(role), F.coalesce(text, F.lit("")))).cast(MESSAGE_TYPE)
+    lines = turns.select(key, turn, render(message, tags).alias("_line"))
+    whole = F.expr(f"listagg(_line, '') within group (order by {turn}, _line)")
+    end = F.lit(generation_start(tags) if generation else "")
+    return lines.groupBy(key).agg(whole.alias("_whole")).select(key, F.concat("_whole", end).alias("rendered"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capframe.fixed_values import CAPTION_PROMPT, CLASSES, SEED
 from capframe.functions.prompts import (
@@ -32,10 +33,15 @@ def infer(factory: Factory, inputs: dict[str, Column], returns: str = "string",
     """Outputs of a model as a column.
 
     ``factory()`` makes the model once per task. The model gets pandas frames of at most
-    ``batch_size`` rows with the columns ``inputs`` and gives one output per row. Only the inputs
-    travel to the Python worker; other columns of the row stay where they are.
+    ``batch_size`` rows with the columns ``inputs`` and gives one output per row: a value, an array,
+    or an array of arrays, as ``returns`` says. Outputs go back after every such batch, so wide ones
+    never pile up. Only the inputs travel to the Python worker; other columns of the row stay where
+    they are.
     """
     names = list(inputs)
+    nested = T._parse_datatype_string(returns)
+    rows = isinstance(nested, T.ArrayType) and isinstance(nested.elementType, T.ArrayType)
+    flat = isinstance(nested, (T.StringType, T.ArrayType))
 
     @F.pandas_udf(returns)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -43,11 +49,12 @@ def infer(factory: Factory, inputs: dict[str, Column], returns: str = "string",
         for series in batches:
             columns = series if isinstance(series, tuple) else (series,)
             frame = pd.concat(columns, axis=1, keys=names)
-            parts = [frame.iloc[i : i + batch_size] for i in range(0, len(frame), batch_size)]
-            outputs = [value for part in parts for value in model(part.reset_index(drop=True))]
-            if len(outputs) != len(frame):
-                raise ValueError(f"model gave {len(outputs)} outputs for {len(frame)} rows")
-            yield pd.Series(outputs, dtype=object if returns == "string" else None)
+            for start in range(0, len(frame), batch_size):
+                part = frame.iloc[start : start + batch_size].reset_index(drop=True)
+                outputs = [list(value) if rows and value is not None else value for value in model(part)]
+                if len(outputs) != len(part):
+                    raise ValueError(f"model gave {len(outputs)} outputs for {len(part)} rows")
+                yield pd.Series(outputs, dtype=object if flat else None)
 
     # Nondeterministic: neither repeated nor moved by the optimizer, so each row is run once.
     return run.asNondeterministic()(*inputs.values())

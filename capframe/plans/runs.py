@@ -42,9 +42,12 @@ def supervised(
     modalities: Sequence[str] = tuple(MODALITIES),
     grid: Sequence[float] = GRID,
     run_id: str | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Scores per class of every variant and modality, also written as JSON to ``out``.
 
+    With ``store``, a folder, fitted pipelines are kept there and a run that died goes on with them.
+
     ``variants`` are photo tables (raw, completed) read from files; ``image_vectors`` has
     ``photo_id, image_vector``. A photo without a vector counts as broken.
     """
@@ -52,7 +55,7 @@ def supervised(
     for name, photos in variants.items():
         ready = prepare(with_source_order(photos), image_vectors)
         table = pair_modalities(ready.table, image_vectors, "photo_id")
-        scores = run_matrix({name: table}, modalities, grid).withColumn("label_id", F.col("class").cast("int"))
+        scores = run_matrix({name: table}, modalities, grid, store=store).withColumn("label_id", F.col("class").cast("int"))
         # Ids are given per variant, so each variant's scores take their names from its own labels.
         own = with_label_name(scores.drop("class"), ready.labels, "label_id", "class").drop("label_id")
         named = own if named is None else named.unionByName(own)

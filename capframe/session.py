@@ -113,6 +113,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_from_files(df: DataFrame) -> bool:
+    """Whether ``df`` is files with at most columns computed and rows left out: cheap to read once more."""
+    plain = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation", "DataSourceV2Relation", "View"}
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in plain:
+            return False
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's scratch tables; frames built on them stop working."""
     return delete_path(spark, scratch_dir(spark))

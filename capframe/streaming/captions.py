@@ -18,3 +18,16 @@ def encode_captions(
         raise ValueError("vocabulary or sequence too long for stateless encoding")
     rows = stream.withColumn("tokens", tokenize(F.col(caption), max_len))
     return encode_by_place(rows, "tokens", vocab.table, max_len, out)
+
+
+def write_encoded(
+    stream: DataFrame, vocab: Vocabulary, out: str, checkpoint: str, caption: str = "caption", max_len: int = MAX_LEN
+) -> None:
+    """Encode all that has come to a stream so far into Parquet files, then end.
+
+    ``checkpoint`` keeps what was read: started again, also after a failure, it goes on with what is
+    new, and the file sink's own log keeps every row once.
+    """
+    coded = encode_captions(stream, vocab, caption, max_len)
+    writer = coded.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
