@@ -38,57 +38,92 @@ def marked_tokens(text: Column) -> Column:
     any word has a capital. More than ``NAME_WORDS`` capitalised words in a row are a title, kept as words.
     """
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\x{0}\x{1}]+", " ")
-    # Title words get a mark that ends with the split; the rest of the patterns pass them by.
-    long_run = rf"(?<![\p{{L}}\p{{N}}])(?=(?:{_CAPITAL} ){{{NAME_WORDS}}}\p{{Lu}}\p{{Ll}})"
-    titles = F.regexp_replace(plain, rf"(?:{long_run}|(?!^)\G( ))({_CAPITAL})", "$1\x01$2")
+    # Title words get a mark that ends with the split; the rest of the patterns pass them by. Patterns
+    # begin with what is rare in a text, a space or a capital, and look back from there.
+    row = rf"(?:{_CAPITAL} ){{{NAME_WORDS}}}\p{{Lu}}\p{{Ll}}"
+    long_run = rf"(?<![\p{{L}}\p{{N}}])(?={row})"
+    marked = F.regexp_replace(plain, rf"(?:{long_run}|(?!^)\G( ))({_CAPITAL})", "$1\x01$2")
+    titles = F.when(plain.rlike(row), marked).otherwise(plain)
     joined = F.regexp_replace(titles, rf"({_CAPITAL}) (?=\p{{Lu}}\p{{Ll}})", "$1_")
-    names = F.regexp_replace(joined, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", "_n")
-    names = F.regexp_replace(names, r"(?<![\p{L}\p{N}_\x{1}])(?=\p{Lu}\p{Ll})", "_s")
+    names = F.regexp_replace(joined, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", " _n")
+    names = F.regexp_replace(names, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}_\x{1}])", "_s")
     units = F.regexp_replace(names, rf"({_NUMBER}) ?({'|'.join(UNITS)})\b", r"$1 _u$2 ")
     numbers = F.regexp_replace(units, r"(?<=\d)[.,](?=\d)", "_")
     return F.filter(F.split(F.lower(numbers), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def template(tokens: Column, starts: bool = True) -> Column:
-    """Marked tokens with their values taken out; single words that start a sentence stay words unless ``starts``."""
-    return F.transform(
-        tokens,
-        lambda t: F.when(F.lit(not starts) & t.rlike("^_s[^_]+$"), F.substr(t, F.lit(3)))
-        .when(t.startswith("_"), F.substring(t, 1, 2))
-        .when(F.ascii(t).between(48, 57), F.lit("0"))
-        .otherwise(t),
-    )
+def template_hash(token: Column) -> Column:
+    """Hash of a marked token with its value taken out."""
+    open_ = F.when(token.startswith("_"), F.substring(token, 1, 2)).when(F.ascii(token).between(48, 57), F.lit("0"))
+    return F.xxhash64(open_.otherwise(token))
 
 
 def _windows(df: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, hash) of every window of template tokens; shorter texts have none.
+    """(key, pos, hash, own) of every window of ``window`` template tokens; shorter texts have none.
 
     A window with a single word at the start of a sentence has a second hash with that word as it
-    is, which copies in capitals or small letters share. Token hashes are a column of their own, as
-    each is read ``window`` times. The outer explode keeps Spark from deriving a filter that would
-    compute the whole chain once more.
+    is (``own``), which copies in capitals or small letters share. A window's hash is put together from those
+    of its halves, each a column that is computed once. The outer explode keeps Spark from deriving
+    a filter that would compute the whole chain once more.
     """
     marked = df.select(F.col(key).alias("key"), marked_tokens(F.col("text")).alias("marked"))
     hashed = marked.select(
-        "key",
-        F.size("marked").alias("n"),
-        *[F.transform(template(F.col("marked"), s), lambda t: F.xxhash64(t)).alias(c) for c, s in (("open", True), ("word", False))],
+        "key", "marked", F.size("marked").alias("n"), F.transform("marked", template_hash).alias("open1")
     )
+    # The hashes differ only at single words that start a sentence.
+    start = lambda t: t.startswith("_s") & (F.locate("_", t, 3) == 0)
+    own = F.zip_with("marked", "open1", lambda t, o: F.when(start(t), F.xxhash64(F.substr(t, F.lit(3)))).otherwise(o))
+    rows = hashed.select("key", "n", "open1", own.alias("word1"))
+
+    def follow(left: str, right: str, by: int) -> Column:
+        """Hashes of the spans of ``left`` and the spans of ``right`` that come ``by`` tokens later."""
+        return F.zip_with(left, F.slice(right, by + 1, F.greatest(F.col("n"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+    forms, size = ("open", "word"), 1
+    while 2 * size <= window:
+        rows = rows.select("*", *[follow(f"{f}{size}", f"{f}{size}", size).alias(f"{f}{2 * size}") for f in forms])
+        size *= 2
+    spans, covered = size, size
+    while covered < window:
+        size //= 2
+        if covered + size <= window:
+            rows = rows.select("*", *[follow(f"{f}{spans}", f"{f}{size}", covered).alias(f"{f}_{covered + size}") for f in forms])
+            covered += size
+            spans = f"_{covered}"
     last = F.col("n") - window
-
-    def windows(tokens: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(window)]))
-
-    both = hashed.select("key", "n", *[F.when(last >= 0, windows(c)).alias(c) for c in ("open", "word")])
+    whole = [F.when(last >= 0, F.slice(f"{f}{spans}", F.lit(1), F.greatest(last + 1, F.lit(1)))).alias(f) for f in forms]
+    both = rows.select("key", "n", *whole)
     each = F.concat("open", F.zip_with("open", "word", lambda o, w: F.when(o != w, w)))
     opened = both.select("key", "n", each.alias("windows")).select("key", "n", F.posexplode_outer("windows").alias("at", "hash"))
-    return opened.where("hash is not null").select("key", (F.col("at") % (last + 1)).alias("pos"), "hash")
+    opened = opened.where("hash is not null")
+    return opened.select("key", (F.col("at") % (last + 1)).alias("pos"), "hash", (F.col("at") > last).alias("own"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_pos, hash); an item of fewer than ``window`` tokens has none and is never found."""
-    rows = _windows(benchmark.where("item_id is not null").select("item_id", "text"), "item_id", window)
-    return materialize(rows.select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash"), "items")
+    """(item_id, width, item_pos, hash); an item of fewer than ``window`` tokens is one window of its own width.
+
+    Such a window needs a word: placeholders alone would meet any value.
+    """
+    tokens = benchmark.where("item_id is not null").select("item_id", "text", marked_tokens(F.col("text")).alias("tokens"))
+    word = F.exists("tokens", lambda t: ~t.startswith("_") & ~F.ascii(t).between(48, 57))
+    sized = tokens.select("item_id", "text", F.least(F.size("tokens"), F.lit(window)).alias("width"), word.alias("word"))
+    sized = materialize(sized.where("width > 0"), "item-texts")
+    out = None
+    for width in _widths(sized) or [window]:
+        of_width = sized.where(F.col("width") == width)
+        if width < window:
+            worded = _windows(of_width.where("word"), "item_id", width)
+            rows = worded.unionByName(_windows(of_width.where("not word"), "item_id", width).where("own"))
+        else:
+            rows = _windows(of_width, "item_id", width)
+        rows = rows.select(F.col("key").alias("item_id"), F.lit(width).alias("width"), F.col("pos").alias("item_pos"), "hash")
+        out = rows if out is None else out.unionByName(rows)
+    return materialize(out, "items")
+
+
+def _widths(items: DataFrame) -> list[int]:
+    """Window widths in use: one, and as many more as there are lengths of shorter items."""
+    return sorted(r.width for r in items.select("width").distinct().collect())
 
 
 def _aligned(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -96,7 +131,12 @@ def _aligned(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     places = items.groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_pos")).alias("places"))
     if items.count() <= ITEM_WINDOWS:
         places = F.broadcast(places)
-    found = _windows(docs, "doc_id", window).join(places, "hash")
+    found = None
+    for width in _widths(items):
+        met = _windows(docs, "doc_id", width).join(places, "hash")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        found = _windows(docs, "doc_id", window).join(places, "hash")
     # An array of places keeps the join at one row a window; it opens inside the aggregation's input.
     opened = found.select(F.col("key").alias("doc_id"), "pos", F.explode("places").alias("p"))
     return opened.groupBy(
@@ -114,19 +154,20 @@ def contaminated(
     pair counts when a run of alignments (``_runs``) holds at least ``share`` of the item's windows
     and at least ``consistent`` of its slots agree (no slots agree trivially). Null doc_ids and
     item_ids are left out, null texts are empty, rows that repeat an id are taken as parts of one
-    text each aligned on its own.
+    text each aligned on its own. An item of fewer than ``window`` tokens is found where all its
+    tokens stand in a row; one of numbers, units and names alone, or without tokens, is never found.
     """
     own = docs.where("doc_id is not null").select("doc_id", "text")
     items = item_windows(benchmark, window)
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.max("width").alias("width"))
     aligned = materialize(_aligned(own, items, window), "aligned")
     totals = aligned.groupBy(*PAIR).agg(_covered_windows().alias("windows"))
     enough = totals.join(sizes, "item_id").where(F.col("windows") >= share * F.col("item_windows"))
     candidates = materialize(aligned.join(enough.drop("windows"), PAIR), "candidates")
-    runs = _runs(candidates, window)
+    runs = _runs(candidates)
     full = runs.groupBy(*RUN).agg(_covered_windows().alias("windows"), F.first("item_windows").alias("item_windows"))
     full = materialize(full.where(F.col("windows") >= share * F.col("item_windows")), "runs")
-    slots = _slots(own, benchmark, candidates, runs.join(full.select(*RUN), RUN, "left_semi"), window)
+    slots = _slots(own, benchmark, candidates, runs.join(full.select(*RUN), RUN, "left_semi"))
     judged = full.join(slots, RUN, "left").fillna(0, ["slots", "agreeing"])
     passed = judged.where(F.col("agreeing") >= consistent * F.col("slots"))
     best = passed.groupBy(*PAIR).agg(F.max(F.struct("windows", "agreeing", "slots", "item_windows")).alias("b"))
@@ -137,7 +178,7 @@ def _covered_windows() -> Column:
     return F.size(F.array_distinct(F.flatten(F.collect_list("item_places")))).cast("long")
 
 
-def _runs(aligned: DataFrame, window: int) -> DataFrame:
+def _runs(aligned: DataFrame) -> DataFrame:
     """Alignments by the runs they belong to: ``aligned`` with (kind, run), rows repeated per kind.
 
     A run is one alignment; or neighbouring alignments, no two neighbours half an item apart, as
@@ -145,7 +186,7 @@ def _runs(aligned: DataFrame, window: int) -> DataFrame:
     apart. Copies of one item in a document are so judged each on its own as well as together.
     """
     ordered = Window.partitionBy(*PAIR).orderBy("shift")
-    apart = F.col("shift") - F.lag("shift").over(ordered) >= (F.col("item_windows") + (window - 1)) / 2
+    apart = F.col("shift") - F.lag("shift").over(ordered) >= (F.col("item_windows") + F.col("width") - 1) / 2
     marked = aligned.withColumn("near", F.sum(F.when(apart, 1).otherwise(0)).over(ordered))
     kinds = [("alignment", "shift"), ("near", "near"), ("whole", None)]
     each = F.array(
@@ -154,7 +195,7 @@ def _runs(aligned: DataFrame, window: int) -> DataFrame:
     return marked.select(*aligned.columns, F.explode(each).alias("r")).select(*aligned.columns, "r.kind", "r.run")
 
 
-def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, runs: DataFrame) -> DataFrame:
     """Slots on the aligned windows of each run, and how many agree: (doc_id, item_id, kind, run, slots, agreeing).
 
     Where alignments of a run overlap on the item, the one with most windows counts. For each value
@@ -172,7 +213,7 @@ def _slots(docs: DataFrame, benchmark: DataFrame, aligned: DataFrame, runs: Data
         "shift",
         F.explode(
             F.array_distinct(
-                F.flatten(F.transform("item_places", lambda p: F.sequence(p, p + (window - 1))))
+                F.flatten(F.transform("item_places", lambda p: F.sequence(p, p + F.col("width") - 1)))
             )
         ).alias("item_pos"),
     )

@@ -262,3 +262,17 @@ def test_packing_places_every_token_once(spark, sf):
             at += n
         assert at == tokens <= capacity == min(c for c in packing.CAPACITIES if c >= tokens)
     assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_items_shorter_than_a_window(spark):
+    """Items of one to four template tokens are found word for word and with other values, and only whole."""
+    items = [(1, "What is 2 + 2?"), (2, "Nevertheless"), (3, "one two three four"), (4, "..."), (5, None), (6, "a five token item here")]
+    docs = [
+        (10, "They ask: what is 2 + 2? Nobody knows."), (11, "They ask: what is 7 + 7? Nobody knows."),
+        (12, "They ask: what is 7 + 9? Nobody knows."), (13, "one two three, and four"), (14, "so one two three four"),
+        (15, "nevertheless it goes on"), (16, "2 + 2"), (17, "here is a five token item here again"), (18, "a five token item"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in decontaminate.contaminated(table, asked).collect()}
+    assert found == {(10, 1): (1, 1), (11, 1): (1, 1), (14, 3): (1, 1), (15, 2): (1, 1), (17, 6): (1, 1)}
