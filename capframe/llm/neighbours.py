@@ -1,9 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Trees split the space at the median of random projections; vectors near a split go to both sides.
-Vectors are compared within leaves, in double precision, and true links are united. A pair that
-meets in several leaves counts only in the first of them, which every task can tell from the trees,
-so no pair is ever shuffled.
+Vectors are compared within leaves, in double precision, and true links are united. Every vector
+carries the codes of all its leaves, so a pair that meets in several of them counts only in the first,
+and no pair is ever shuffled.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from capframe.llm.components import components
 LEAST = 0.9
 TREES = 6
 LEAF = 768  # vectors a leaf should hold
-SPILL = 0.5  # of the spread of a projection between vectors at the least cosine
-SAMPLE = 20_000  # vectors the trees are fitted on; all vectors are filed and compared
+SPILL = 0.25  # of the spread of a projection between vectors at the least cosine
+SAMPLE = 64 << 20  # bytes of the vectors the trees are fitted on; all vectors are filed and compared
 SMALLEST = 12  # sample vectors in a node that is split no more
 BLOCK = 8192  # vectors of a leaf compared by one task
+_LEAF_BITS = 24
 
 
 @dataclass
@@ -83,21 +84,29 @@ def fit_tree(sample: np.ndarray, total: int, seed: int, leaf: int, least: float,
     return Tree(directions[:, :deepest], np.array(cut), np.array(child), margin)
 
 
-def unit(vectors: Iterable) -> np.ndarray:
-    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    odd = ~((norm > 1e-150) & (norm < 1e150)).ravel()
+    if odd.any():  # squares of these parts leave the range of doubles
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(x[odd], axis=1, keepdims=True)
+    return x / norm
 
 
-def fit_forest(classes: DataFrame, total: int, trees: int, leaf: int, least: float, spill: float, sample: int, seed: int) -> dict[int, list[Tree]]:
-    """Trees for each vector length, from the vectors of a bounded sample chosen by hash."""
-    rows = classes.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()
-    by_size: dict[int, list] = {}
-    for (vector,) in rows:
-        by_size.setdefault(len(vector), []).append(vector)
-    return {
-        size: [fit_tree(unit(vectors), total * len(vectors) // len(rows), seed + t, leaf, least, spill) for t in range(trees)]
-        for size, vectors in by_size.items()
-    }
+def fit_forest(classes: DataFrame, total: int, trees: int, leaf: int, least: float, spill: float, most_bytes: int, seed: int) -> dict[int, list[Tree]]:
+    """Trees for each vector length, from vectors chosen by hash that take some ``most_bytes`` in double precision."""
+    values = classes.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    share = min(1.0, most_bytes / max(8 * values, 1))
+    chosen = F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = classes.where(chosen).select("embedding").toArrow()["embedding"].combine_chunks()
+    sizes, flat = rows.value_lengths().to_numpy(zero_copy_only=False), rows.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    forest = {}
+    for size in np.unique(sizes):
+        x = unit(flat[starts[sizes == size][:, None] + np.arange(size)])
+        forest[int(size)] = [fit_tree(x, total * len(x) // len(sizes), seed + t, leaf, least, spill) for t in range(trees)]
+    return forest
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,61 +125,69 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _meetings(filed: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[np.ndarray]:
-    """For each tree an array of the leaves of every row, padded with -1."""
-    out = []
-    for rows, leaves in filed:
-        order = np.argsort(rows, kind="stable")
-        rows, leaves = rows[order], leaves[order]
-        counts = np.bincount(rows, minlength=n)
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        table = np.full((n, max(1, counts.max(initial=0))), -1, dtype=np.int64)
-        table[rows, place] = leaves
-        out.append(table)
+def filed_codes(x: np.ndarray, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of all leaves of all trees each row of ``x`` lies in, by row and code; a code has tree and leaf."""
+    rows, codes = [], []
+    for t, tree in enumerate(trees):
+        at, leaves = tree.file(x)
+        rows.append(at)
+        codes.append(leaves + (t << _LEAF_BITS))
+    rows, codes = np.concatenate(rows), np.concatenate(codes).astype(np.int32)
+    order = np.lexsort((codes, rows))
+    return rows[order], codes[order]
+
+
+def _table(codes: list[bytes]) -> np.ndarray:
+    """Ascending codes of every row, padded with -1."""
+    lists = [np.frombuffer(c, np.int32) for c in codes]
+    out = np.full((len(lists), max(map(len, lists), default=0)), -1, dtype=np.int32)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
     return out
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, tables: list[np.ndarray], tree: int, leaf: int) -> np.ndarray:
-    """Whether pairs a, b meet in no leaf before ``leaf`` of ``tree``, trees and leaves in order."""
-    first = np.ones(len(a), dtype=bool)
-    for t in range(tree + 1):
-        x, y = tables[t][a], tables[t][b]
-        for k in range(x.shape[1]):
-            own = x[:, k]
-            shared = (own >= 0) & (y == own[:, None]).any(axis=1)
-            first &= ~(shared & (own < leaf)) if t == tree else ~shared
-    return first
+def _meet_first(a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
+    """Whether the least code that rows of ``a`` and ``b`` share is ``here``."""
+    open_ = np.ones(len(a), dtype=bool)
+    for k in range(a.shape[1]):
+        own = a[:, k]
+        earlier = open_ & (own >= 0) & (own < here)
+        if not earlier.any():
+            break
+        at = np.flatnonzero(earlier)
+        open_[at[(b[at] == own[at, None]).any(axis=1)]] = False
+    return open_
 
 
-def _leaf_links(key: tuple, frame, trees: list[Tree], least: float):
+def _leaf_links(key: tuple, frame, number, least: float):
     """Links that first meet in this leaf (of two blocks of it): rows (id, links, root)."""
     import pandas as pd
 
-    _, tree, leaf, first, second = key
+    size, here, first, second = key
     frame = frame.sort_values("id").reset_index(drop=True)
-    x = unit(frame["embedding"])
+    x = unit(np.frombuffer(b"".join(frame["vector"]), number).reshape(len(frame), size))
     block, ids, sizes = frame["block"].to_numpy(), frame["id"].to_numpy(), frame["members"].to_numpy()
-    found_a, found_b = [], []
-    tables = None
+    # Rows filed alike meet others alike: if pairs are many, they are told by what their rows lie in.
+    kinds, kind = np.unique(frame["codes"].to_numpy(), return_inverse=True)
+    table, known = _table(list(kinds)), None
+    links, root = np.zeros(len(x)), np.arange(len(x))
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    for at in range(0, len(left), 1024):
-        mine = left[at : at + 1024]
+    for at in range(0, len(left), 512):
+        mine = left[at : at + 512]
         i, j = np.nonzero(x[mine] @ x[right].T >= least)
         a, b = mine[i], right[j]
-        keep = a < b if first == second else np.ones(len(a), dtype=bool)
-        a, b = a[keep], b[keep]
-        if len(a):
-            if tables is None:
-                tables = _meetings([t.file(x) for t in trees[: tree + 1]], len(x))
-            for part in range(0, len(a), 200_000):
-                pa, pb = a[part : part + 200_000], b[part : part + 200_000]
-                new = _first_meeting(pa, pb, tables, tree, leaf)
-                found_a.append(pa[new])
-                found_b.append(pb[new])
-    a = np.concatenate(found_a or [np.zeros(0, int)])
-    b = np.concatenate(found_b or [np.zeros(0, int)])
-    links = np.bincount(a, weights=sizes[b], minlength=len(x)) + np.bincount(b, weights=sizes[a], minlength=len(x))
-    root = _roots(len(x), a, b)
+        if first == second:
+            a, b = a[a < b], b[a < b]
+        if known is None and len(a) > 4 * len(kinds) ** 2:
+            known = np.vstack([_meet_first(np.broadcast_to(row, table.shape), table, here) for row in table])
+        for part in range(0, len(a), 500_000):
+            pa, pb = a[part : part + 500_000], b[part : part + 500_000]
+            new = known[kind[pa], kind[pb]] if known is not None else _meet_first(table[kind[pa]], table[kind[pb]], here)
+            pa, pb = pa[new], pb[new]
+            if not len(pa):
+                continue
+            links += np.bincount(pa, weights=sizes[pb], minlength=len(x)) + np.bincount(pb, weights=sizes[pa], minlength=len(x))
+            root = _roots(len(x), np.concatenate([pa, np.arange(len(x))]), np.concatenate([pb, root]))
     out = pd.DataFrame({"id": ids, "links": links.astype("int64"), "root": ids[root]})
     return out[out["links"] > 0]
 
@@ -193,7 +210,9 @@ def near_vectors(
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors are one class with a count, so copies meet no one twice. Only vectors of the same
-    length can link. Null, zero or non-finite vectors and rows with a null vec_id link with nothing.
+    length can link. The sample bounds the trees' depth: they part up to some
+    ``sample`` / (8 * length * ``SMALLEST``) leaves, and a larger one is compared block by block, exactly
+    but at growing cost. Null, zero or non-finite vectors and rows with a null vec_id link with nothing.
     Rows that repeat a vec_id count as vectors of their own, but share their component.
     """
     rows = vectors.select("vec_id", "embedding")
@@ -207,25 +226,28 @@ def near_vectors(
     total = classes.count()
     forest = fit_forest(classes, total, trees, leaf, least, spill, sample, seed)
 
+    number = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
     def filed(frames: Iterable):
         import pandas as pd
 
         for frame in frames:
             for size, part in frame.groupby(frame["embedding"].map(len)):
-                x = unit(part["embedding"])
-                for t, tree in enumerate(forest.get(size, [None])):
-                    at, leaves = tree.file(x) if tree else (np.arange(len(x)), np.zeros(len(x), int))
-                    own = part.iloc[at]
-                    yield pd.DataFrame(
-                        {"size": size, "tree": t, "leaf": leaves, "id": own["id"].to_numpy(), "members": own["members"].to_numpy(), "embedding": own["embedding"].to_numpy()}
-                    )
-
-    kind = classes.schema["embedding"].dataType.simpleString()
-    schema = f"size int, tree int, leaf long, id long, members long, embedding {kind}"
+                x = np.array([*part["embedding"]], dtype=number)
+                trees = forest.get(size)
+                rows, codes = filed_codes(unit(x), trees) if trees else (np.arange(len(x)), np.zeros(len(x), np.int32))
+                ends = np.searchsorted(rows, np.arange(len(x) + 1))
+                own = [codes[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                lines = {"id": part["id"].to_numpy(), "members": part["members"].to_numpy(), "codes": np.array(own, dtype=object), "vector": np.array([v.tobytes() for v in x], dtype=object)}
+                for at in range(0, len(rows), 20_000):
+                    some = rows[at : at + 20_000]
+                    yield pd.DataFrame({"size": size, "code": codes[at : at + 20_000], **{k: v[some] for k, v in lines.items()}})
+
+    schema = "size int, code int, id long, members long, codes binary, vector binary"
     leaves = classes.select(F.col("id").cast("long").alias("id"), "members", "embedding").mapInPandas(filed, schema)
     leaves = materialize(leaves, "leaves")
     # Leaves of more than a block are compared block by block, by a task for each two blocks.
-    cell = ["size", "tree", "leaf"]
+    cell = ["size", "code"]
     large = leaves.groupBy(*cell).count().select(*cell, F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = leaves.join(large, cell).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -236,11 +258,12 @@ def near_vectors(
         "block",
         "id",
         "members",
-        "embedding",
+        "codes",
+        "vector",
     )
 
     def compare(key, frame):
-        return _leaf_links(tuple(int(k) for k in key), frame, forest.get(int(key[0]), [Tree(np.zeros((0, 0)), np.array([np.nan]), np.array([0]), 0.0)]), least)
+        return _leaf_links(tuple(int(k) for k in key), frame, number, least)
 
     found = materialize(
         paired.groupBy(*cell, "first", "second").applyInPandas(compare, "id long, links long, root long"), "leaf-links"

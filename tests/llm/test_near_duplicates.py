@@ -111,6 +111,7 @@ def test_components(spark):
 
 def slow_vectors(rows):
     good = {i: v for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    good = {i: [x / max(map(abs, v)) for x in v] if max(map(abs, v)) > 1e100 or max(map(abs, v)) < 1e-100 else v for i, v in good.items()}
     unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v in good.items()}
     ids = sorted(unit)
     links = [
@@ -145,10 +146,53 @@ def test_vectors_with_small_leaves_and_blocks(spark, monkeypatch):
     assert sum(found.values()) >= 0.9 * sum(want.values())
 
 
+def planted_pairs(n, pairs, seed, d=64):
+    """Random directions, and partners of the first of them at cosines of 0.90 to 0.92."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, side = x[:pairs], rng.normal(size=(pairs, d))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.92, (pairs, 1))
+    return np.vstack([x, c * a + np.sqrt(1 - c * c) * side])
+
+
+def test_recall_of_the_trees_as_they_are():
+    """50,000 vectors and 5,000 links just above the bound, at the default parameters."""
+    x = planted_pairs(50_000, 5000, 1)
+    trees = [neighbours.fit_tree(x, len(x), 11 + t, neighbours.LEAF, 0.9, neighbours.SPILL) for t in range(neighbours.TREES)]
+    rows, codes = neighbours.filed_codes(x, trees)
+    lies_in = {}
+    for row, code in zip(rows.tolist(), codes.tolist()):
+        lies_in.setdefault(row, set()).add(code)
+    met = np.mean([bool(lies_in[p] & lies_in[50_000 + p]) for p in range(5000)])
+    assert met >= 0.99
+    assert np.bincount(codes).max() <= 2 * neighbours.LEAF and len(rows) < 2.2 * neighbours.TREES * len(x)
+
+
+def test_recall_of_the_whole_operator(spark):
+    x = planted_pairs(6000, 1500, 2)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(table, leaf=200).collect()}
+    linked = [p for p in range(1500) if found[6000 + p] == (1, p)]
+    assert len(linked) >= 0.98 * 1500 and all(found[p] == (0, p) for p in range(1500, 6000))
+
+
+def test_many_alike_in_one_leaf(spark):
+    """A crowd that no split parts: every link counted once, whatever number of leaves it shares."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + 0.05 * rng.normal(size=(700, 64))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(table, leaf=50).collect()}
+    assert found == {i: (699, 0) for i in range(700)}
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0])]
-    rows += [(8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0])]
+    rows += [(8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (12, [1e200, 0.0]), (13, [1e-200, 0.0])]
     schema = "vec_id long, embedding array<double>"
     table = spark.createDataFrame(rows, schema)
     clash = table.select("*", F.lit("x").alias("hash"), F.lit(1).alias("n_links"), F.lit(2).alias("leaf"))
