@@ -2,8 +2,9 @@
 
 Suffixes are kept only where a k-word hash is the least of its window (a minimiser), so equal
 passages keep suffixes at equal places. Suffixes whose first k words occur more than once are sorted
-by all tasks together; each is compared with the one before and the match is extended to the left
-and right. What neither neighbour settles is settled by hashes of whole least-length windows.
+by all tasks together; each is compared with its neighbours and the match is extended to the left
+and right. What neighbours leave open is settled by hashes of whole least-length windows. Of texts
+that are alike word for word one goes through this; the others are repeated as a whole.
 """
 
 from __future__ import annotations
@@ -25,34 +26,48 @@ _STEP = np.uint64(0x100000001B3)
 
 
 class WordHashes(dict):
-    """Hash of a word, remembered; emptied when it has grown large."""
+    """32-bit hash of a word, remembered; emptied when it has grown large."""
 
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = value = xxh64_intdigest(word.encode())
+        self[word] = value = xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 32
         return value
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint32, count=len(words))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width`` consecutive entries."""
+    """A hash of every ``width`` consecutive entries: a polynomial in ``_STEP``, from running sums modulo 2^64."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        out = out * _STEP + hashes[k : k + n]
+    up, down = _powers(len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64) * down)])
+    out = (sums[width:] - sums[:n]) * up[width - 1 :]
     out ^= out >> np.uint64(31)
     out *= _MIX
     return out ^ (out >> np.uint64(29))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_STEP`` and of its inverse modulo 2^64, kept for the next text."""
+    if len(_kept[0]) < n:
+        size = max(1024, 1 << (n - 1).bit_length())
+        for i, base in enumerate((int(_STEP), pow(int(_STEP), -1, 1 << 64))):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            _kept[i] = np.cumprod(factors, dtype=np.uint64)
+    return _kept[0][:n], _kept[1][:n]
+
+
+_kept = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
 def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
     """Places of the least seed of every ``window`` consecutive ones, the first of equals."""
     if not len(seeds):
@@ -66,154 +81,190 @@ def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
     return np.unique(least)
 
 
-def _suffixes(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """(doc_id, key) of every kept suffix."""
+def _texts(docs: DataFrame, least: int, seed: int) -> DataFrame:
+    """doc_id, n (words), digest of the words, their hashes, and place and key of every kept suffix.
+
+    Texts of fewer than ``least`` words hold no passage and keep nothing.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterable):
         import pandas as pd
+        from xxhash import xxh128_hexdigest
 
         words = WordHashes()
+        none = np.zeros(0, np.int32)
         for frame in frames:
-            found = []
+            rows = []
             for text in frame["text"]:
-                seeds = rolled(words.of(text), seed)
-                found.append(np.unique(seeds[minimisers(seeds, least - seed + 1)], return_counts=True))
-            sizes = [len(f[0]) for f in found]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].repeat(sizes),
-                    "key": np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64),
-                    "n": np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64),
-                }
-            )
+                own = words.of(text)
+                if len(own) < least:
+                    rows.append((len(own), None, none, none, none.astype(np.int64)))
+                    continue
+                seeds = rolled(own, seed)
+                at = minimisers(seeds, least - seed + 1)
+                rows.append((len(own), xxh128_hexdigest(own.tobytes()), own.view(np.int32), at.astype(np.int32), seeds[at].view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "digest", "words", "at", "keys"])
+            out.insert(0, "doc_id", frame["doc_id"])
+            yield out
 
-    return docs.mapInPandas(batches, f"doc_id {kind}, key long, n long")
+    return docs.mapInPandas(batches, f"doc_id {kind}, n long, digest string, words array<int>, at array<int>, keys array<long>")
 
 
-def _contexts(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """Suffixes with a repeated seed: key, place, word hashes before (nearest first) and from it.
+def _contexts(texts: DataFrame, reach: int, seed: int) -> DataFrame:
+    """Suffixes with a repeated seed: key, place, and ``reach`` word hashes after the seed and before it (nearest first).
 
-    ``docs`` has ``keys``, the repeated seeds of each document. Contexts reach ``least`` words to
-    either side, as far as a match must be followed: beyond, another suffix takes over.
+    ``texts`` has ``wanted``, the repeated keys of each. Every passage of the least length around a
+    seed lies within its words and ``reach`` to either side. ``after`` and ``before`` count the words
+    there are; places beyond the text are filled with 0.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterable):
         import pandas as pd
 
-        words = WordHashes()
+        right = seed + np.arange(reach)
+        left = -1 - np.arange(reach)
         for frame in frames:
-            rows = []
-            for doc_id, text, keys in zip(frame["doc_id"], frame["text"], frame["keys"]):
-                hashes = words.of(text)
-                seeds = rolled(hashes, seed)
-                at = minimisers(seeds, least - seed + 1)
-                wanted = np.isin(seeds[at], np.asarray(keys, dtype=np.int64).view(np.uint64))
-                short = (hashes >> np.uint64(32)).astype(">u4")
-                for p in at[wanted].tolist():
-                    before = short[max(0, p - least) : p][::-1].tobytes()
-                    rows.append((doc_id, p, int(seeds[p].view(np.int64)), short[p : p + least + seed].tobytes(), before))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "pos", "key", "right", "left"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "key", "right", "left"])
-
-    return docs.mapInPandas(batches, f"doc_id {kind}, pos long, key long, right binary, left binary")
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, ">u4", n // 4), np.frombuffer(b, ">u4", n // 4)
-    return int((x != y).argmax())
-
-
-def _compare(sorted_rows: DataFrame, least: int) -> DataFrame:
-    """Neighbours of the sorted suffixes: the span of each that matches the one before or after it.
-
-    ``reach`` is the most words from the suffix on that any other suffix shares: in sorted order a
-    neighbour shares the most. Each task also gives its first and last suffix (``edge``), to be
-    compared over the borders; their reach is taken as unbounded.
-    """
-    kind = sorted_rows.schema["doc_id"].dataType.simpleString()
-
-    def batches(frames: Iterable):
-        import pandas as pd
-
-        columns = ["doc_id", "pos", "key", "right", "left", "start", "end", "reach", "edge"]
-        last, rows = None, []
-        for frame in frames:
-            for row in frame[["doc_id", "pos", "key", "right", "left"]].itertuples(index=False, name=None):
-                now = [*row, 0, 0, 0, False]
-                if last is None:
-                    now[7:] = [least + 1, True]
-                else:
-                    _match(last, now, least)
-                    rows.append(last)
-                last = now
-            yield pd.DataFrame(rows, columns=columns)
-            rows = []
-        if last is not None:
-            last[7:] = [least + 1, True]
-            yield pd.DataFrame([last], columns=columns)
-
-    return sorted_rows.mapInPandas(
-        batches,
-        f"doc_id {kind}, pos long, key long, right binary, left binary, start long, end long, reach long, edge boolean",
+            parts, held = [], 0
+            for doc_id, words, at, keys, wanted in zip(*(frame[c] for c in ("doc_id", "words", "at", "keys", "wanted"))):
+                chosen = np.isin(keys, wanted)
+                pos = np.asarray(at, dtype=np.int64)[chosen]
+                line = np.concatenate([np.zeros(reach, np.int32), words, np.zeros(reach, np.int32)]).astype(">i4")
+                parts.append((doc_id, pos, np.asarray(keys)[chosen], line[(pos + reach)[:, None] + right], line[(pos + reach)[:, None] + left], len(words)))
+                held += len(pos)
+                if held >= 20_000:
+                    yield _context_frame(pd, parts, reach, seed)
+                    parts, held = [], 0
+            if parts:
+                yield _context_frame(pd, parts, reach, seed)
+
+    return texts.mapInPandas(batches, f"doc_id {kind}, pos long, key long, right binary, left binary, after int, before int")
+
+
+def _context_frame(pd, parts: list, reach: int, seed: int):
+    sizes = [len(p[1]) for p in parts]
+    pos = np.concatenate([p[1] for p in parts])
+    n = np.repeat([p[5] for p in parts], sizes)
+    lines = [np.empty(len(pos), dtype=object) for _ in range(2)]
+    for side, out in enumerate(lines):
+        flat = np.concatenate([p[3 + side] for p in parts]).tobytes()
+        out[:] = [flat[i : i + 4 * reach] for i in range(0, 4 * reach * len(pos), 4 * reach)] if reach else b""
+    return pd.DataFrame(
+        {
+            "doc_id": pd.Series([p[0] for p in parts]).repeat(sizes).reset_index(drop=True),
+            "pos": pos,
+            "key": np.concatenate([p[2] for p in parts]),
+            "right": lines[0],
+            "left": lines[1],
+            "after": np.minimum(n - pos - seed, reach).astype(np.int32),
+            "before": np.minimum(pos, reach).astype(np.int32),
+        }
     )
 
 
-def _match(a: list, b: list, least: int) -> None:
-    """Extend the match of two suffixes both ways; where it is long enough, note the longer span."""
-    if a[2] != b[2]:
-        return
-    right, left = _common(a[3], b[3]), _common(a[4], b[4])
-    for x in (a, b):
-        x[7] = max(x[7], right)
-    if left + right >= least:
-        for x in (a, b):
-            if left + right > x[6] - x[5]:
-                x[5], x[6] = x[1] - left, x[1] + right
-
+class Sorted:
+    """Some sorted suffixes with whole groups of equal keys, as arrays."""
+
+    def __init__(self, frame, reach: int, seed: int, least: int):
+        self.frame, self.reach, self.seed, self.least = frame, reach, seed, least
+        self.key, self.pos = frame["key"].to_numpy(), frame["pos"].to_numpy()
+        self.after, self.before = frame["after"].to_numpy().astype(np.int64), frame["before"].to_numpy().astype(np.int64)
+        words = lambda c: np.frombuffer(b"".join(frame[c]), ">u4").reshape(len(frame), reach)
+        self.right, self.left = words("right"), words("left")
+        self.starts = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
+        self.group = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, len(self.key)]))
+
+    def _common(self, words: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Words that each row shares with the next one from the seed on."""
+        if not self.reach:
+            return np.zeros(len(self.key) - 1, np.int64)
+        same = words[1:] == words[:-1]
+        return np.minimum.reduce([np.where(same.all(axis=1), self.reach, same.argmin(axis=1)), there[1:], there[:-1]])
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of the longer match with a neighbour (0, 0: none), and the most words from the suffix on it shares."""
+        n = len(self.key)
+        start, end, far = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        right, left = self._common(self.right, self.after), self._common(self.left, self.before)
+        alike = self.key[1:] == self.key[:-1]
+        long = alike & (left + self.seed + right >= self.least)
+        for own in (slice(1, None), slice(0, n - 1)):  # the neighbour before, the one after
+            far[own] = np.maximum(far[own], np.where(alike, self.seed + right, 0))
+            better = long & (left + self.seed + right > end[own] - start[own])
+            start[own] = np.where(better, self.pos[own] - left, start[own])
+            end[own] = np.where(better, self.pos[own] + self.seed + right, end[own])
+        return start, end, far
+
+    def open_windows(self, start: np.ndarray, end: np.ndarray, far: np.ndarray, edges: list[int]) -> np.ndarray:
+        """Which windows (one per words before the suffix) must be hashed, by row.
+
+        A third suffix may share more to the left than either neighbour. A window is open if its row's
+        span leaves it out though some other suffix agrees up to its end; then all rows of its group
+        show theirs. Groups at the ends of a task (``edges``) may go on elsewhere: all windows are open.
+        """
+        back = np.arange(self.reach + 1)
+        there = (back <= self.before[:, None]) & (self.least - back <= (self.seed + self.after)[:, None])
+        at = self.pos[:, None] - back
+        covered = (at >= start[:, None]) & (at + self.least <= end[:, None])
+        left_out = there & ~covered & (self.least - back <= far[:, None])
+        asked = np.logical_or.reduceat(left_out, self.starts, axis=0)
+        asked[np.diff(np.r_[self.starts, len(self.key)]) <= 2] = False
+        asked[edges] = True
+        return there & asked[self.group]
+
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, hash) of the wanted windows, put together from the words left and right of the seed."""
+        rows = np.flatnonzero(wanted.any(axis=1))
+        out = []
+        for some in (rows[i : i + 20_000] for i in range(0, len(rows), 20_000)):
+            sides = []
+            for words in (self.left[some], self.right[some]):
+                sums = np.zeros((len(some), self.reach + 1), dtype=np.uint64)
+                for k in range(self.reach):
+                    sums[:, k + 1] = (sums[:, k] + words[:, k] + np.uint64(1)) * _STEP
+                sides.append(sums)
+            i, back = np.nonzero(wanted[some])
+            own = self.key[some].view(np.uint64)[i] + back.astype(np.uint64) * _STEP
+            for sums, k in ((sides[0], back), (sides[1], self.reach - back)):
+                own = (own ^ (own >> np.uint64(31))) * _MIX + sums[i, k]
+            out.append((some[i], self.pos[some][i] - back, (own ^ (own >> np.uint64(29))).view(np.int64)))
+        return tuple(np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(3))
+
+
+def _matches(sorted_rows: DataFrame, reach: int, seed: int, least: int) -> DataFrame:
+    """Spans (doc_id, start, end) of matches with neighbours, and hashes of open windows (doc_id, start, window)."""
+    kind = sorted_rows.schema["doc_id"].dataType.simpleString()
 
-def _windows(rows: DataFrame, least: int, seed: int, open_only: bool) -> DataFrame:
-    """(doc_id, start, window): the windows of ``least`` words that hold a suffix's whole seed.
+    def found(frame, edges: list[int]):
+        import pandas as pd
 
-    ``open_only`` leaves out those inside the span already found and those that reach further to
-    the right than any other suffix agrees.
-    """
-    kind = rows.schema["doc_id"].dataType.simpleString()
+        part = Sorted(frame, reach, seed, least)
+        start, end, far = part.spans()
+        rows, at, window = part.windows(part.open_windows(start, end, far, edges))
+        own, ids = np.flatnonzero(end > start), frame["doc_id"]
+        yield pd.DataFrame({"doc_id": ids.iloc[own].to_numpy(), "start": start[own], "end": end[own], "window": None})
+        for some in (slice(i, i + 50_000) for i in range(0, len(rows), 50_000)):
+            yield pd.DataFrame({"doc_id": ids.iloc[rows[some]].to_numpy(), "start": at[some], "end": None, "window": window[some]})
 
     def batches(frames: Iterable):
         import pandas as pd
 
+        pending, first = [], True
         for frame in frames:
-            ids, starts, windows = [], [], []
-            for doc_id, pos, right, left, start, end, reach in frame.itertuples(index=False, name=None):
-                line = np.concatenate([np.frombuffer(left, ">u4")[::-1], np.frombuffer(right, ">u4")]).astype(np.uint64)
-                begin = len(left) // 4
-                lo, hi = max(0, begin + seed - least), begin + 1
-                hashes = rolled(line, least)[lo:hi]
-                at = pos - begin + lo + np.arange(len(hashes))
-                if open_only:
-                    wanted = ((at < start) | (at + least > end)) & (at + least - pos <= reach)
-                    at, hashes = at[wanted], hashes[wanted]
-                ids += [doc_id] * len(at)
-                starts.append(at)
-                windows.append(hashes)
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids,
-                    "start": np.concatenate(starts or [np.zeros(0, np.int64)]).astype(np.int64),
-                    "window": np.concatenate(windows or [np.zeros(0, np.uint64)]).view(np.int64),
-                }
-            )
-
-    columns = rows.select("doc_id", "pos", "right", "left", "start", "end", "reach")
-    return columns.mapInPandas(batches, f"doc_id {kind}, start long, window long")
+            pending.append(frame)
+            key = frame["key"].to_numpy()
+            if not len(key) or pending[0]["key"].iloc[0] == key[-1]:
+                continue  # one group so far
+            held = pd.concat(pending, ignore_index=True)
+            cut = int(np.flatnonzero(held["key"].to_numpy() != key[-1])[-1]) + 1
+            yield from found(held.iloc[:cut].reset_index(drop=True), [0] if first else [])
+            pending, first = [held.iloc[cut:].reset_index(drop=True)], False
+        held = pd.concat(pending, ignore_index=True) if pending else []
+        if len(held):
+            yield from found(held, [0])
+
+    return sorted_rows.mapInPandas(batches, f"doc_id {kind}, start long, end long, window long")
 
 
 def repeated(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -224,33 +275,30 @@ def repeated(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
     texts shorter than ``least`` words have none; rows with null doc_ids are left out; rows that
     repeat a doc_id count as one more text each, and their spans are listed together.
     """
+    reach = least - seed
     own = docs.where("doc_id is not null").select("doc_id", "text")
-    places = materialize(_suffixes(own, least, seed), "suffixes")
-    keys = places.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
-    wanted = places.join(keys.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    texts = materialize(_texts(own, least, seed), "texts")
+    alike = texts.where("digest is not null").groupBy("digest").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"))
+    copies = texts.select("doc_id", "n", "digest").join(alike.where("rows > 1").hint("merge"), "digest")
+    copies = materialize(copies.select("doc_id", "n", "digest", "first"), "copies")
+    places = texts.select("doc_id", "digest", F.explode("keys").alias("key"))
+    others = copies.where("doc_id <> first").select("doc_id", "digest").distinct()
+    places = places.join(others.hint("merge"), ["doc_id", "digest"], "left_anti").select("doc_id", "key")
+    places = materialize(places, "places")
+    keys = places.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    wanted = places.join(keys.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
     order = ["key", "right", "left", "doc_id", "pos"]
-    contexts = _contexts(own.join(wanted, "doc_id"), least, seed)
-    ranged = materialize(contexts, "contexts").repartitionByRange(*order).sortWithinPartitions(*order)
-    compared = materialize(_compare(ranged, least), "compared")
-    borders = _over_borders(compared, least)
-    done = compared.where("end > start").select("doc_id", "start", "end").unionByName(borders)
-    # A third suffix may share more to the left than either neighbour: windows find it. Of two
-    # suffixes each is the other's neighbour, so only larger groups are asked.
-    shared = compared.groupBy("key").agg(F.count("*").alias("members")).where("members > 2").select("key")
-    grouped = materialize(compared.join(shared.hint("merge"), "key", "left_semi"), "grouped")
-    rest = materialize(_windows(grouped, least, seed, True).distinct(), "open-windows")
+    contexts = _contexts(texts.select("doc_id", "words", "at", "keys").join(wanted, "doc_id"), reach, seed)
+    ranged = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+    matches = materialize(_matches(ranged, reach, seed, least), "matches")
+    windows = matches.where("window is not null").select("doc_id", "start", "window")
     place = F.struct("doc_id", "start")
-    places = _windows(grouped, least, seed, False).groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    rest = rest.join(places.where("a != b").select("window").hint("merge"), "window", "left_semi")
-    spans = done.unionByName(rest.select("doc_id", "start", (F.col("start") + least).alias("end")))
-    return _merged(spans)
-
-
-def _over_borders(compared: DataFrame, least: int) -> DataFrame:
-    """Matches between the last suffix of a task and the first of the next: two rows a task."""
-    order = ["key", "right", "left", "doc_id", "pos"]
-    edges = compared.where("edge").select(*order).coalesce(1).sortWithinPartitions(*order)
-    return _compare(edges, least).where("end > start").select("doc_id", "start", "end")
+    twice = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window")
+    rest = windows.join(twice.hint("merge"), "window", "left_semi")
+    spans = matches.where("window is null").select("doc_id", "start", "end")
+    spans = spans.unionByName(rest.select("doc_id", "start", (F.col("start") + least).alias("end")))
+    whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    return _merged(spans.unionByName(whole))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
