@@ -31,7 +31,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 32
         return value
@@ -82,7 +82,7 @@ def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, least: int, seed: int) -> DataFrame:
-    """doc_id, n (words), digest of the words, their hashes, and place and key of every kept suffix.
+    """doc_id, n (words), digest of the words, and the keys of the kept suffixes.
 
     Texts of fewer than ``least`` words hold no passage and keep nothing.
     """
@@ -93,45 +93,48 @@ def _texts(docs: DataFrame, least: int, seed: int) -> DataFrame:
         from xxhash import xxh128_hexdigest
 
         words = WordHashes()
-        none = np.zeros(0, np.int32)
+        none = np.zeros(0, np.int64)
         for frame in frames:
             rows = []
             for text in frame["text"]:
                 own = words.of(text)
                 if len(own) < least:
-                    rows.append((len(own), None, none, none, none.astype(np.int64)))
+                    rows.append((len(own), None, none))
                     continue
                 seeds = rolled(own, seed)
-                at = minimisers(seeds, least - seed + 1)
-                rows.append((len(own), xxh128_hexdigest(own.tobytes()), own.view(np.int32), at.astype(np.int32), seeds[at].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "digest", "words", "at", "keys"])
+                keys = seeds[minimisers(seeds, least - seed + 1)]
+                rows.append((len(own), xxh128_hexdigest(own.tobytes()), keys.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "digest", "keys"])
             out.insert(0, "doc_id", frame["doc_id"])
             yield out
 
-    return docs.mapInPandas(batches, f"doc_id {kind}, n long, digest string, words array<int>, at array<int>, keys array<long>")
+    return docs.mapInPandas(batches, f"doc_id {kind}, n long, digest string, keys array<long>")
 
 
-def _contexts(texts: DataFrame, reach: int, seed: int) -> DataFrame:
+def _contexts(docs: DataFrame, reach: int, seed: int) -> DataFrame:
     """Suffixes with a repeated seed: key, place, and ``reach`` word hashes after the seed and before it (nearest first).
 
-    ``texts`` has ``wanted``, the repeated keys of each. Every passage of the least length around a
+    ``docs`` has ``wanted``, the repeated keys of each text. Every passage of the least length around a
     seed lies within its words and ``reach`` to either side. ``after`` and ``before`` count the words
     there are; places beyond the text are filled with 0.
     """
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(frames: Iterable):
         import pandas as pd
 
+        hashes = WordHashes()
         right = seed + np.arange(reach)
         left = -1 - np.arange(reach)
         for frame in frames:
             parts, held = [], 0
-            for doc_id, words, at, keys, wanted in zip(*(frame[c] for c in ("doc_id", "words", "at", "keys", "wanted"))):
-                chosen = np.isin(keys, wanted)
-                pos = np.asarray(at, dtype=np.int64)[chosen]
-                line = np.concatenate([np.zeros(reach, np.int32), words, np.zeros(reach, np.int32)]).astype(">i4")
-                parts.append((doc_id, pos, np.asarray(keys)[chosen], line[(pos + reach)[:, None] + right], line[(pos + reach)[:, None] + left], len(words)))
+            for doc_id, text, wanted in zip(frame["doc_id"], frame["text"], frame["wanted"]):
+                words = hashes.of(text)
+                seeds = rolled(words, seed).view(np.int64)
+                pos = minimisers(seeds.view(np.uint64), reach + 1)
+                pos = pos[np.isin(seeds[pos], wanted)]
+                line = np.concatenate([np.zeros(reach, np.uint32), words, np.zeros(reach, np.uint32)]).astype(">u4")
+                parts.append((doc_id, pos, seeds[pos], line[(pos + reach)[:, None] + right], line[(pos + reach)[:, None] + left], len(words)))
                 held += len(pos)
                 if held >= 20_000:
                     yield _context_frame(pd, parts, reach, seed)
@@ -139,7 +142,7 @@ def _contexts(texts: DataFrame, reach: int, seed: int) -> DataFrame:
             if parts:
                 yield _context_frame(pd, parts, reach, seed)
 
-    return texts.mapInPandas(batches, f"doc_id {kind}, pos long, key long, right binary, left binary, after int, before int")
+    return docs.mapInPandas(batches, f"doc_id {kind}, pos long, key long, right binary, left binary, after int, before int")
 
 
 def _context_frame(pd, parts: list, reach: int, seed: int):
@@ -173,45 +176,60 @@ class Sorted:
         words = lambda c: np.frombuffer(b"".join(frame[c]), ">u4").reshape(len(frame), reach)
         self.right, self.left = words("right"), words("left")
         self.starts = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
+        self.in_order = np.arange(len(self.key))
+        self.by_left = np.lexsort((np.unique(frame["left"].to_numpy(), return_inverse=True)[1], self.key))
         self.group = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, len(self.key)]))
 
     def _common(self, words: np.ndarray, there: np.ndarray) -> np.ndarray:
         """Words that each row shares with the next one from the seed on."""
         if not self.reach:
-            return np.zeros(len(self.key) - 1, np.int64)
+            return np.zeros(len(words) - 1, np.int64)
         same = words[1:] == words[:-1]
         return np.minimum.reduce([np.where(same.all(axis=1), self.reach, same.argmin(axis=1)), there[1:], there[:-1]])
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of the longer match with a neighbour (0, 0: none), and the most words from the suffix on it shares."""
+    def spans(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours in ``order``: start and end of each row's longer match (0, 0: none), most words shared right and left.
+
+        In order of the words after the seed some neighbour shares the most of those, in order of the
+        words before it the most of those.
+        """
         n = len(self.key)
-        start, end, far = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        right, left = self._common(self.right, self.after), self._common(self.left, self.before)
-        alike = self.key[1:] == self.key[:-1]
+        pos, key = self.pos[order], self.key[order]
+        start, end, right_far, left_far = np.zeros((4, n), np.int64)
+        right, left = self._common(self.right[order], self.after[order]), self._common(self.left[order], self.before[order])
+        alike = key[1:] == key[:-1]
         long = alike & (left + self.seed + right >= self.least)
         for own in (slice(1, None), slice(0, n - 1)):  # the neighbour before, the one after
-            far[own] = np.maximum(far[own], np.where(alike, self.seed + right, 0))
+            right_far[own] = np.maximum(right_far[own], np.where(alike, self.seed + right, 0))
+            left_far[own] = np.maximum(left_far[own], np.where(alike, left, 0))
             better = long & (left + self.seed + right > end[own] - start[own])
-            start[own] = np.where(better, self.pos[own] - left, start[own])
-            end[own] = np.where(better, self.pos[own] + self.seed + right, end[own])
-        return start, end, far
-
-    def open_windows(self, start: np.ndarray, end: np.ndarray, far: np.ndarray, edges: list[int]) -> np.ndarray:
-        """Which windows (one per words before the suffix) must be hashed, by row.
-
-        A third suffix may share more to the left than either neighbour. A window is open if its row's
-        span leaves it out though some other suffix agrees up to its end; then all rows of its group
-        show theirs. Groups at the ends of a task (``edges``) may go on elsewhere: all windows are open.
+            start[own] = np.where(better, pos[own] - left, start[own])
+            end[own] = np.where(better, pos[own] + self.seed + right, end[own])
+        back = np.argsort(order)
+        return start[back], end[back], right_far[back], left_far[back]
+
+    def matches(self, edges: list[int]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Spans of neighbours in either order, and which windows (one per words before the suffix) must be hashed.
+
+        A third suffix may share a window with a row of which neither its neighbours by the right nor
+        those by the left share all. A window is open if the row's spans leave it out though some other
+        suffix agrees up to its end, and one up to its start; then all rows of its group of which that
+        holds show theirs. Groups at the ends of a task (``edges``) may go on elsewhere: they show all.
         """
+        *by_right, far, _ = self.spans(self.in_order)
+        *by_left, _, far_left = self.spans(self.by_left)
         back = np.arange(self.reach + 1)
         there = (back <= self.before[:, None]) & (self.least - back <= (self.seed + self.after)[:, None])
-        at = self.pos[:, None] - back
-        covered = (at >= start[:, None]) & (at + self.least <= end[:, None])
-        left_out = there & ~covered & (self.least - back <= far[:, None])
+        near = there & (self.least - back <= far[:, None]) & (back <= far_left[:, None])
+        left_out, at = near.copy(), self.pos[:, None] - back
+        for start, end in (by_right, by_left):
+            left_out &= ~((at >= start[:, None]) & (at + self.least <= end[:, None]))
         asked = np.logical_or.reduceat(left_out, self.starts, axis=0)
         asked[np.diff(np.r_[self.starts, len(self.key)]) <= 2] = False
-        asked[edges] = True
-        return there & asked[self.group]
+        shown = near & asked[self.group]
+        at_edge = np.isin(self.group, edges)
+        shown[at_edge] = there[at_edge]
+        return [tuple(by_right), tuple(by_left)], shown
 
     def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, hash) of the wanted windows, put together from the words left and right of the seed."""
@@ -239,11 +257,12 @@ def _matches(sorted_rows: DataFrame, reach: int, seed: int, least: int) -> DataF
     def found(frame, edges: list[int]):
         import pandas as pd
 
-        part = Sorted(frame, reach, seed, least)
-        start, end, far = part.spans()
-        rows, at, window = part.windows(part.open_windows(start, end, far, edges))
-        own, ids = np.flatnonzero(end > start), frame["doc_id"]
-        yield pd.DataFrame({"doc_id": ids.iloc[own].to_numpy(), "start": start[own], "end": end[own], "window": None})
+        part, ids = Sorted(frame, reach, seed, least), frame["doc_id"]
+        spans, shown = part.matches(edges)
+        rows, at, window = part.windows(shown)
+        for start, end in spans:
+            own = np.flatnonzero(end > start)
+            yield pd.DataFrame({"doc_id": ids.iloc[own].to_numpy(), "start": start[own], "end": end[own], "window": None})
         for some in (slice(i, i + 50_000) for i in range(0, len(rows), 50_000)):
             yield pd.DataFrame({"doc_id": ids.iloc[rows[some]].to_numpy(), "start": at[some], "end": None, "window": window[some]})
 
@@ -288,7 +307,7 @@ def repeated(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
     keys = places.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     wanted = places.join(keys.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
     order = ["key", "right", "left", "doc_id", "pos"]
-    contexts = _contexts(texts.select("doc_id", "words", "at", "keys").join(wanted, "doc_id"), reach, seed)
+    contexts = _contexts(own.join(wanted, "doc_id"), reach, seed)
     ranged = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
     matches = materialize(_matches(ranged, reach, seed, least), "matches")
     windows = matches.where("window is not null").select("doc_id", "start", "window")
