@@ -208,28 +208,34 @@ class Sorted:
         back = np.argsort(order)
         return start[back], end[back], right_far[back], left_far[back]
 
-    def matches(self, edges: list[int]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Spans of neighbours in either order, and which windows (one per words before the suffix) must be hashed.
+    def matches(self, edges: list[int]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """Spans of neighbours in either order; which windows (one per words before the suffix) must be hashed, and
+        which of all windows those spans leave out.
 
         A third suffix may share a window with a row of which neither its neighbours by the right nor
         those by the left share all. A window is open if the row's spans leave it out though some other
         suffix agrees up to its end, and one up to its start; then all rows of its group of which that
-        holds show theirs. Groups at the ends of a task (``edges``) may go on elsewhere: they show all.
+        holds show theirs. Groups at the ends of a task (``edges``) may go on elsewhere: they show all, of
+        rows alike in all their words one.
         """
         *by_right, far, _ = self.spans(self.in_order)
         *by_left, _, far_left = self.spans(self.by_left)
         back = np.arange(self.reach + 1)
         there = (back <= self.before[:, None]) & (self.least - back <= (self.seed + self.after)[:, None])
         near = there & (self.least - back <= far[:, None]) & (back <= far_left[:, None])
-        left_out, at = near.copy(), self.pos[:, None] - back
+        left_out, at = there.copy(), self.pos[:, None] - back
         for start, end in (by_right, by_left):
             left_out &= ~((at >= start[:, None]) & (at + self.least <= end[:, None]))
-        asked = np.logical_or.reduceat(left_out, self.starts, axis=0)
+        asked = np.logical_or.reduceat(near & left_out, self.starts, axis=0)
         asked[np.diff(np.r_[self.starts, len(self.key)]) <= 2] = False
         shown = near & asked[self.group]
         at_edge = np.isin(self.group, edges)
-        shown[at_edge] = there[at_edge]
-        return [tuple(by_right), tuple(by_left)], shown
+        again = np.zeros(len(self.key), dtype=bool)
+        again[1:] = (self.key[1:] == self.key[:-1]) & (self.after[1:] == self.after[:-1]) & (self.before[1:] == self.before[:-1])
+        again[1:] &= (self.right[1:] == self.right[:-1]).all(axis=1) & (self.left[1:] == self.left[:-1]).all(axis=1)
+        whole = (self.after == self.reach) & (self.before == self.reach)  # such rows cover each other's windows
+        shown[at_edge] = there[at_edge] & ~(again & whole)[at_edge, None]
+        return [tuple(by_right), tuple(by_left)], shown, left_out
 
     def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, hash) of the wanted windows, put together from the words left and right of the seed."""
@@ -251,18 +257,28 @@ class Sorted:
 
 
 def _matches(sorted_rows: DataFrame, reach: int, seed: int, least: int) -> DataFrame:
-    """Spans (doc_id, start, end) of matches with neighbours, and hashes of open windows (doc_id, start, window)."""
+    """Spans (doc_id, start, end) of matches, and hashes (doc_id, start, window) of windows that may stand elsewhere too.
+
+    Equal windows have equal keys. So what a task holds of a group settles its windows there and then,
+    and only groups at a task's ends give hashes, one place for each.
+    """
     kind = sorted_rows.schema["doc_id"].dataType.simpleString()
 
     def found(frame, edges: list[int]):
         import pandas as pd
 
         part, ids = Sorted(frame, reach, seed, least), frame["doc_id"]
-        spans, shown = part.matches(edges)
+        spans, shown, left_out = part.matches(edges)
         rows, at, window = part.windows(shown)
-        for start, end in spans:
+        _, first, kind_of, count = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
+        twice = (count[kind_of] > 1) & left_out[rows, part.pos[rows] - at]
+        spans.append((at[twice], at[twice] + least, rows[twice]))
+        once = np.sort(first[np.isin(part.group[rows[first]], edges)])
+        rows, at, window = rows[once], at[once], window[once]
+        for start, end, *which in spans:
             own = np.flatnonzero(end > start)
-            yield pd.DataFrame({"doc_id": ids.iloc[own].to_numpy(), "start": start[own], "end": end[own], "window": None})
+            of = which[0][own] if which else own
+            yield pd.DataFrame({"doc_id": ids.iloc[of].to_numpy(), "start": start[own], "end": end[own], "window": None})
         for some in (slice(i, i + 50_000) for i in range(0, len(rows), 50_000)):
             yield pd.DataFrame({"doc_id": ids.iloc[rows[some]].to_numpy(), "start": at[some], "end": None, "window": window[some]})
 
@@ -281,7 +297,7 @@ def _matches(sorted_rows: DataFrame, reach: int, seed: int, least: int) -> DataF
             pending, first = [held.iloc[cut:].reset_index(drop=True)], False
         held = pd.concat(pending, ignore_index=True) if pending else []
         if len(held):
-            yield from found(held, [0])
+            yield from found(held, [0])  # the last group, and the first if there is no other
 
     return sorted_rows.mapInPandas(batches, f"doc_id {kind}, start long, end long, window long")
 
