@@ -1,8 +1,9 @@
 """Token totals kept up to date by signed deltas, with idempotent batch commits.
 
 A rollup is a folder: ``totals/<n>-<random>`` holds the totals after commit n, ``commits/<n>.json``
-names the batch and its totals. A commit is one exclusive file creation, so of two writers of the
-same number one fails and nothing half-written is ever read. Totals are additive: a batch costs one
+names the batch and its totals. A commit is a whole file moved into place by a rename that never
+overwrites, so of two writers of the same number one fails, and a writer that dies at any point leaves
+nothing that is read or in the way. Totals are additive: a batch costs one
 aggregation of its own rows and a merge with the old totals, never a second look at old documents.
 """
 
@@ -14,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capframe.session import move_once
+
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -84,7 +87,7 @@ class TokenRollup:
         """Add a batch of changes once; False, and no work, if ``batch_id`` was committed before.
 
         A job that dies before its commit leaves only unread files and can run again. A writer that
-        loses a race gets an error from the exclusive creation and can run again too.
+        loses a race gets an error and can run again too.
         """
         log = self._log()
         if any(c["batch_id"] == batch_id for c in log):
@@ -94,7 +97,12 @@ class TokenRollup:
         merged = self.totals().unionByName(deltas(rows)).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         merged.where("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/totals/{name}")
         line = json.dumps({"number": number, "batch_id": batch_id, "totals": name})
-        stream = self._system.create(self._file(f"{number:06d}.json"), False)
+        self._write(aside := f"_writing-{uuid.uuid4().hex}", line)
+        if not move_once(self.spark, f"{self.path}/commits/{aside}", f"{self.path}/commits/{number:06d}.json"):
+            raise FileExistsError(f"commit {number} of {self.path} was made by another writer")
+        return True
+
+    def _write(self, name: str, line: str) -> None:
+        stream = self._system.create(self._file(name), False)
         stream.write(bytearray(line.encode()))
         stream.close()
-        return True

@@ -141,3 +141,25 @@ def test_token_counts(spark):
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     got = table.select(rollup.words(F.col("text")), rollup.word_pieces(F.col("text"))).collect()
     assert [tuple(r) for r in got] == [(2, 2), (0, 0), (0, 0), (2, 2), (2, 5), (2, 6)]
+
+
+@pytest.mark.parametrize("written", ["", '{"number": 2, "ba'])
+def test_rollup_goes_on_after_a_writer_died(spark, tmp_path, monkeypatch, written):
+    """A commit that was created and not written, or half written, is neither read nor in the way."""
+    totals = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 3, 0)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    assert totals.apply("x", rows)
+    real = totals._write
+
+    def dies(name, line):
+        real(name, written)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(totals, "_write", dies)
+    with pytest.raises(KeyboardInterrupt):
+        totals.apply("y", rows)
+    monkeypatch.undo()
+    again = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 1, 3)]
+    assert again.apply("y", rows) and not again.apply("y", rows)
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 2, 6)]
