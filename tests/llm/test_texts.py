@@ -209,19 +209,29 @@ def test_decontamination_is_native(spark, sf):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
-def slow_best_fit(sizes, capacities, overhead):
-    bins, left = [], sum(sizes)
-    for size in sizes:
+def plain_cost(c, overhead, attention):
+    return overhead + c + c * c / attention
+
+
+def slow_packing(sizes, capacities, overhead, attention, floor):
+    """One packing by definition; without a floor each bin opens at the capacity of least expected cost per token."""
+    bins = []
+    for i, size in enumerate(sizes):
         fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size]
         if fits:
             k = min(fits)[1]
         else:
-            cost = {c: (c + overhead) / min(c, left) for c in capacities if c >= size}
+            cost = {}
+            for c in (c for c in capacities if c >= size):
+                held = size
+                for later in sizes[i + 1 :]:
+                    held += later if held + later <= c else 0
+                cost[c] = plain_cost(min(x for x in capacities if x >= held), overhead, attention) / held
+            choice = min(cost, key=lambda c: (cost[c], c)) if floor is None else min(c for c in cost if c >= floor)
             k = len(bins)
-            bins.append({"room": min(cost, key=lambda c: (cost[c], c)), "held": []})
+            bins.append({"room": choice, "held": []})
         bins[k]["held"].append(size)
         bins[k]["room"] -= size
-        left -= size
     return sorted((min(c for c in capacities if c >= sum(b["held"])), sorted(b["held"])) for b in bins)
 
 
@@ -229,14 +239,47 @@ def test_best_fit_by_definition():
     import random
 
     rng = random.Random(4)
-    for _ in range(60):
+    for trial in range(80):
         sizes = sorted((rng.randint(1, 64) for _ in range(rng.randint(0, 60))), reverse=True)
-        placed, ends = packing.best_fit(sizes, (8, 16, 64), 4)
+        overhead, attention = rng.choice([(4, 64), (0, 16), (30, 10_000)])
+        placed, ends = packing.best_fit(sizes, (8, 16, 64), overhead, attention)
         held = [[] for _ in ends]
         for size, (k, at) in zip(sizes, placed):
             assert at == sum(held[k])
             held[k].append(size)
-        assert sorted((c, sorted(h)) for c, h in zip(ends, held)) == slow_best_fit(sizes, (8, 16, 64), 4)
+        ways = [slow_packing(sizes, (8, 16, 64), overhead, attention, f) for f in (None, 8, 16, 64)]
+        total = lambda way: sum(plain_cost(c, overhead, attention) for c, _ in way)
+        assert sorted((c, sorted(h)) for c, h in zip(ends, held)) == min(ways, key=total)
+
+
+def test_sizes_are_chosen_jointly():
+    """On varied lengths several sizes open, and the cost is below every single opening size."""
+    import random
+
+    rng = random.Random(7)
+    sizes = sorted((min(4096, max(1, int(rng.lognormvariate(5.5, 1.1)))) for _ in range(5_000)), reverse=True)
+    total = lambda ends: sum(map(packing.sequence_cost, ends))
+    _, ends = packing.best_fit(sizes)
+    single = {
+        c: total(packing.fill_bins(sizes, packing.CAPACITIES, lambda i, c=c: packing.smallest(max(sizes[i], c), packing.CAPACITIES))[1])
+        for c in packing.CAPACITIES
+    }
+    assert len(set(ends)) >= 3
+    assert total(ends) <= min(single.values()) and total(ends) < 0.95 * single[4096]
+
+
+def test_repeated_and_missing_ids_spread(spark):
+    """Rows without an id, and rows that repeat one, are dealt over all shards, copies by partition; ids stay exact."""
+    rows = [(None, f"word {i} " * (i % 40)) for i in range(1_500)]
+    rows += [(2**60 + 1, f"other {i} " * (1 + i % 9)) for i in range(1_500)] + [(9, "same text here")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    packed = packing.pack(docs, shard_tokens=5_000).collect()
+    shards = lambda rows: {r.bin_id.split("-")[0] for r in rows if r.bin_id}
+    every = shards(packed)
+    assert len(every) > 8 and len(packed) == len(rows)
+    assert shards(r for r in packed if r.doc_id is None) == every
+    assert shards(r for r in packed if r.doc_id == 2**60 + 1) == every
+    assert len(shards(r for r in packed if r.doc_id == 9)) > 1
 
 
 def test_packing_places_every_token_once(spark, sf):
