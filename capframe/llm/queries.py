@@ -81,7 +81,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(read(spark, sf_dir, "documents"))
+    """Passages of 50 words or more found elsewhere; spans as start:end, joined by commas."""
+    found = passages.repeated(read(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", F.array_join(spans, ",").alias("spans"), "dup_words")
 
 
 def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +122,35 @@ QUERIES = {
 
 SQL: dict[str, str] = {}
 
+SQL["op4_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9),
+reached AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM reached LEFT JOIN degrees USING (vec_id) GROUP BY vec_id"""
+
+SQL["op10_passages"] = r"""
+WITH listed AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D\x1C-\x1F\x{85}\pZ]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS start FROM listed),
+windows AS (SELECT doc_id, start, array_to_string(w[start + 1:start + 50], ' ') AS words FROM places),
+twice AS (SELECT DISTINCT doc_id, start FROM (SELECT doc_id, start, count(*) OVER (PARTITION BY words) AS n FROM windows) WHERE n > 1),
+marked AS (
+  SELECT *, CASE WHEN start <= 50 + lag(start) OVER (PARTITION BY doc_id ORDER BY start) THEN 0 ELSE 1 END AS new FROM twice),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM marked),
+islands AS (SELECT doc_id, min(start) AS a, max(start) + 50 AS b FROM grouped GROUP BY doc_id, island)
+SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a) AS BIGINT) AS dup_words
+FROM islands GROUP BY doc_id"""
+
 SQL["op7_token_rollup"] = r"""
 WITH counted AS (
   SELECT source, lang,
