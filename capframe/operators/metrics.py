@@ -53,23 +53,25 @@ def class_counts(
     count as misses, and a listed class without rows stays with zeros. Rows without a label
     are not scored.
     """
-    scored = df.where(F.col(label).isNotNull())
+    scored = F.col(label).isNotNull()
     zero = F.lit(0).cast("long")
     listed = []
-    if classes != OBSERVED:
+    if classes == OBSERVED:
+        rows = df.where(scored)
+    else:
         # Free text outside the list becomes null first, so the counted table stays classes x classes.
-        for c in (label, pred):
-            scored = scored.withColumn(c, F.when(F.col(c).isin(*classes), F.col(c)))
+        # A row without a label has neither class there, but still shows that its group exists.
+        known = {c: F.col(c).isin(*classes) for c in (label, pred)}
+        rows = df.withColumns({c: F.when(scored & known[c], F.col(c)) for c in (label, pred)})
         listed = [_entry(F.lit(c), zero, zero, zero) for c in classes]
-    pairs = confusion(scored, label, pred, by)
+    pairs = confusion(rows, label, pred, by)
     n = F.col("n")
     hit = F.when(F.col("label") == F.col("pred"), n).otherwise(zero)
     sides = [_entry(F.col("label"), hit, zero, n), _entry(F.col("pred"), zero, n, zero)]
     entries = pairs.select(*by, F.explode(F.array(*sides, *listed)).alias("e"))
-    if listed:
-        # Listed classes stay even when nothing was scored, in every group of the unfiltered rows.
-        groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
-        entries = entries.unionByName(groups.select(*by, F.explode(F.array(*listed)).alias("e")))
+    if listed and not by:
+        # Listed classes stay even when there are no rows at all.
+        entries = entries.unionByName(df.sparkSession.range(1).select(F.explode(F.array(*listed)).alias("e")))
     return (
         entries.select(*by, "e.*")
         .where(F.col("class").isNotNull())

@@ -50,6 +50,31 @@ def global_row_number(df: DataFrame, *order: str, out: str = "rn") -> DataFrame:
     )
 
 
+def running_total(df: DataFrame, value: str, *order: str, out: str = "before") -> DataFrame:
+    """Sum of ``value`` over the rows before, in the total order of ``order``, which should be unique.
+
+    As for row numbers: ranges are summed on their own and moved up by the ranges before.
+    """
+    ranged = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_seq", F.monotonically_increasing_id())
+    )
+    table = materialize(ranged, "ranged").withColumn("_part", F.shiftright("_seq", _PART_BITS))
+    offsets = (
+        table.groupBy("_part")
+        .agg(F.sum(value).alias("_sum"))
+        .select("_part", _running_before("_sum", "_part").alias("_moved"))
+    )
+    inside = W.partitionBy("_part").orderBy("_seq").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        table.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_moved") + F.col(out))
+        .drop("_part", "_seq", "_moved")
+    )
+
+
 def seeded_hash(key: Sequence[str], seed: int | str = SEED) -> Column:
     """Hex digest of seed and key, the sort key of every seeded order."""
     return digest(seed, *[F.col(k) for k in key])

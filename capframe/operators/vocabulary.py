@@ -74,7 +74,8 @@ def _encode_head_and_tail(
 
     Words with at least one in ``broadcast_rows`` of all kept occurrences are frequent: there are
     at most ``broadcast_rows`` of them, and they are most of any text. No other word is hot in the
-    rows the vocabulary was counted on.
+    rows the vocabulary was counted on; in other rows one may be, so hot words are counted there and
+    answered apart.
     """
     frequent = F.col("freq") >= share(vocab.occurrences, broadcast_rows)
     probed = encode_by_place(df, tokens, vocab.table.where(frequent), max_len, "_ids", unknown=None)
@@ -83,7 +84,8 @@ def _encode_head_and_tail(
     placed = F.transform(tokens, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     open_places = F.filter(placed, lambda p: F.get("_ids", p["pos"]).isNull())
     missing = partial.select(key, F.explode_outer(open_places).alias("p")).select(key, "p.*")
-    found = missing.join(vocab.table.where(~frequent).select("word", "id"), "word", "left")
+    missing = materialize(missing, "left_over")
+    found = lookup(missing, vocab.table.where(~frequent).select("word", "id"), "word", [key, "pos"], broadcast_rows)
     entry = F.struct("pos", F.coalesce("id", F.lit(UNK_ID)))
     fills = found.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("_fill"))
     filled = F.transform("_ids", lambda x, i: F.coalesce(x, F.try_element_at("_fill", i)))

@@ -19,7 +19,7 @@ from capframe.operators.ranking import with_split
 from capframe.plans.baselines import GRID, MODALITIES, run_matrix, with_image_vector
 from capframe.plans.inference import CONFIGS, Factory, classify, complete_captions
 from capframe.plans.prepare import prepare
-from capframe.session import materialize
+from capframe.session import materialize, run_scratch
 from capframe.sources.images import keep_valid, read_images
 from capframe.sources.photos import with_source_order, write_table
 from capframe.sources.reports import write_metrics
@@ -52,14 +52,15 @@ def supervised(
     ``photo_id, image_vector``. A photo without a vector counts as broken.
     """
     named = None
-    for name, photos in variants.items():
-        ready = prepare(with_source_order(photos), image_vectors)
-        table = pair_modalities(ready.table, image_vectors, "photo_id")
-        scores = run_matrix({name: table}, modalities, grid, store=store).withColumn("label_id", F.col("class").cast("int"))
-        # Ids are given per variant, so each variant's scores take their names from its own labels.
-        own = with_label_name(scores.drop("class"), ready.labels, "label_id", "class").drop("label_id")
-        named = own if named is None else named.unionByName(own)
-    named = materialize(named, "scores")
+    with run_scratch(image_vectors.sparkSession):
+        for name, photos in variants.items():
+            ready = prepare(with_source_order(photos), image_vectors)
+            table = pair_modalities(ready.table, image_vectors, "photo_id")
+            scores = run_matrix({name: table}, modalities, grid, store=store).withColumn("label_id", F.col("class").cast("int"))
+            # Ids are given per variant, so each variant's scores take their names from its own labels.
+            own = with_label_name(scores.drop("class"), ready.labels, "label_id", "class").drop("label_id")
+            named = own if named is None else named.unionByName(own)
+        named = materialize(named, "scores", kept=True)
     write_metrics(named, out, ["config"], run_id)
     return named
 
@@ -68,8 +69,9 @@ def completion(
     photos: DataFrame, valid: DataFrame, folder: str, factory: Factory, out: str, fmt: str = "parquet", tags: ChatTags = ChatTags()
 ) -> None:
     """Photos with readable images and complete captions, in seeded random order, written to ``out``."""
-    kept = materialize(keep_valid(with_paths(photos, folder), valid), "valid")
-    write_table(complete_captions(kept, factory, tags), out, fmt)
+    with run_scratch(photos.sparkSession):
+        kept = materialize(keep_valid(with_paths(photos, folder), valid), "valid")
+        write_table(complete_captions(kept, factory, tags), out, fmt)
 
 
 def prompted(
@@ -87,9 +89,12 @@ def prompted(
 
     Returns the scores: one row per configuration and class.
     """
-    test = with_split(completed, ["photo_id"], seed).where(F.col("split") == "test")
-    answers = classify(test, factory, configs, labels, templates, tags)
-    write_table(answers, f"{out}/answers")
+    spark = completed.sparkSession
+    with run_scratch(spark):
+        test = with_split(completed, ["photo_id"], seed).where(F.col("split") == "test")
+        answers = classify(test, factory, configs, labels, templates, tags)
+        write_table(answers, f"{out}/answers")
+    answers = spark.read.schema(answers.schema).parquet(f"{out}/answers")
     scores = class_metrics(answers, "label", "pred", labels, by=["config"])
     write_metrics(scores, f"{out}/metrics", ["config"], run_id)
     return scores

@@ -6,6 +6,9 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -105,10 +108,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{context.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back: short lineage, columnar, sized by its files."""
+_run_folder: ContextVar[str] = ContextVar("_run_folder", default="")
+
+
+@contextmanager
+def run_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end, also when the run fails.
+
+    Frames that leave must not read them: write those out, or ``materialize(..., kept=True)``.
+    """
+    token = _run_folder.set(f"{_run_folder.get()}/run-{uuid.uuid4().hex}")
+    folder = f"{scratch_dir(spark)}{_run_folder.get()}"
+    try:
+        yield
+    finally:
+        _run_folder.reset(token)
+        delete_path(spark, folder)
+
+
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back: short lineage, columnar, sized by its files.
+
+    Inside ``run_scratch`` the table goes with the run, unless it is ``kept``.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}{'' if kept else _run_folder.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from capframe.operators.lookup import BROADCAST_ROWS
+from capframe.operators.ranking import running_total
 from capframe.session import materialize
 
 PHOTO_FIELDS = [
@@ -63,12 +63,13 @@ def with_source_order(df: DataFrame, out: str = "ord") -> DataFrame:
 
     The rows are written once with the file, the block and the place within the task that read
     them. Each block's offset is the number of rows before it, so nothing is sorted or shuffled
-    but one row per block.
+    but one row per block, in ranges.
     """
     block = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block")
     table = materialize(df.select(df["*"], block, F.monotonically_increasing_id().alias("_seq")), "ingest")
     blocks = table.groupBy("_block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    offsets = materialize(_block_offsets(blocks), "blocks")
+    blocks = running_total(blocks, "_n", "_block.file_path", "_block.file_block_start", out="_before")
+    offsets = materialize(blocks.select("_block", "_first", "_before"), "blocks")
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     return (
@@ -76,19 +77,3 @@ def with_source_order(df: DataFrame, out: str = "ord") -> DataFrame:
         .withColumn(out, F.col("_before") + F.col("_seq") - F.col("_first"))
         .drop("_block", "_seq", "_before", "_first")
     )
-
-
-def _block_offsets(blocks: DataFrame) -> DataFrame:
-    """Rows before each block: a total per file, then blocks within their file."""
-    rows = blocks.select("*", F.col("_block.file_path").alias("_file"))
-    files = rows.groupBy("_file").agg(F.sum("_n").alias("_file_rows"))
-    # One number per file: files, not rows, meet in this window.
-    files = files.withColumn(
-        "_file_before",
-        F.coalesce(F.sum("_file_rows").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-    )
-    inside = W.partitionBy("_file").orderBy("_block.file_block_start").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_in_file", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return rows.join(files, "_file").select(
-        "_block", "_first", (F.col("_file_before") + F.col("_in_file")).alias("_before")
-    )

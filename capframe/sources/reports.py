@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,9 @@ def report_lines(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str, by: Sequence[str], run_id: str | None = None) -> None:
-    """Nested metrics as JSON, in a folder per run; the configuration ``by`` stays a column."""
-    run = F.lit(run_id) if run_id else timestamp_suffix()
+    """Nested metrics as JSON, in a folder per run; the configuration ``by`` stays a column.
+
+    Without ``run_id`` a run has the time as its name, and a random end: runs of one second stay apart.
+    """
+    run = F.lit(run_id) if run_id else F.concat_ws("_", timestamp_suffix(), F.lit(uuid.uuid4().hex[:8]))
     nest_metrics(metrics, by).withColumn("run_id", run).write.mode("append").partitionBy("run_id").json(path)

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+import pathlib
 
 import numpy as np
 import pictures
 import pytest
 
 from capframe.plans import examples, runs
+from capframe.session import scratch_dir
 from capframe.sources import images as S
 from capframe.sources import photos as P
 
@@ -52,6 +54,7 @@ def test_completion_then_classification(spark, data):
     answers = spark.read.parquet(str(data / "prompted/answers"))
     assert answers.count() == 3 * 12
     assert spark.read.json(str(data / "prompted/metrics")).count() == 3
+    assert not list(pathlib.Path(scratch_dir(spark)).glob("run-*"))
 
 
 def test_supervised(spark, data):
@@ -63,6 +66,7 @@ def test_supervised(spark, data):
     assert all(r.f1 == 1.0 for r in rows if r.config == "image_raw")
     assert {r["class"] for r in rows if r.config == "image_raw"} <= set(COLOURS)
     assert spark.read.json(str(data / "results")).where("run_id = 'r1'").count() == 3
+    assert not list(pathlib.Path(scratch_dir(spark)).glob("run-*"))
 
 
 def test_training_rows(spark, data):

@@ -58,6 +58,22 @@ def test_absent_class_and_labels_outside_the_list(spark):
     assert as_dict(M.class_metrics(empty, "label", "pred", CLASSES)) == {c: (0.0, 0.0, 0.0, 0) for c in CLASSES}
 
 
+def test_fixed_classes_in_groups_without_labels(spark):
+    """Groups come from the counted rows: one scan, and a group none of whose rows has a label keeps its classes."""
+    rows = [("a", "food", "food"), ("a", "food", "free text"), ("a", "other", "menu"), ("a", None, "menu"), ("b", None, "food"), (None, "menu", None)]
+    df = spark.createDataFrame(rows, "config string, label string, pred string")
+    got = {(r.config, r["class"]): (r.tp, r.predicted, r.support) for r in M.class_counts(df, "label", "pred", ["food", "menu"], ["config"]).collect()}
+    assert got == {
+        ("a", "food"): (1, 1, 2), ("a", "menu"): (0, 1, 0),
+        ("b", "food"): (0, 0, 0), ("b", "menu"): (0, 0, 0),
+        (None, "food"): (0, 0, 0), (None, "menu"): (0, 0, 1),
+    }
+    plan = M.class_counts(df, "label", "pred", ["food", "menu"], ["config"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+    empty = M.class_counts(df.where("false"), "label", "pred", ["food"]).collect()
+    assert [tuple(r) for r in empty] == [("food", 0, 0, 0)]
+
+
 def test_micro_precision(spark):
     pairs = random_pairs(7)
     share = sum(t == p for t, p in pairs) / len(pairs)
@@ -112,6 +128,9 @@ def test_compare_and_report(spark, tmp_path):
     reports.write_metrics(scores, str(tmp_path / "out"), ["config"])
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 2 and {"run_id", "per_class", "macro_f1", "config"} == set(back.columns)
+    # Two runs of the same second are two runs.
+    reports.write_metrics(scores, str(tmp_path / "out"), ["config"])
+    assert spark.read.json(str(tmp_path / "out")).groupBy("run_id").count().where("count = 2").count() == 2
     lines = {r["class"]: r.line for r in reports.report_lines(M.class_metrics(pairs_frame(spark, [("food", "food")]), "label", "pred")).collect()}
     assert lines == {"food": "food: precision 1.0000, recall 1.0000, f1 1.0000, support 1"}
     answers = C.predictions_wide(df, "photo_id", ["text", "both"]).collect()

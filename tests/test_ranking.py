@@ -88,3 +88,16 @@ def test_batches(spark):
     place = lambda rows: {(r.photo_id, r.batch_id, r.batch_pos) for r in rows}
     assert place(one) != place(two)
     assert sorted((r.batch_id, r.batch_pos) for r in one) == [(i // 128, i % 128) for i in range(300)]
+
+
+def test_running_total_in_ranges(spark):
+    rows = [(f"f{i // 40:02d}", i % 40, (i * 7) % 11) for i in range(800)]
+    mixed = random.Random(5).sample(rows, len(rows))
+    df = spark.createDataFrame(mixed, "file string, start long, n long").repartition(6)
+    got = {(r.file, r.start): r.before for r in R.running_total(df, "n", "file", "start").collect()}
+    total, expected = 0, {}
+    for file, start, n in rows:
+        expected[file, start] = total
+        total += n
+    assert got == expected
+    assert R.running_total(df.where("false"), "n", "file", "start").count() == 0

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from capframe.session import drop_scratch, materialize, scratch_dir
+from capframe import session
+from capframe.session import drop_scratch, materialize, run_scratch, scratch_dir
 from capframe.sources import photos as P
 from capframe.sources import reports
 
@@ -68,4 +70,31 @@ def test_scratch(spark):
     table = materialize(spark.range(10).withColumn("x", F.rand()), "t")
     assert sorted(table.collect()) == sorted(table.collect())
     assert "Range" not in table._jdf.queryExecution().toString()
-    assert callable(drop_scratch)
+
+
+def test_scratch_of_a_run(spark):
+    def tables():
+        return {p.name for p in pathlib.Path(scratch_dir(spark)).rglob("*") if p.name.startswith("scratched")}
+
+    outer = materialize(spark.range(3), "scratched-outer")
+    before = tables()
+    with run_scratch(spark):
+        inner = materialize(spark.range(4), "scratched-inner")
+        with run_scratch(spark):
+            materialize(inner, "scratched-nested")
+            result = materialize(inner, "scratched-result", kept=True)
+        assert inner.count() == 4 and len(tables() - before) == 2
+    assert result.count() == 4 and outer.count() == 3 and len(tables() - before) == 1
+    with pytest.raises(RuntimeError), run_scratch(spark):
+        materialize(spark.range(5), "scratched-failed")
+        raise RuntimeError("the run fails")
+    assert len(tables() - before) == 1
+
+
+def test_scratch_of_an_application(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "application"
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(folder))
+    table = materialize(spark.range(7), "t")
+    assert table.count() == 7 and any(folder.iterdir())
+    assert drop_scratch(spark) and not folder.exists()
+    assert not drop_scratch(spark)

@@ -68,6 +68,21 @@ def test_encode_all_forms(spark, broadcast_rows, joins, monkeypatch):
         assert len(row.token_ids) == 10 and all(0 <= i < vocab.size for i in row.token_ids)
 
 
+def test_a_hot_word_of_other_rows_is_spread(spark, monkeypatch):
+    """A word that is rare where the vocabulary was counted and hot where it is used."""
+    monkeypatch.setattr(L, "HOT_KEYS", 3)
+    learned = frame(spark, ["common words here", "common words here", "rare", "rare", "seldom seen", "seldom seen"] + ["common"] * 20)
+    vocab = V.build_vocabulary(learned, "tokens", "ord", min_freq=2)
+    ids = word_ids(vocab)
+    texts = ["rare rare rare", "rare unknown common"] * 50 + ["seldom rare", "never", ""]
+    used = frame(spark, texts)
+    got = V.encode(used, "tokens", vocab, "photo_id", broadcast_rows=2).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        own = [ids.get(w, 1) for w in texts[row.photo_id].split()]
+        assert row.token_ids == own + [0] * (10 - len(own))
+
+
 def test_long_sequences_go_by_word(spark):
     texts = ["a b c d e " * 8] * 3
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "photo_id long, caption string")
