@@ -5,6 +5,10 @@ names the batch and its totals. A commit is a whole file moved into place by a r
 overwrites, so of two writers of the same number one fails, and a writer that dies at any point leaves
 nothing that is read or in the way. Totals are additive: a batch costs one
 aggregation of its own rows and a merge with the old totals, never a second look at old documents.
+
+Every ``EVERY`` commits, ``checkpoints/<n>`` takes up the names of all batches to commit n, as a table
+sorted by name. A call reads the commits from the last checkpoint on, and asks that table for one batch;
+the log never comes to the driver. Checkpoints only save reading: a lost or late one changes nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from capframe.session import move_once
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+LOG_SCHEMA = "number long, batch_id string, totals string"
+EVERY = 64  # commits read one by one, at most about so many
 
 
 def words(text: Column) -> Column:
@@ -65,20 +71,40 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
         self._file = lambda name: hadoop.Path(f"{self.path}/commits/{name}")
         self._system = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _log(self) -> list[dict]:
-        """Commits in order; one small line a batch."""
-        folder = self._file("").getParent()
+    def _checkpoint(self) -> int:
+        """Number of the last checkpoint, 0 if there is none."""
+        folder = self._path(f"{self.path}/checkpoints")
         if not self._system.exists(folder):
-            return []
-        lines = self.spark.read.text(f"{self.path}/commits").collect()
+            return 0
+        names = [status.getPath().getName() for status in self._system.listStatus(folder)]
+        return max((int(name) for name in names if name.isdigit()), default=0)
+
+    def _log(self) -> list[dict]:
+        """Commits in order from the last checkpoint's own on; each is a small file."""
+        number = max(self._checkpoint(), 1)
+        files = []
+        while self._system.exists(self._file(f"{number:06d}.json")):
+            files.append(f"{self.path}/commits/{number:06d}.json")
+            number += 1
+        lines = self.spark.read.text(files).collect() if files else []
         return sorted((json.loads(r[0]) for r in lines), key=lambda c: c["number"])
 
+    def _older(self) -> DataFrame:
+        """All commits up to the last checkpoint."""
+        number = self._checkpoint()
+        if not number:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/checkpoints/{number:06d}")
+
     def totals(self) -> DataFrame:
         """Current totals; empty before the first commit. Groups whose totals are 0 are left out."""
-        log = self._log()
+        return self._totals(self._log())
+
+    def _totals(self, log: list[dict]) -> DataFrame:
         if not log:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/totals/{log[-1]['totals']}")
@@ -92,16 +118,30 @@ class TokenRollup:
         log = self._log()
         if any(c["batch_id"] == batch_id for c in log):
             return False
-        number = len(log) + 1
+        if log and log[0]["number"] > 1 and not self._older().where(F.col("batch_id") == batch_id).isEmpty():
+            return False
+        number = log[-1]["number"] + 1 if log else 1
         name = f"{number:06d}-{uuid.uuid4().hex}"
-        merged = self.totals().unionByName(deltas(rows)).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+        merged = self._totals(log).unionByName(deltas(rows)).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         merged.where("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/totals/{name}")
-        line = json.dumps({"number": number, "batch_id": batch_id, "totals": name})
-        self._write(aside := f"_writing-{uuid.uuid4().hex}", line)
+        commit = {"number": number, "batch_id": batch_id, "totals": name}
+        self._write(aside := f"_writing-{uuid.uuid4().hex}", json.dumps(commit))
         if not move_once(self.spark, f"{self.path}/commits/{aside}", f"{self.path}/commits/{number:06d}.json"):
             raise FileExistsError(f"commit {number} of {self.path} was made by another writer")
+        if len(log) >= EVERY:
+            self._take_up([*log, commit])
         return True
 
+    def _take_up(self, log: list[dict]) -> None:
+        """A checkpoint at the last commit of ``log``; of two writers of it the first one's stays."""
+        new = [(c["number"], c["batch_id"], c["totals"]) for c in log]
+        # The log starts with the last checkpoint's own commit, which that table has already.
+        every = self._older().where(F.col("number") < new[0][0]).unionByName(self.spark.createDataFrame(new, LOG_SCHEMA))
+        folder = f"{self.path}/checkpoints"
+        aside = f"{folder}/_writing-{uuid.uuid4().hex}"
+        every.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(aside)
+        move_once(self.spark, aside, f"{folder}/{new[-1][0]:06d}")
+
     def _write(self, name: str, line: str) -> None:
         stream = self._system.create(self._file(name), False)
         stream.write(bytearray(line.encode()))

@@ -163,3 +163,33 @@ def test_rollup_goes_on_after_a_writer_died(spark, tmp_path, monkeypatch, writte
     assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 1, 3)]
     assert again.apply("y", rows) and not again.apply("y", rows)
     assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 2, 6)]
+
+
+def test_rollup_log_is_read_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    """Old batches stay known and totals right across checkpoints, also when writing one fails."""
+    monkeypatch.setattr(rollup, "EVERY", 3)
+    totals = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 3, 0)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    real, tries = rollup.TokenRollup._take_up, []
+
+    def fails_first(self, log):
+        tries.append(log[-1]["number"])
+        if len(tries) == 1:
+            raise KeyboardInterrupt
+        real(self, log)
+
+    monkeypatch.setattr(rollup.TokenRollup, "_take_up", fails_first)
+    for i in range(10):
+        try:
+            assert totals.apply(f"b{i}", rows)
+        except KeyboardInterrupt:
+            assert not totals.apply(f"b{i}", rows)  # the commit came before its checkpoint
+    # Commits 4 (lost) and 5, then 8: the log starts again with the checkpoint's own commit.
+    assert tries == [4, 5, 8]
+    assert [c["number"] for c in totals._log()] == [8, 9, 10]
+    assert sorted(r.number for r in totals._older().collect()) == list(range(1, 9))
+    again = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert not any(again.apply(f"b{i}", rows) for i in range(10))
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 10, 30)]
+    assert again.apply("late", rows)
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 11, 33)]
