@@ -12,7 +12,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(id, component) for every id of ``links`` (columns a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star rounds. Minima are taken with map-side sums and joined
-    back, so a hub is never gathered in one place; each round is written to the shared folder, and
+    back; the edges of a hub share a key in that join, which adaptive execution splits
+    (``spark.sql.adaptive.skewJoin``). Each round is written to the shared folder, and
     only a row count and a checksum reach the driver. Rows with a null end and a = b are skipped.
     """
     edges = materialize(

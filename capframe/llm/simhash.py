@@ -189,8 +189,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each near-duplicate group, all columns: the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat that doc_id one stays; rows with a null doc_id all stay. Whole rows are told
+    apart by the ids that go or repeat, a narrow table; only rows that repeat an id are gathered.
     """
-    kept = near_duplicates(docs, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = near_duplicates(docs, shingle, max_bits).where("doc_id is not null")
+    ids = rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    odd = materialize(ids.where("not stays or n > 1").select("doc_id", "stays"), "odd-ids")
+    named = docs.where("doc_id is not null")
+    single = named.join(odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = named.join(odd.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    return single.select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(nameless)

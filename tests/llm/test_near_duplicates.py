@@ -99,6 +99,22 @@ def test_simhash_edges(spark):
     assert simhash.keep_first(docs.where("false")).count() == 0
 
 
+def test_first_copies_with_repeated_ids(spark):
+    """Whole rows, against the rule: an id stays if one of its rows is first in its group, with one row."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(12)]
+    rows = [(rng.choice([None, *range(20)]), rng.choice(texts), f"s{i}", i) for i in range(120)]
+    rows += [(100 + i, " ".join(rng.choice("qrstuvwxyz") * 4 for _ in range(50)), "own", 1000 + i) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, stays long").repartition(5)
+    found = simhash.near_duplicates(docs).collect()
+    first = {r.doc_id for r in found if r.doc_id is not None and r.doc_id == r.component_id}
+    got = simhash.keep_first(docs).collect()
+    assert {tuple(r) for r in got} <= set(rows)
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(first)
+    assert sorted(r.stays for r in got if r.doc_id is None) == sorted(r[3] for r in rows if r[0] is None)
+    assert first >= set(range(100, 115)) and len(first) < 15 + 20
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(100, 180)] + [(500, k) for k in range(501, 560)]
