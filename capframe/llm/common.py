@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from capframe.session import materialize, ship_package
 
-__all__ = ["fresh", "label_rows", "materialize", "read", "remainder", "ship_package", "summed_products"]
+__all__ = ["fresh", "label_rows", "materialize", "read", "remainder", "ship_package", "small_batches", "summed_products"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20  # texts a Python worker holds at a time
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session's Python workers take whole texts in small batches, so several fit beside the JVM.
+
+    No row is left out; a caller's own, smaller settings stay.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from capframe.llm import decontaminate, packing, pii, quality, simhash
-from capframe.llm.common import materialize, read, ship_package
+from capframe.llm.common import materialize, read, ship_package, small_batches
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts; it learns from ``labels``."""
+    small_batches(spark)
     labels = read(spark, sf_dir, "labels")
     return quality.keep_good(docs, quality.fit(quality.document_stats(docs), labels))
 
@@ -17,6 +18,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship_package(spark)
+    small_batches(spark)
     return simhash.keep_first(docs)
 
 
@@ -28,6 +30,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked in the texts."""
     ship_package(spark)
+    small_batches(spark)
     return pii.mask(docs)
 
 
