@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from capframe.llm import decontaminate, pii, quality, simhash
+from capframe.llm import common, decontaminate, pii, quality, simhash
 from capframe.llm.common import materialize, read
 
 
@@ -43,3 +43,18 @@ def test_empty_tables(spark, sf, tmp_path):
 
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "decontamination", "pii", "packing"]
+
+
+def test_small_batches_keep_smaller_settings(spark):
+    rows, size = (f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for given, want in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(rows, given)
+            spark.conf.set(size, "64m")
+            common.small_batches(spark)
+            assert spark.conf.get(rows) == str(want)
+            assert spark.conf.get(size).removesuffix("b") == str(common.BATCH_BYTES)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
