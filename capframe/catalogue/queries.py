@@ -46,7 +46,7 @@ def _six(c: Column) -> Column:
 
 
 def _joined(ids: str) -> Column:
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join(F.col(ids).cast("array<string>"), " ")
 
 
 def _md5(ids: str) -> Column:

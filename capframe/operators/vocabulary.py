@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capframe.fixed_values import MAX_LEN, MIN_FREQ, PAD_ID, UNK_ID
@@ -108,11 +110,53 @@ def _encode_by_word(
     return df.join(ids.select(key, padded.alias(out)), key)
 
 
+def _ids_in_place(vocab: Vocabulary, tokens: str) -> Column:
+    """The list of ids of a list of tokens: the vocabulary is broadcast to the Python workers, a batch looked up at once."""
+    table = vocab.table.select("word", "id").toArrow()
+    known = vocab.table.sparkSession.sparkContext.broadcast(
+        (table["word"].combine_chunks(), table["id"].combine_chunks())
+    )
+
+    @F.arrow_udf("array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        words, numbers = known.value
+        flat = lists.flatten()
+        places = pc.index_in(flat, value_set=words.cast(flat.type))
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.list_value_length(lists))])
+        return pa.ListArray.from_arrays(starts, pc.fill_null(numbers.take(places), UNK_ID))
+
+    return ids(F.coalesce(tokens, F.array().cast("array<string>")))
+
+
+def _encode_lists(
+    df: DataFrame, tokens: str, vocab: Vocabulary, key: str, max_len: int, out: str, broadcast_rows: int
+) -> DataFrame:
+    """Lists of any length encoded in their rows while the vocabulary may be broadcast, else by word.
+
+    Rows that share a key, found from the keys alone, go by word, which takes them as one list; rows
+    without a key are left out there and here.
+    """
+    if vocab.size - 2 > broadcast_rows:
+        return _encode_by_word(df, tokens, vocab, key, max_len, out, broadcast_rows)
+    keyed = df.where(F.col(key).isNotNull())
+    repeated = keyed.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    repeated = materialize(repeated, "repeated")
+    shared = not repeated.isEmpty()
+    alone = keyed.join(repeated, key, "left_anti") if shared else keyed
+    others = [c for c in df.columns if c != key]
+    encoded = alone.select(key, *others, pad_right(_ids_in_place(vocab, tokens), max_len).alias(out))
+    if not shared:
+        return encoded
+    return encoded.unionByName(
+        _encode_by_word(keyed.join(repeated, key, "left_semi"), tokens, vocab, key, max_len, out, broadcast_rows)
+    )
+
+
 def encode_whole(
     df: DataFrame, tokens: str, vocab: Vocabulary, key: str, out: str = "ids", broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Ids of all tokens of a list, however long, without padding; ``key`` must be unique."""
-    return _encode_by_word(df, tokens, vocab, key, 0, out, broadcast_rows)
+    return _encode_lists(df, tokens, vocab, key, 0, out, broadcast_rows)
 
 
 def encode(
@@ -135,4 +179,4 @@ def encode(
         return encode_by_place(df, tokens, vocab.table, max_len, out)
     if max_len <= _JOINS:
         return _encode_head_and_tail(df, tokens, vocab, key, max_len, out, broadcast_rows)
-    return _encode_by_word(df, tokens, vocab, key, max_len, out, broadcast_rows)
+    return _encode_lists(df, tokens, vocab, key, max_len, out, broadcast_rows)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capframe.fixed_values import BATCH_SIZE, CAPTION_PROMPT, PAD_ID
+from capframe.fixed_values import BATCH_SIZE, CAPTION_PROMPT, IGNORED_LABEL, PAD_ID
 from capframe.functions.prompts import MESSAGE_TYPE, ChatTags, generation_start, render, text_message, training_messages
 from capframe.functions.sequences import mask_labels, pad_right
 from capframe.operators.captions import drop_incomplete
 from capframe.operators.ranking import with_batches
+from capframe.session import materialize
 
 
 def training_examples(photos: DataFrame, prompt: str = CAPTION_PROMPT) -> DataFrame:
@@ -29,14 +30,18 @@ def padded_batches(
 ) -> DataFrame:
     """Rows in batches of ``size``, ``input_ids`` padded to the longest of the batch, masked ``labels``.
 
-    The longest is found by an aggregate of one number per batch, joined back.
+    The longest is found by an aggregate of one number per batch, written and joined back: its size
+    is then known, and rows are not shuffled for it while it may be broadcast. Labels are masked
+    before they are padded, as one long list makes padding most of its batch.
     """
-    batched = with_batches(df, *order, size=size)
-    longest = batched.groupBy("batch_id").agg(F.max(F.size(ids)).alias("_longest"))
-    padded = batched.join(longest, "batch_id").withColumn(
-        "input_ids", pad_right(F.col(ids), F.col("_longest"), pad_id or PAD_ID)
-    )
-    return padded.withColumn("labels", mask_labels(F.col("input_ids"), pad_id, image_id)).drop("_longest")
+    batched = with_batches(df.withColumn("_size", F.size(ids)), *order, size=size)
+    longest = materialize(batched.groupBy("batch_id").agg(F.max("_size").alias("_longest")), "longest")
+    pad = pad_id or PAD_ID
+    masked_pad = IGNORED_LABEL if pad in (pad_id, image_id) else pad
+    labels = mask_labels(F.col(ids), pad_id, image_id)
+    padded = batched.join(longest, "batch_id")
+    padded = padded.withColumn("input_ids", pad_right(F.col(ids), F.col("_longest"), pad))
+    return padded.withColumn("labels", pad_right(labels, F.col("_longest"), masked_pad)).drop("_longest", "_size")
 
 
 def rendered_conversations(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capframe.fixed_values import CAPTION_PROMPT, IMAGE_PROMPT, TEXT_PROMPT
 from capframe.functions import prompts as P
+from capframe.functions import sequences as S
 from capframe.plans import examples, inference
 
 ROWS = [(f"p{i}", None if i % 7 == 3 else "" if i % 5 == 0 else f"caption {i} {{caption}} $1", "food", f"x/p{i}.jpg") for i in range(60)]
@@ -64,6 +65,22 @@ def test_padded_batches(spark):
         assert rows[i].labels == [-100 if x in (0, 9) else x for x in padded]
 
 
+def test_batches_are_padded_without_a_shuffle_of_their_rows(spark):
+    """The longest of each batch are few: they are joined by broadcast to rows too many for it."""
+    df = spark.range(2000).select("id", F.transform(F.sequence(F.lit(0), F.col("id") % 30), lambda x: F.hash(x, "id")).alias("ids"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")
+    try:
+        rows = examples.padded_batches(df, "ids", "id", size=100, pad_id=None, image_id=0)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert rows.columns == ["batch_id", "id", "ids", "batch_pos", "input_ids", "labels"]
+        same = F.col("labels") == S.mask_labels(F.col("input_ids"), None, 0)
+        assert rows.where(same & (F.size("input_ids") == 30)).count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_completion(spark, photos, tmp_path):
     made = str(tmp_path / "made")
 

@@ -92,6 +92,22 @@ def test_long_sequences_go_by_word(spark):
     assert got == [2, 3, 4, 5, 6] * 8
 
 
+def test_whole_lists_are_encoded_in_their_rows(spark):
+    """Without a row per token or a shuffle, and as by word: also for absent lists and words, and for keys that repeat."""
+    lists = [["a", "b", "a"], None, [], ["c", None, "a"], ["b"] * 50]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "photo_id long, tokens array<string>")
+    vocab = V.build_vocabulary(rows, "tokens", "photo_id", min_freq=2)
+    coded = V.encode_whole(rows, "tokens", vocab, "photo_id")
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    a, b = (word_ids(vocab)[w] for w in "ab")
+    assert {r.photo_id: r.ids for r in coded.collect()} == {0: [a, b, a], 1: [], 2: [], 3: [1, 1, a], 4: [b] * 50}
+    again = rows.union(rows.where("photo_id in (0, 3)")).union(rows.select(F.lit(None).cast("long"), "tokens"))
+    one, other = V.encode_whole(again, "tokens", vocab, "photo_id"), V.encode_whole(again, "tokens", vocab, "photo_id", broadcast_rows=0)
+    assert one.columns == other.columns == ["photo_id", "tokens", "ids"]
+    assert sorted((r.photo_id, r.ids) for r in one.collect()) == sorted((r.photo_id, r.ids) for r in other.collect())
+
+
 def test_lookup_with_hot_and_null_keys(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT_KEYS", 3)
     keys = [7] * 500 + [8] * 400 + [None] * 50 + list(range(100, 200)) + [9999] * 300
