@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from capframe.functions.text import tokenize
 from capframe.operators import vocabulary as V
 from capframe.plans import baselines as B
 from capframe.plans.prepare import prepare
+from capframe.session import materialize
 from capframe.sources.models import load_best, save_best
 from capframe.streaming.captions import encode_captions
 
@@ -50,6 +52,25 @@ def test_run_matrix(prepared):
         B.run_config(prepared, image=False, text=False)
 
 
+def test_the_matrix_fits_at_once_on_features_written_once(prepared, tmp_path, monkeypatch):
+    together, written = threading.Barrier(4), []  # two configurations of two candidates each
+
+    class Meeting:
+        def __init__(self, value):
+            self.value = value
+
+        def fit(self, rows):
+            together.wait(90)
+            return B.classifier(self.value, 3).fit(rows)
+
+    monkeypatch.setattr(B, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    rows = lambda scores: sorted(tuple(r) for r in scores.collect())
+    at_once = rows(B.run_matrix({"raw": prepared}, ["text", "image"], (0.1, 0.01), Meeting))
+    assert written == ["features"]
+    in_turn = B.run_matrix({"raw": prepared}, ["text", "image"], (0.1, 0.01), lambda v: B.classifier(v, 3), str(tmp_path / "store"))
+    assert at_once == rows(in_turn) and {r[0] for r in at_once} == {"text_raw", "image_raw"}
+
+
 def test_perceptron_on_fused_features(prepared):
     make = lambda seed: B.perceptron(B.TEXT_DIM + 2, 4, hidden=4, seed=int(seed)).setMaxIter(3)
     rows = B.run_config(prepared, image=True, text=True, grid=(1,), make=make).collect()
