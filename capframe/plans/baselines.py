@@ -26,7 +26,7 @@ from capframe.sources.models import fit_once, without_summary
 
 GRID = (0.1, 0.01, 0.001)  # regularisation tried by default
 TEXT_DIM = 1 << 12  # hashed words: a fixed size whatever the vocabulary
-AT_ONCE = 6  # fits, and configurations, that run at the same time
+AT_ONCE = 3  # candidates, and configurations, that are fitted at the same time
 TASK_ROWS = 60_000  # training rows for which a step of a fit is given a task
 
 
