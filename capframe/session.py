@@ -126,6 +126,21 @@ def run_scratch(spark: SparkSession) -> Iterator[None]:
         delete_path(spark, folder)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go as each ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: short lineage, columnar, sized by its files.
 

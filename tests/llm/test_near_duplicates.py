@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 
@@ -12,6 +13,7 @@ from xxhash import xxh64
 
 from capframe.llm import neighbours, simhash
 from capframe.llm.components import components
+from capframe.session import materialize, scratch_dir
 
 
 def reach(ids, links):
@@ -221,3 +223,47 @@ def test_vector_edges(spark):
         (1, 1, 1),
         (1, 1, 1),
     ]
+
+
+def bytes_on_disk(spark):
+    """Of the scratch tables and of the shuffles."""
+    folders = [scratch_dir(spark).removeprefix("file:")]
+    folders += [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = [os.path.join(d, f) for top in folders for d, _, names in os.walk(top) for f in names]
+    return sum(os.path.getsize(f) for f in files if f.endswith(".parquet") or "/shuffle_" in f)
+
+
+def test_vectors_are_kept_once_on_disk(spark):
+    """Copies for the trees are sent in passes that end with their shuffles: what stays is the table, not eleven of it."""
+    x = planted_pairs(16_000, 500, 4)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    table = materialize(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "given")
+    before = bytes_on_disk(spark)
+    links = neighbours.near_vectors(table).where("n_links > 0").count()
+    assert 0.98 * 1000 <= links <= 1000
+    assert bytes_on_disk(spark) - before < 2 * 4 * x.size
+
+
+def test_vectors_in_many_passes(spark, monkeypatch):
+    """Passes of a cell or two, and of two blocks of one, give the rows of one pass."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([planted_pairs(900, 300, 6, 16), rng.normal(size=16) + 0.1 * rng.normal(size=(100, 16))])
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000 + i, [1.0, float(i)]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = {tuple(r) for r in neighbours.near_vectors(table, leaf=100, trees=3).collect()}
+    monkeypatch.setattr(neighbours, "BLOCK", 120)
+    monkeypatch.setattr(neighbours, "PASS", 0.5)
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 1)
+    assert {tuple(r) for r in neighbours.near_vectors(table, leaf=100, trees=3).collect()} == once
+    assert sum(r[1] > 0 for r in once) >= 600
+
+
+def test_vectors_of_one_hash(spark, monkeypatch):
+    """Different vectors may have one hash; their rows are told apart by their parts."""
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=(12, 8))[rng.integers(0, 12, 60)] + 0.2 * rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*near, *near[:10]])] + [(90, None), (91, [0.0, 0.0]), (92, [-0.0, 1.0]), (93, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "_hash", lambda vector: F.pmod(F.xxhash64(vector), F.lit(5)))
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_vectors(table).collect()}
+    assert found == slow_vectors(rows)
