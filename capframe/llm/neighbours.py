@@ -34,6 +34,7 @@ SMALLEST = 12  # sample vectors in a node that is split no more
 BLOCK, BLOCK_BYTES = 200_000, 48 << 20  # vectors of a cell a task holds; those of larger cells are dealt in blocks
 PASS, PASS_BYTES = 1.5, 16 << 20  # copies of vectors sent at once: a share of the table, or so many bytes
 HELD = 500_000  # pairs gathered before their first meetings are told
+LIES_IN = 32 << 20  # rows x leaves of a matrix that tells many pairs at once
 _LEAF_BITS = 24
 _ROW_BYTES = 48  # of a copy of a vector, besides its parts
 
@@ -174,7 +175,6 @@ class _Kinds:
         self.of = np.full(len(x), -1)
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((0, 0), dtype=np.int32)
-        self.place, self.shared = np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.int32)
 
     def _learn(self, rows: np.ndarray) -> None:
         at, codes = filed_codes(self.x[rows], self.trees)
@@ -189,30 +189,38 @@ class _Kinds:
             table[i, : len(codes)] = codes
         self.table = table
 
-    def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Least code of a leaf both rows lie in."""
-        rows = np.unique(np.concatenate([a, b]))
+    def learn(self, rows: np.ndarray) -> None:
         if len(rows := rows[self.of[rows] < 0]):
             self._learn(rows)
+
+    def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least code of a leaf both rows lie in."""
+        self.learn(np.unique(np.concatenate([a, b])))
         a, b = self.of[a], self.of[b]
-        kinds = np.unique(np.concatenate([a, b]))
-        if 4 * len(kinds) ** 2 >= len(a):
-            part = max(1, (32 << 20) // (4 * self.table.shape[1]))
-            each = [_least_shared(self.table[a[k : k + part]], self.table[b[k : k + part]]) for k in range(0, len(a), part)]
-            return np.concatenate(each)
-        # Rows filed alike meet others alike: many pairs are told by the kinds of their rows.
-        if kinds[-1] >= len(self.place) or (self.place[kinds] < 0).any():
-            self.place = np.full(len(self.known), -1)
-            self.place[kinds] = np.arange(len(kinds))
-            own = self.table[kinds]
-            self.shared = np.vstack([_least_shared(np.broadcast_to(row, own.shape), own) for row in own])
-        return self.shared[self.place[a], self.place[b]]
+        part = max(1, (32 << 20) // (4 * self.table.shape[1]))
+        each = [_least_shared(self.table[a[k : k + part]], self.table[b[k : k + part]]) for k in range(0, len(a), part)]
+        return np.concatenate(each)
+
+    def earlier(self, rows: np.ndarray, here: int) -> np.ndarray | None:
+        """Which of the leaves before ``here`` that any two ``rows`` share each lies in, as 0 and 1; None if too large."""
+        self.learn(rows)
+        own = self.table[self.of[rows]]
+        at, k = np.nonzero((own >= 0) & (own < here))
+        _, column, often = np.unique(own[at, k], return_inverse=True, return_counts=True)
+        shared = np.cumsum(often > 1) - 1
+        if len(rows) * (len(often) and int(shared[-1]) + 1) > LIES_IN:
+            return None
+        out = np.zeros((len(rows), int(shared[-1]) + 1 if len(often) else 0), dtype=np.float32)
+        use = often[column] > 1
+        out[at[use], shared[column[use]]] = 1
+        return out
 
 
 def _near(x: np.ndarray, narrow: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple]:
     """Pairs of rows of ``left`` and ``right`` with at least that cosine; each pair once if both are the same array.
 
-    Single precision shows which can reach it, double precision tells.
+    Single precision shows which can reach it, double precision tells. Where they are many, it gives rows,
+    other rows, and a matrix of which are pairs.
     """
     same = left is right
     bound = least - (x.shape[1] + 8) * 2.0**-23  # twice what rounding can take off
@@ -229,14 +237,13 @@ def _near(x: np.ndarray, narrow: np.ndarray, left: np.ndarray, right: np.ndarray
         many = np.count_nonzero(close)
         if 16 * many > close.size:  # dense: all of them at once
             close &= x[left[at : at + step]] @ x[right[after:]].T >= least
-            i, j = np.nonzero(close)
-            yield left[at + i], right[after + j]
+            yield left[at : at + step], right[after:], close
         elif many:
             i, j = np.nonzero(close)
             a, b = left[at + i], right[after + j]
             sure = [np.einsum("ij,ij->i", x[a[k : k + part]], x[b[k : k + part]]) >= least for k in range(0, len(a), part)]
             sure = np.concatenate(sure)
-            yield a[sure], b[sure]
+            yield a[sure], b[sure], None
 
 
 def _cell_links(x: np.ndarray, members: np.ndarray, halves: tuple | None, trees: list[Tree], node: int, least: float):
@@ -265,12 +272,33 @@ def _cell_links(x: np.ndarray, members: np.ndarray, halves: tuple | None, trees:
                 links += np.bincount(pa, weights=members[pb], minlength=n) + np.bincount(pb, weights=members[pa], minlength=n)
                 root = _roots(n, np.concatenate([pa, np.arange(n)]), np.concatenate([pb, root]))
 
+    def settle_all(a, b, close, lies_in, rows):
+        nonlocal root
+        close &= lies_in[np.searchsorted(rows, a)] @ lies_in[np.searchsorted(rows, b)].T == 0
+        if not close.any():
+            return
+        as_numbers = close.astype(np.float64)
+        links[a] += as_numbers @ members[b]
+        links[b] += members[a] @ as_numbers
+        i, j = np.nonzero(close & (root[a][:, None] != root[b]))
+        if len(i):
+            root = _roots(n, np.concatenate([a[i], np.arange(n)]), np.concatenate([b[j], root]))
+
     waiting = 0
     for s, e in zip(starts, [*starts[1:], len(rows)]):
-        mine = rows[s:e]
+        mine, here, both = rows[s:e], leaves[s] + (top << _LEAF_BITS), None
         left, right = (mine, mine) if halves is None else (mine[halves[0][mine]], mine[halves[1][mine]])
-        for a, b in _near(x, narrow, left, right, least):
-            held.append((a, b, np.full(len(a), leaves[s] + (top << _LEAF_BITS))))
+        for a, b, close in _near(x, narrow, left, right, least):
+            if close is not None:
+                if both is None:
+                    both = np.union1d(left, right)
+                    lies_in = kinds.earlier(both, here)
+                if lies_in is not None:
+                    settle_all(a, b, close, lies_in, both)
+                    continue
+                i, j = np.nonzero(close)
+                a, b = a[i], b[j]
+            held.append((a, b, np.full(len(a), here)))
             waiting += len(a)
             if waiting >= HELD:
                 settle()
